@@ -1,7 +1,8 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
+from prefixloom.llm import secrets
 from prefixloom.llm.quality import op10_quality
 from prefixloom.llm.toxicity import op5_toxicity
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op10_quality": op10_quality}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle()}
