@@ -2,7 +2,8 @@
 
 from prefixloom.llm import secrets
 from prefixloom.llm.quality import op10_quality
+from prefixloom.llm.simhash import op7_simhash
 from prefixloom.llm.toxicity import op5_toxicity
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op10_quality": op10_quality}
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op7_simhash": op7_simhash, "op10_quality": op10_quality}
 ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle()}
