@@ -1,9 +1,9 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from prefixloom.llm import secrets
+from prefixloom.llm import secrets, warc
 from prefixloom.llm.quality import op10_quality
 from prefixloom.llm.simhash import op7_simhash
 from prefixloom.llm.toxicity import op5_toxicity
 
-QUERIES = {"op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op7_simhash": op7_simhash, "op10_quality": op10_quality}
-ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle()}
+QUERIES = {"op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op7_simhash": op7_simhash, "op9_warc": warc.op9_warc, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op6_secrets": secrets.oracle(), "op9_warc": warc.ORACLE}
