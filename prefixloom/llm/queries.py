@@ -1,10 +1,10 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from prefixloom.llm import licenses, secrets, warc
+from prefixloom.llm import decontamination, licenses, secrets, warc
 from prefixloom.llm.packing import op2_packing
 from prefixloom.llm.quality import op10_quality
 from prefixloom.llm.simhash import op7_simhash
 from prefixloom.llm.toxicity import op5_toxicity
 
-QUERIES = {"op1_licenses": licenses.op1_licenses, "op2_packing": op2_packing, "op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op7_simhash": op7_simhash, "op9_warc": warc.op9_warc, "op10_quality": op10_quality}
-ORACLE: dict[str, str] = {"op1_licenses": licenses.oracle(), "op6_secrets": secrets.oracle(), "op9_warc": warc.ORACLE}
+QUERIES = {"op1_licenses": licenses.op1_licenses, "op2_packing": op2_packing, "op5_toxicity": op5_toxicity, "op6_secrets": secrets.op6_secrets, "op7_simhash": op7_simhash, "op8_decontamination": decontamination.op8_decontamination, "op9_warc": warc.op9_warc, "op10_quality": op10_quality}
+ORACLE: dict[str, str] = {"op1_licenses": licenses.oracle(), "op6_secrets": secrets.oracle(), "op8_decontamination": decontamination.ORACLE, "op9_warc": warc.ORACLE}
