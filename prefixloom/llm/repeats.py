@@ -173,7 +173,8 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_PACKED = "own long, doc_id long, body_key long, anchor long, seg long, first int, windows int, place int"
+#: ``at`` holds a segment's first window start, its number of windows and its anchor's place, 8 bits for each of the last two.
+_PACKED = "doc_id long, body_key long, anchor long, seg long, at long"
 
 
 def _segments_of(rows: DataFrame) -> DataFrame:
@@ -181,23 +182,19 @@ def _segments_of(rows: DataFrame) -> DataFrame:
         hasher = Hasher()
         for batch in batches:
             for at in range(0, len(batch), 256):
-                own, ids, keys, cols = [], [], [], []
-                for uid, i, k, x in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                ids, keys, cols = [], [], []
+                for i, k, x in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
                     if len(x) < WINDOW:
                         continue
                     got = hasher.segments(x)
                     cols.append(got)
-                    own.append(_mix(np.uint64(uid & 0xFFFFFFFFFFFFFFFF) + (got[2].astype(np.uint64) << np.uint64(20))).view(np.int64))
                     ids += [i] * len(got[0])
                     keys += [k] * len(got[0])
                 if cols:
                     a, s, f, n, p = (np.concatenate(c) for c in zip(*cols))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(own)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(a), pa.array(s), pa.array(f.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32))],
-                        names=["own", "doc_id", "body_key", "anchor", "seg", "first", "windows", "place"],
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(a), pa.array(s), pa.array(f << 16 | n << 8 | p)], names=["doc_id", "body_key", "anchor", "seg", "at"])
 
-    return rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "body_key", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, _PACKED)
+    return rows.select("doc_id", "body_key", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, _PACKED)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,13 +232,15 @@ def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(rows: DataFrame) -> DataFrame:
     """(doc_id, body_key, a, b): byte ranges that repeat, of documents with ``doc_id``, ``text`` and its hash ``body_key``."""
     segs = _segments_of(rows)
-    anchors = segs.groupBy(F.col("anchor").alias("key")).agg(F.min("own").alias("o1"), F.max("own").alias("o2"), F.min("seg").alias("s1"), F.max("seg").alias("s2"))
-    anchors = anchors.where("o1 <> o2").select("key", (F.col("s1") != F.col("s2")).alias("differ"))
-    found = cut(segs.join(anchors, F.col("anchor") == F.col("key")).drop("key"))
+    anchors = segs.groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("s1"), F.max("seg").alias("s2"))
+    # cut here: both sides of the join are then plain exchanges, so the rows of a hot anchor can be split
+    anchors = cut(anchors.where("n > 1").select("key", (F.col("s1") != F.col("s2")).alias("differ")))
+    found = segs.join(anchors, F.col("anchor") == F.col("key")).drop("key")
+    found = cut(found.withColumns({"first": F.shiftright("at", 16).cast("int"), "windows": F.shiftright("at", 8).bitwiseAND(255).cast("int"), "place": F.col("at").bitwiseAND(255).cast("int")}).drop("at"))
     span = (F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + WINDOW).cast("int").alias("b"))
     alike = found.where("not differ").select("doc_id", "body_key", *span)
     apart = found.where("differ")
-    kinds = apart.groupBy("anchor", "seg").agg((F.min("own") != F.max("own")).alias("several"), F.min(F.struct("doc_id", "body_key", "first", "windows", "place")).alias("one"))
+    kinds = apart.groupBy("anchor", "seg").agg((F.count(F.lit(1)) > 1).alias("several"), F.min(F.struct("doc_id", "body_key", "first", "windows", "place")).alias("one"))
     kinds = cut(kinds)
     several = kinds.where("several").select(F.col("anchor").alias("ka"), F.col("seg").alias("ks"))
     alike = alike.union(apart.join(several, (F.col("anchor") == F.col("ka")) & (F.col("seg") == F.col("ks"))).select("doc_id", "body_key", *span))
