@@ -96,7 +96,7 @@ TRACE_SQL = """
 WITH RECURSIVE run(program, step, state) AS (
   SELECT program, 0, 0 FROM programs
   UNION ALL
-  SELECT run.program, run.step + 1, CAST(s.out AS INT) FROM run JOIN rules s
+  SELECT /*+ BROADCAST(s) */ run.program, run.step + 1, CAST(s.out AS INT) FROM run JOIN rules s
     ON s.model = concat(run.program, 'Sequence') AND s.key = concat(CAST(run.state AS STRING), ',FALSE')
   WHERE run.state <> -1 AND run.step < {most})
 SELECT run.program, CAST(run.step AS INT) AS step, CAST(run.state AS INT) AS state, m.out AS method, coalesce(a.out, '[]') AS operands, coalesce(r.out, 'resultError') AS destination
@@ -107,7 +107,10 @@ LEFT JOIN rules r ON r.model = concat(run.program, 'Result') AND r.key = CAST(ru
 
 
 def trace(rules: DataFrame, programs: list[str], most: int = 24) -> DataFrame:
-    """Each program's states in the order of an undisturbed run, by a recursive query; at most ``most`` steps of a loop."""
+    """Each program's states in the order of an undisturbed run, by a recursive query; at most ``most`` steps of a loop.
+
+    Rule tables are programs of a few hundred rows, so each step may broadcast them.
+    """
     spark = rules.sparkSession
     return spark.sql(TRACE_SQL.format(most=most).replace("FROM programs", "FROM {programs}").replace("JOIN rules", "JOIN {rules}"), programs=spark.createDataFrame([(p,) for p in programs], "program string"), rules=rules)
 
