@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import SAMPLE_ROWS, map_arrow, table, texts
+from prefixloom.llm.common import SAMPLE_ROWS, cut, map_arrow, table, texts
 from prefixloom.llm.quality import labelled_sample
 
 # Terms for groups; each row lists terms that may stand for one another.
@@ -32,6 +32,8 @@ STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_~`«»¿¡"
 BEGINNINGS = (3, 4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+")
 THRESHOLD = 0.3
+#: Features that the classifier may have.
+ROOM = 4000
 
 
 def held_out(column):
@@ -97,37 +99,34 @@ class Model:
         return score
 
 
-def fit(bodies: list[str], y: list[float], pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400, room: int = 4000) -> Model:
-    """Logistic regression over the ``room`` most telling features, with weight ``pull`` on the counterfactual penalty.
+def choose(counts: list[tuple[str, float, float]], base: float, room: int = ROOM) -> list[str]:
+    """The ``room`` most telling features of (feature, texts, toxic texts) rows, by the z-score of their toxic share; ties by name. Group terms always count."""
+    z = {f: (np.inf if f.split("~")[0] in SWAPS else abs(k - base * n) / np.sqrt(n * base * (1 - base))) for f, n, k in counts}
+    return sorted(sorted(z, key=lambda f: (-z[f], f))[:room])
 
-    Identical texts count once, so a group of copies teaches no more than one
-    text.  Without two classes the model is its bias.
-    """
-    once = sorted(dict(zip(bodies, y, strict=True)).items())
-    bags, y_ = [bag(t) for t, _ in once], np.array([v for _, v in once])
-    if len(y_) < 10 or y_.min() == y_.max():
-        share = float(y_.mean()) if len(y_) else 0.05
-        return Model(bias=float(np.log((share + 0.01) / (1.01 - share))))
-    seen: dict[str, list[float]] = {}
-    for b, v in zip(bags, y_, strict=True):
-        for f in b:
-            s = seen.setdefault(f, [0.0, 0.0])
-            s[0] += 1
-            s[1] += v
-    base = y_.mean()
-    pairs = [p for t, _ in once for p in counterfactuals(t)]
-    z = {f: abs(k - base * n) / np.sqrt(n * base * (1 - base)) for f, (n, k) in seen.items() if n >= 4}
-    z |= {f: np.inf for pair in pairs for b in pair for f in b if f.split("~")[0] in SWAPS and f in seen}
-    names = sorted(sorted(z, key=lambda f: (-z[f], f))[:room])
-    column = {f: j for j, f in enumerate(names)}
-    at, cols, vals = _sparse(bags, column)
-    p_at, p_cols, p_vals = _sparse([{f: a.get(f, 0) - b.get(f, 0) for f in {*a, *b}} for a, b in pairs], column)
-    weight = np.where(y_ == 1, 0.5 / base, 0.5 / (1 - base)) * 0.5 + 0.5
+
+def vector(b: dict[str, int], column: dict[str, int]) -> tuple[list[int], list[float]]:
+    """A bag over the chosen columns."""
+    picked = sorted((column[f], float(n)) for f, n in b.items() if n and f in column)
+    return [c for c, _ in picked], [n for _, n in picked]
+
+
+def pair_vectors(text: str, column: dict[str, int]) -> list[tuple[list[int], list[float]]]:
+    """The changes that swapping group terms makes."""
+    return [vector({f: a.get(f, 0) - b.get(f, 0) for f in {*a, *b}}, column) for a, b in counterfactuals(text)]
+
+
+def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[tuple[list[int], list[float]]], names: list[str], pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> Model:
+    """Logistic regression with weight ``pull`` on the mean squared change of the score over the pairs."""
+    base = y.mean()
+    at, cols, vals = _sparse(rows)
+    p_at, p_cols, p_vals = _sparse(pairs)
+    weight = np.where(y == 1, 0.5 / base, 0.5 / (1 - base)) * 0.5 + 0.5
     w, bias = np.zeros(len(names)), float(np.log(base / (1 - base)))
     m, v, m0, v0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for k in range(1, rounds + 1):
-        score = bias + np.bincount(at, vals * w[cols], len(y_))
-        err = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - y_) * weight / len(y_)
+        score = bias + np.bincount(at, vals * w[cols], len(y))
+        err = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - y) * weight / len(y)
         g = np.bincount(cols, vals * err[at], len(w)) + ridge * w
         if pairs:
             change = np.bincount(p_at, p_vals * w[p_cols], len(pairs))
@@ -141,21 +140,55 @@ def fit(bodies: list[str], y: list[float], pull: float = 1.0, ridge: float = 2e-
     return Model(float(bias), {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3})
 
 
-def _sparse(bags, column):
-    at, cols, vals = [], [], []
-    for k, b in enumerate(bags):
-        for f, n in b.items():
-            if n and f in column:
-                at.append(k)
-                cols.append(column[f])
-                vals.append(n)
-    return np.array(at, np.int64), np.array(cols, np.int64), np.array(vals, float)
+def _sparse(rows: list[tuple[list[int], list[float]]]):
+    sizes = [len(c) for c, _ in rows]
+    flat = lambda k, kind: np.fromiter((x for r in rows for x in r[k]), kind, sum(sizes))
+    return np.repeat(np.arange(len(rows)), sizes), flat(0, np.int64), flat(1, float)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fitted on at most ``rows`` labelled documents that are not held out."""
-    got = labelled_sample(docs, labels, "toxic", rows, ~held_out(F.col("doc_id"))).select("text", "y").toPandas()
-    return fit(got["text"].tolist(), got["y"].tolist())
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pull: float = 1.0) -> Model:
+    """Fitted on at most ``rows`` labelled documents that are not held out.
+
+    Bags are made and counted on the executors; the driver gets the chosen
+    features and the sample's vectors over them.  Identical texts count once,
+    so a group of copies teaches no more than one text.  Without two classes
+    the model is its bias.
+    """
+    sample = labelled_sample(docs, labels, "toxic", rows, ~held_out(F.col("doc_id"))).groupBy("text").agg(F.max("y").alias("y"))
+    sample = cut(sample)
+    n, base = sample.agg(F.count(F.lit(1)), F.avg("y")).first()
+    if n < 10 or not 0 < base < 1:
+        share = base if n else 0.05
+        return Model(bias=float(np.log((share + 0.01) / (1.01 - share))))
+
+    def spell(columns):
+        out = [(f, v) for x, v in zip(*columns, strict=True) for f in bag(x)]
+        return [list(c) for c in zip(*out)] if out else [[], []]
+
+    counts = map_arrow(sample.select("text", "y"), "feature: string, y: double", spell).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).where(F.col("n") >= 4)
+    z = F.abs(F.col("k") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base))
+    named = counts.where(F.split_part("feature", F.lit("~"), F.lit(1)).isin(list(SWAPS)))
+    best = counts.orderBy(z.desc(), "feature").limit(ROOM).unionByName(named).distinct()
+    names = choose([(r.feature, r.n, r.k) for r in best.collect()], base)
+    column = {f: j for j, f in enumerate(names)}
+
+    def measure(columns):
+        bodies, y = columns
+        own = [vector(bag(x), column) for x in bodies]
+        pairs = [[c for p in pair_vectors(x, column) for c in (*p[0], -1)] for x in bodies]
+        changes = [[c for p in pair_vectors(x, column) for c in (*p[1], 0.0)] for x in bodies]
+        return [[c for c, _ in own], [v for _, v in own], pairs, changes, y]
+
+    got = map_arrow(sample.select("text", "y"), "cols: array<int>, vals: array<double>, pair_cols: array<int>, pair_vals: array<double>, y: double", measure).collect()
+    got.sort(key=lambda r: (r.cols, r.vals, r.y))
+    pairs: list[tuple[list[int], list[float]]] = []
+    for r in got:
+        first = 0
+        for k, c in enumerate(r.pair_cols):
+            if c < 0:
+                pairs.append((r.pair_cols[first:k], r.pair_vals[first:k]))
+                first = k + 1
+    return train([(r.cols, r.vals) for r in got], np.array([r.y for r in got]), pairs, names, pull)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE_ROWS) -> DataFrame:
