@@ -22,6 +22,7 @@ from __future__ import annotations
 import itertools
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,8 @@ SPACE = "▁"
 #: Stands for a literal U+2581 of a text; a lone surrogate cannot occur in one.
 LITERAL = "\udfff"
 CHUNK = 16_384
+#: Letters whose runs are segments of their own if the model joins them to nothing else.
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Fixed-point factor of the scores.
 SCALE = 1 << 12
 _SHIFT = 64
@@ -55,6 +58,15 @@ class Vocabulary:
     first_byte: int
     unknown: int
     longest: int
+    pattern: re.Pattern
+
+    def segments(self, marked: str) -> list[str]:
+        """The parts of a marked text that no piece joins: runs of letters, and of other characters, with the space marks before them."""
+        return self.pattern.findall(marked)
+
+    def starts(self, marked: str) -> list[int]:
+        """Places after the first where a segment starts."""
+        return [m.start() for m in self.pattern.finditer(marked)][1:]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -79,7 +91,10 @@ class Vocabulary:
                     node = node.setdefault(c, {})
                 node[0] = weights[piece]
         first = next(k for k in range(len(out)) if model.is_byte(k))
-        return cls(ids, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)))
+        joins = re.compile(f"[{LATIN}][^{LATIN}]|[^{SPACE}{LATIN}][{LATIN}]")
+        apart = not any(joins.search(p) for p in ids)
+        pattern = f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        return cls(ids, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)), re.compile(pattern))
 
     def of(self, piece: str) -> list[int]:
         """A piece's id, or the ids of its bytes."""
@@ -100,56 +115,45 @@ def tie(place: int) -> int:
     return (x ^ (x >> 29)) & 0xFFFFFFFFFF
 
 
-def solve(v: Vocabulary, word: str, start: int = 0, stop: int | None = None, place: int = 0) -> tuple[list[int], list[int]]:
-    """Best score from ``start`` to each position of a word, and the piece start that gives it.
+def solve(v: Vocabulary, word: str, start: int = 0, stop: int | None = None, place: int = 0) -> tuple[list[int], list[int], list[int]]:
+    """Best score from ``start`` to each position of a word, the piece start that gives it, and its ties.
 
     ``word`` lies in one word, its first character ``place`` characters in; no
     piece starts at or after ``stop``.  Of equal scores the larger sum of
     ``tie`` numbers along the way counts.
     """
     n = len(word)
-    best, back = [NEVER] * (n + 1), [-1] * (n + 1)
+    best, back, ties = [NEVER] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
     best[start] = 0
     tree, unknown = v.tree, v.unknown
+    own = [tie(place + k) for k in range(n + 1)]
     for at in range(start, n if stop is None else min(n, stop)):
         here = best[at]
         if here == NEVER:
             continue
         node, end = tree, at
+        reached = []
         while end < n:
             node = node.get(word[end])
             if node is None:
                 break
             end += 1
-            w = node.get(0)
-            if w is not None:
-                w += here
-                if w > best[end]:
-                    best[end], back[end] = w, at
-                elif w == best[end] and _ties(back, start, at, place) > _ties(back, start, back[end], place):
-                    back[end] = at
-        node = tree.get(word[at])
-        if node is None or 0 not in node:
-            end, w = at + 1, here + unknown
-            if w > best[end]:
-                best[end], back[end] = w, at
-            elif w == best[end] and _ties(back, start, at, place) > _ties(back, start, back[end], place):
-                back[end] = at
-    return best, back
-
-
-def _ties(back: list[int], start: int, end: int, place: int) -> int:
-    total = 0
-    while end > start:
-        total += tie(place + end)
-        end = back[end]
-    return total
-
-
-def weight(solved: tuple[list[int], list[int]], start: int, end: int, place: int) -> int | None:
+            if 0 in node:
+                reached.append((end, node[0]))
+        if not reached or reached[0][0] != at + 1:
+            reached.append((at + 1, unknown))
+        before = ties[at]
+        for end, w in reached:
+            w += here
+            if w > best[end] or (w == best[end] and before + own[end] > ties[end]):
+                best[end], back[end], ties[end] = w, at, before + own[end]
+    return best, back, ties
+
+
+def weight(solved: tuple[list[int], list[int], list[int]], end: int) -> int | None:
     """The whole weight of the best way to ``end``: score, then ties."""
-    best, back = solved
-    return (best[end] << _SHIFT) + _ties(back, start, end, place) if best[end] != NEVER else None
+    best, _, ties = solved
+    return (best[end] << _SHIFT) + ties[end] if best[end] != NEVER else None
 
 
 def walk(v: Vocabulary, word: str, back: list[int], start: int, end: int) -> list[int]:
@@ -160,11 +164,6 @@ def walk(v: Vocabulary, word: str, back: list[int], start: int, end: int) -> lis
     return [i for a, b in itertools.pairwise(cuts) for i in v.of(word[a:b])]
 
 
-def starts(marked: str) -> list[int]:
-    """Places after the first where a word starts: a space mark after something else."""
-    return [m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", marked)]
-
-
 def marked_text(text: str) -> str:
     return SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE) if text else ""
 
@@ -178,24 +177,6 @@ class Encoder:
         self.total: dict[str, int] = {}
         self.lookup = Lookup(v)
 
-    def words(self, text: str) -> list[str]:
-        """A text's words without their first space mark; those after further spaces start with the rest of the marks."""
-        if not text:
-            return []
-        if SPACE in text:
-            text = text.replace(SPACE, LITERAL)
-        words = text.split(" ")
-        if "" in words:
-            joined, run = [], ""
-            for k, w in enumerate(words):
-                if w or k == len(words) - 1:
-                    joined.append(run + w)
-                    run = ""
-                else:
-                    run += SPACE
-            words = joined
-        return words
-
     def learn(self, words: set[str]) -> None:
         """Solves those words that are not known yet."""
         new = words.difference(self.known)
@@ -205,21 +186,20 @@ class Encoder:
             new = words
         by_length: dict[int, list[str]] = {}
         for w in new:
-            by_length.setdefault(len(w) + 1, []).append(w)
+            by_length.setdefault(len(w), []).append(w)
         for n, group in sorted(by_length.items()):
-            done = self.lookup.solve([SPACE + w for w in group], n) if n <= Lookup.LONGEST else [None] * len(group)
+            done = self.lookup.solve(group, n) if n <= Lookup.LONGEST else [None] * len(group)
             for w, found in zip(group, done, strict=True):
                 if found is None:
-                    marked = SPACE + w
-                    solved = solve(self.v, marked)
-                    found = np.array(walk(self.v, marked, solved[1], 0, n), "<i4").tobytes(), weight(solved, 0, n, 0)
+                    solved = solve(self.v, w)
+                    found = np.array(walk(self.v, w, solved[1], 0, n), "<i4").tobytes(), weight(solved, n)
                 self.known[w] = found[0]
                 if self.totals:
                     self.total[w] = found[1]
 
     def packed(self, bodies: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
-        split = [self.words(x) for x in bodies]
+        split = [self.v.segments(marked_text(x)) for x in bodies]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
@@ -337,7 +317,7 @@ def transfer(e: Encoder, own: str, halo: str, place: int) -> Matrix:
     is solved once for each state.
     """
     v, n = e.v, len(own)
-    cuts = ([] if place else [0]) + starts(own + halo)
+    cuts = ([] if place else [0]) + v.starts(own + halo)
     inside = [k for k in cuts if k < n]
     until = next((k for k in cuts if k >= n), n + len(halo))
     out: Matrix = {(r, r - n): 0 for r in range(n, v.longest)}
@@ -345,25 +325,25 @@ def transfer(e: Encoder, own: str, halo: str, place: int) -> Matrix:
         word = (own + halo)[:until]
         for r in range(min(v.longest, n)):
             solved = solve(v, word, r, n, place)
-            out |= {(r, c - n): w for c in range(n, until + 1) if (w := weight(solved, r, c, place)) is not None}
+            out |= {(r, c - n): w for c in range(n, until + 1) if (w := weight(solved, c)) is not None}
         return out
     first, last = inside[0], inside[-1]
     heads = {first: 0} if first < v.longest else {}
     for r in range(min(v.longest, first)):
-        w = weight(solve(v, own[:first], r, None, place), r, first, place)
+        w = weight(solve(v, own[:first], r, None, place), first)
         if w is not None:
             heads[r] = w
-    words = [own[a + 1 : b] for a, b in itertools.pairwise(inside)]
+    words = [own[a:b] for a, b in itertools.pairwise(inside)]
     e.learn(set(words))
     middle = sum(map(e.total.__getitem__, words))
     solved = solve(v, (own + halo)[last:until], 0, n - last)
-    tails = {c: w for c in range(until - n + 1) if (w := weight(solved, 0, n - last + c, 0)) is not None}
+    tails = {c: w for c in range(until - n + 1) if (w := weight(solved, n - last + c)) is not None}
     return {k: w for k, w in out.items() if k[0] > n} | {(r, c): a + middle + b for r, a in heads.items() for c, b in tails.items()}
 
 
-def inner_words(chunks: list[tuple[str, str, int]]) -> set[str]:
-    """The words that lie whole in chunks, without their first space mark."""
-    return {own[a + 1 : b] for own, _, place in chunks for a, b in itertools.pairwise(([] if place else [0]) + starts(own))}
+def inner_words(v: Vocabulary, chunks: list[tuple[str, str, int]]) -> set[str]:
+    """The segments that lie whole in chunks."""
+    return {own[a:b] for own, _, place in chunks for a, b in itertools.pairwise(([] if place else [0]) + v.starts(own))}
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
@@ -404,7 +384,7 @@ def boundaries(matrices: list[Matrix]) -> list[int]:
 
 def split(v: Vocabulary, marked: str, size: int = CHUNK) -> list[tuple[str, str, int]]:
     """(own text, halo, place): place is how far the chunk's start lies in its word."""
-    at = np.array([0, *starts(marked)])
+    at = np.array([0, *v.starts(marked)])
     return [(marked[a : a + size], marked[a + size : a + size + v.longest - 1], int(a - at[np.searchsorted(at, a, "right") - 1])) for a in range(0, len(marked), size)]
 
 
@@ -414,7 +394,7 @@ def chunk_ids(e: Encoder, own: str, halo: str, place: int, enter: int, leave: in
     if enter >= n:
         return []
     marked, end = own + halo, n + leave
-    cuts = ([] if place else [0]) + starts(own)
+    cuts = ([] if place else [0]) + v.starts(own)
     edges = sorted({enter, *(k for k in cuts if k > enter), end})
     out: list[int] = []
     if enter not in cuts:  # the rest of a word
@@ -423,7 +403,7 @@ def chunk_ids(e: Encoder, own: str, halo: str, place: int, enter: int, leave: in
         edges = edges[1:]
     if len(edges) < 2:
         return out
-    words = [own[a + 1 : b] for a, b in itertools.pairwise(edges[:-1])]
+    words = [own[a:b] for a, b in itertools.pairwise(edges[:-1])]
     e.learn(set(words))
     out += np.frombuffer(b"".join(map(e.known.__getitem__, words)), "<i4").tolist()
     a = edges[-2]
@@ -463,20 +443,22 @@ def _encoder(v: Vocabulary):
 def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
     """Giant documents: chunks with matrices, one scan per document over matrices alone, chunks backtraced apart."""
 
+    small = "<u2" if len(v.texts) <= 1 << 16 else "<i4"
+
     def chunks(batches):
         for batch in batches:
             for uid, i, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for n, (own, halo, place) in enumerate(split(v, marked_text(x), size)):
-                    data = [(uid, i, n, pickle.dumps((own, halo, place)))]
+                    data = [(uid, i, n, _pack((own, halo, place)))]
                     yield _rows(data, [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["uid", "doc_id", "no", "chunk"])
 
     def measure(batches):
-        encoder = Encoder(v, room=200_000)
+        encoder = Encoder(v)
         for batch in batches:
             for at in range(0, len(batch), 128):
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]
-                loaded = [pickle.loads(c) for c in columns[2]]
-                encoder.learn(inner_words(loaded))
+                loaded = [_unpack(c) for c in columns[2]]
+                encoder.learn(inner_words(v, loaded))
                 yield _rows([(u, n, pickle.dumps(transfer(encoder, *c))) for u, n, c in zip(*columns[:2], loaded, strict=True)], [pa.int64(), pa.int32(), pa.binary()], ["uid", "no", "matrix"])
 
     def settle(group: pa.Table) -> pa.Table:
@@ -490,18 +472,18 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]
-                loaded = [pickle.loads(c) for c in columns[3]]
-                encoder.learn(inner_words(loaded))
+                loaded = [_unpack(c) for c in columns[3]]
+                encoder.learn(inner_words(v, loaded))
                 for u, i, n, (own, halo, place), a, b in zip(*columns[:3], loaded, *columns[4:], strict=True):
                     ids = chunk_ids(encoder, own, halo, place, a, b)
-                    text = own if n else own[1:]
-                    yield _rows([(u, i, n, ids, text.replace(SPACE, " ").replace(LITERAL, SPACE))], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.string()], ["uid", "doc_id", "no", "ids", "body"])
+                    text = (own + halo)[a : len(own) + b].replace(SPACE, " ").replace(LITERAL, SPACE)
+                    same = b"".join([v.texts[k] for k in ids]) == text.encode("utf-8", "surrogatepass")
+                    yield _rows([(u, i, n, np.array(ids, small).tobytes(), same)], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()], ["uid", "doc_id", "no", "ids", "same"])
 
     def join(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("no").to_numpy()).tolist()
-        ids = [i for k in order for i in group.column("ids")[k].as_py()]
-        body = "".join(group.column("body")[k].as_py() for k in order)
-        one = _rows([(group.column("doc_id")[0].as_py(), len(ids), ids, v.decode(ids) == body)], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_()], ["doc_id", "n_tokens", "ids", "round_trip"])
+        ids = np.concatenate([np.frombuffer(group.column("ids")[k].as_py(), small) for k in order]).tolist()
+        one = _rows([(group.column("doc_id")[0].as_py(), len(ids), ids, all(group.column("same").to_pylist()))], [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_()], ["doc_id", "n_tokens", "ids", "round_trip"])
         return pa.Table.from_batches([one])
 
     # cut here: the row numbers must be the same for the matrices and for the backtrace
@@ -509,10 +491,18 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
     matrices = dealt.select("uid", "no", "chunk").mapInArrow(measure, "uid long, no int, matrix binary")
     states = matrices.groupBy("uid").applyInArrow(settle, "its long, at int, enter int, leave int")
     joined = dealt.join(states, (F.col("uid") == F.col("its")) & (F.col("no") == F.col("at"))).select("uid", "doc_id", "no", "chunk", "enter", "leave")
-    traced = joined.mapInArrow(trace, "uid long, doc_id long, no int, ids array<int>, body string")
+    traced = joined.mapInArrow(trace, "uid long, doc_id long, no int, ids binary, same boolean")
     return traced.groupBy("uid").applyInArrow(join, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
+def _pack(chunk: tuple[str, str, int]) -> bytes:
+    return zlib.compress(pickle.dumps(chunk), 1)
+
+
+def _unpack(data: bytes) -> tuple[str, str, int]:
+    return pickle.loads(zlib.decompress(data))
+
+
 def _rows(rows, types, names) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
