@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import table
+from prefixloom.llm.common import cut, table
 
 #: More alternatives than this are not tracked; the query then asks for less, which loses no match.
 MOST_STRINGS = 48
@@ -182,7 +182,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     repeated id does no harm, and a collision can only propose too much.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    proposed = candidates(rows.select("key", "text"), rules)
+    proposed = cut(candidates(rows.select("key", "text"), rules))  # cut here, so that the join may split a hot text's rows
     joined = rows.join(proposed.withColumnRenamed("key", "its"), F.col("key") == F.col("its"), "left")
     return joined.select("doc_id", verified(F.col("text"), F.col("rules"), rules).alias("found"))
 
@@ -216,7 +216,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     ``n_chars``, where the table has it, is the new text's length.
     """
     rows = docs.withColumns({"__text": F.coalesce(F.col("text"), F.lit("")), "__key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    proposed = candidates(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text"))).select(F.col("key").alias("__its"), F.col("rules").alias("__rules"))
+    proposed = cut(candidates(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")))).select(F.col("key").alias("__its"), F.col("rules").alias("__rules"))
     joined = rows.join(proposed, F.col("__key") == F.col("__its"), "left")
     found = joined.withColumn("__found", verified(F.col("__text"), F.col("__rules")))
     kind = "struct<at:int,out:string>"
