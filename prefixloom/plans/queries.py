@@ -337,10 +337,10 @@ fa AS (SELECT letters, batch, word, word_known, length(word) AS word_length, num
 """
 
 
-def _access(spark, sf_dir):
+def _access(spark, sf_dir, batches=2):
     own = dictionary_words(spark, sf_dir)
     reversed_words = sampling.difference(own.select(F.reverse("word").alias("word")).distinct(), own)
-    return experiments.access(own, reversed_words, 3, INSERTED, 2)
+    return experiments.access(own, reversed_words, 3, INSERTED, batches)
 
 
 @query(f"{_ACCESS} SELECT * FROM fa")
@@ -358,6 +358,26 @@ def mean_of_repeats(spark, sf_dir):
     return experiments.mean_of_repeats(_access(spark, sf_dir), ["letters", "batch"], "height", 10)
 
 
+#: The trials of the experiment; the three queries above run the first two, as their SQL does.
+TRIALS = 10
+_TRIALS = _ACCESS.replace("range(2)", f"range({TRIALS})")
+
+
+@query(f"{_TRIALS} SELECT * FROM fa")
+def access_facts_trials(spark, sf_dir):
+    return _access(spark, sf_dir, TRIALS)
+
+
+@query(f"{_TRIALS} SELECT letters, word_known, result, count(*) AS n, sum(height)::BIGINT AS heights FROM fa GROUP BY ALL")
+def access_confusion_trials(spark, sf_dir):
+    return experiments.confusion(_access(spark, sf_dir, TRIALS))
+
+
+@query(f"{_TRIALS} SELECT letters, batch, (sum(height) / 10)::DOUBLE AS mean FROM fa GROUP BY ALL")
+def mean_of_repeats_trials(spark, sf_dir):
+    return experiments.mean_of_repeats(_access(spark, sf_dir, TRIALS), ["letters", "batch"], "height", 10)
+
+
 @cache
 def _rule_values() -> str:
     rows = []
