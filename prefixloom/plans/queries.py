@@ -1,12 +1,14 @@
 """The library's registered queries over the driver's tables, and the same in DuckDB SQL.
 
 The dictionary is made of the texts: runs of a to z of at most 15 letters.
-Words of up to nine letters are inserted, all words are looked up.
+Words of up to nine letters are inserted, all words are looked up.  The
+queries named ``_all`` take every word of the texts instead.
 """
 
 from __future__ import annotations
 
-from functools import cache
+import re
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,22 +55,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lexicon(spark: SparkSession, sf_dir: str, longest: int | None = LONGEST) -> DataFrame:
     """word, ord: all words in order."""
-    return by_word(lexicons.words_of_texts(documents(spark, sf_dir), longest=LONGEST))
+    return by_word(lexicons.words_of_texts(documents(spark, sf_dir), longest=longest))
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dictionary(spark: SparkSession, sf_dir: str, longest: int | None = INSERTED) -> DataFrame:
     """word, ord: the words that are inserted."""
-    return by_word(lexicons.words_of_texts(documents(spark, sf_dir), longest=INSERTED))
+    return by_word(lexicons.words_of_texts(documents(spark, sf_dir), longest=longest))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.build(dictionary_words(spark, sf_dir))
+def nodes(spark: SparkSession, sf_dir: str, longest: int | None = INSERTED) -> DataFrame:
+    return trie.build(dictionary_words(spark, sf_dir, longest))
 
 
-def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicons.words_of_texts(documents(spark, sf_dir), longest=INSERTED)
+def dictionary_words(spark: SparkSession, sf_dir: str, longest: int | None = INSERTED) -> DataFrame:
+    return lexicons.words_of_texts(documents(spark, sf_dir), longest=longest)
 
 
 def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,30 +78,30 @@ def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(" SELECT word, ord, length(word) AS word_length FROM lex")
-def lexicon_words(spark, sf_dir):
-    return lexicon(spark, sf_dir).select("word", "ord", F.length("word").cast("long").alias("word_length"))
+def lexicon_words(spark, sf_dir, longest=LONGEST):
+    return lexicon(spark, sf_dir, longest).select("word", "ord", F.length("word").cast("long").alias("word_length"))
 
 
 @query(" SELECT prefix, parent, letter_index, depth, is_end FROM nodes")
-def trie_nodes(spark, sf_dir):
-    return nodes(spark, sf_dir)
+def trie_nodes(spark, sf_dir, longest=INSERTED):
+    return nodes(spark, sf_dir, longest)
 
 
 @query(" SELECT prefix, is_end, first_ord, data_id, 2 * data_id AS node_id FROM ids")
-def trie_node_ids(spark, sf_dir):
-    return trie.build_with_ids(dictionary(spark, sf_dir)).select("prefix", "is_end", "first_ord", "data_id", "node_id")
+def trie_node_ids(spark, sf_dir, longest=INSERTED):
+    return trie.build_with_ids(dictionary(spark, sf_dir, longest)).select("prefix", "is_end", "first_ord", "data_id", "node_id")
 
 
 @query(" SELECT coalesce(2 * p.data_id, 0) AS parent_node_id, n.letter_index AS node_index, 2 * n.data_id AS node_id, n.is_end FROM ids n LEFT JOIN ids p ON n.parent = p.prefix UNION ALL SELECT NULL, NULL, 0, false")
-def trie_edges(spark, sf_dir):
-    return trie.edges(trie.build_with_ids(dictionary(spark, sf_dir)))
+def trie_edges(spark, sf_dir, longest=INSERTED):
+    return trie.edges(trie.build_with_ids(dictionary(spark, sf_dir, longest)))
 
 
 @query("""
 SELECT CAST(coalesce(2 * p.data_id, 0) AS VARCHAR) AS "parentNodeIdIn", CAST(n.letter_index AS VARCHAR) AS "nodeIndexIn", CAST(2 * n.data_id AS VARCHAR) AS "nodeIdOut", CAST(n.is_end AS VARCHAR) AS "isEndOfWordOut"
 FROM ids n LEFT JOIN ids p ON n.parent = p.prefix UNION ALL SELECT 'null', 'null', '0', 'false'""")
-def edge_export(spark, sf_dir):
-    return sinks.edge_rows(trie.edges(trie.build_with_ids(dictionary(spark, sf_dir))))
+def edge_export(spark, sf_dir, longest=INSERTED):
+    return sinks.edge_rows(trie.edges(trie.build_with_ids(dictionary(spark, sf_dir, longest))))
 
 
 @query("""
@@ -107,61 +109,61 @@ SELECT 'TrieModel' AS model, coalesce(p.data_id, 0) || ',' || n.letter_index AS
 UNION ALL SELECT 'TrieEnd', CAST(data_id AS VARCHAR), upper(CAST(is_end AS VARCHAR)) FROM ids
 UNION ALL SELECT 'TrieCheck', CAST(data_id AS VARCHAR), CAST(letter_index AS VARCHAR) FROM ids
 UNION ALL VALUES ('TrieModel', 'null,null', '0'), ('TrieCheck', 'null', 'null'), ('TrieCheck', '0', 'null'), ('TrieEnd', 'null', 'FALSE'), ('TrieEnd', '0', 'FALSE')""")
-def trie_relations(spark, sf_dir):
-    return trie.relations(trie.build_with_ids(dictionary(spark, sf_dir)))
+def trie_relations(spark, sf_dir, longest=INSERTED):
+    return trie.relations(trie.build_with_ids(dictionary(spark, sf_dir, longest)))
 
 
 @query(" SELECT prefix AS word, depth FROM nodes WHERE is_end")
-def trie_end_words(spark, sf_dir):
-    return nodes(spark, sf_dir).where("is_end").select(F.col("prefix").alias("word"), "depth")
+def trie_end_words(spark, sf_dir, longest=INSERTED):
+    return nodes(spark, sf_dir, longest).where("is_end").select(F.col("prefix").alias("word"), "depth")
 
 
 @query(" SELECT depth, count(*) AS nodes, count(*) FILTER (is_end) AS ends FROM nodes GROUP BY depth")
-def nodes_per_depth(spark, sf_dir):
-    return trie.depth_counts(nodes(spark, sf_dir))
+def nodes_per_depth(spark, sf_dir, longest=INSERTED):
+    return trie.depth_counts(nodes(spark, sf_dir, longest))
 
 
 @query(" SELECT parent AS prefix, count(*) AS children, min(letter_index) AS first_letter, max(letter_index) AS last_letter FROM nodes GROUP BY parent")
-def children_per_node(spark, sf_dir):
-    return trie.children_counts(nodes(spark, sf_dir))
+def children_per_node(spark, sf_dir, longest=INSERTED):
+    return trie.children_counts(nodes(spark, sf_dir, longest))
 
 
 @query(" SELECT depth, letter_index, count(*) AS nodes FROM nodes GROUP BY depth, letter_index")
-def letter_distribution(spark, sf_dir):
-    return trie.letter_counts(nodes(spark, sf_dir))
+def letter_distribution(spark, sf_dir, longest=INSERTED):
+    return trie.letter_counts(nodes(spark, sf_dir, longest))
 
 
 @query(" SELECT prefix, list_transform(range(1, depth), lambda k: substr(prefix, 1, k)) AS path FROM nodes")
-def ancestor_walk(spark, sf_dir):
-    return trie.ancestors(nodes(spark, sf_dir))
+def ancestor_walk(spark, sf_dir, longest=INSERTED):
+    return trie.ancestors(nodes(spark, sf_dir, longest))
 
 
 @query(" SELECT substr(word, 1, 1) AS letter, count(*) AS words, bool_or(length(word) = 1) AS is_word FROM dict GROUP BY 1")
-def first_letter_buckets(spark, sf_dir):
-    return levels.first_letters(dictionary_words(spark, sf_dir))
+def first_letter_buckets(spark, sf_dir, longest=INSERTED):
+    return levels.first_letters(dictionary_words(spark, sf_dir, longest))
 
 
 _LEVELS = " SELECT prefix, depth, bool_or(prefix = word) AS is_word, count(*) FILTER (length(word) > depth) AS rests FROM pre GROUP BY prefix, depth"
 
 
 @query(_LEVELS)
-def level_buckets(spark, sf_dir):
-    return levels.buckets(dictionary_words(spark, sf_dir))
+def level_buckets(spark, sf_dir, longest=INSERTED):
+    return levels.buckets(dictionary_words(spark, sf_dir, longest))
 
 
 @query(f" SELECT depth, max(rests) AS largest, count(*) AS nodes FROM ({_LEVELS}) GROUP BY depth")
-def max_bucket_per_level(spark, sf_dir):
-    return levels.largest_buckets(levels.buckets(dictionary_words(spark, sf_dir)))
+def max_bucket_per_level(spark, sf_dir, longest=INSERTED):
+    return levels.largest_buckets(levels.buckets(dictionary_words(spark, sf_dir, longest)))
 
 
 @query(f" SELECT substr(prefix, 1, depth - 1) AS prefix, max(rests) AS largest FROM ({_LEVELS}) GROUP BY 1")
-def sibling_max_bucket(spark, sf_dir):
-    return levels.sibling_largest(levels.buckets(dictionary_words(spark, sf_dir)))
+def sibling_max_bucket(spark, sf_dir, longest=INSERTED):
+    return levels.sibling_largest(levels.buckets(dictionary_words(spark, sf_dir, longest)))
 
 
 @query(" SELECT word, length(word) AS level FROM dict WHERE length(word) >= 2")
-def init_stats(spark, sf_dir):
-    return levels.init_stats(levels.buckets(dictionary_words(spark, sf_dir)))
+def init_stats(spark, sf_dir, longest=INSERTED):
+    return levels.init_stats(levels.buckets(dictionary_words(spark, sf_dir, longest)))
 
 
 @query(" SELECT * FROM found")
@@ -186,8 +188,8 @@ def search_rules(spark, sf_dir):
 
 
 @query(" SELECT prefix, is_end FROM nodes")
-def insert_rules(spark, sf_dir):
-    return rules.insert(dictionary_words(spark, sf_dir))
+def insert_rules(spark, sf_dir, longest=INSERTED):
+    return rules.insert(dictionary_words(spark, sf_dir, longest))
 
 
 @query(" SELECT word, found AS found_trie, found AS found_list, height AS height_trie, height AS height_rules FROM found")
@@ -210,8 +212,8 @@ pp AS (SELECT DISTINCT substr(word, 1, depth) AS prefix, pattern FROM (SELECT wo
 
 
 @query(f"{_PAIRS} al AS (SELECT prefix, pattern, is_end FROM pp JOIN nodes USING (prefix) UNION ALL SELECT DISTINCT '', pattern, false FROM wp) SELECT prefix, list_sort(list(pattern)) AS patterns, bool_or(is_end) AS is_end FROM al GROUP BY prefix")
-def pattern_nodes(spark, sf_dir):
-    return patterns.node_patterns(patterns.build(_patterned(spark, sf_dir, INSERTED)))
+def pattern_nodes(spark, sf_dir, longest=INSERTED):
+    return patterns.node_patterns(patterns.build(_patterned(spark, sf_dir, longest)))
 
 
 _ASKED = f"""{_PAIRS}
@@ -237,8 +239,8 @@ def pattern_compare(spark, sf_dir):
 LANGS = ("de", "en", "es", "fr")
 
 
-def _vectors(spark, sf_dir):
-    pairs = _patterned(spark, sf_dir, LONGEST)
+def _vectors(spark, sf_dir, longest=LONGEST):
+    pairs = _patterned(spark, sf_dir, longest)
     flags = pairs.groupBy("word").agg(*[F.max(F.when(F.col("pattern") == x, F.lit("1"))).alias(x) for x in LANGS])
     return by_word(flags).select("word", "ord", F.array(*[W.presence(F.col(x)) for x in LANGS]).alias("vector"))
 
@@ -247,13 +249,13 @@ _VECTORS = f", v AS (SELECT word, [{', '.join(f'CASE WHEN bool_or(lang = {x!r})
 
 
 @query(f"{_VECTORS} SELECT vector, pattern_id FROM vi")
-def pattern_dense_ids(spark, sf_dir):
-    return patterns.dense_ids(_vectors(spark, sf_dir))
+def pattern_dense_ids(spark, sf_dir, longest=LONGEST):
+    return patterns.dense_ids(_vectors(spark, sf_dir, longest))
 
 
 @query(f"{_VECTORS} SELECT word, CAST(length(word) AS VARCHAR) AS word_length, CAST(pattern_id AS VARCHAR) AS pattern_id FROM v JOIN vi USING (vector)")
-def pattern_dictionary(spark, sf_dir):
-    return patterns.with_ids(_vectors(spark, sf_dir)).select("word", F.length("word").cast("string").alias("word_length"), F.col("pattern_id").cast("string").alias("pattern_id"))
+def pattern_dictionary(spark, sf_dir, longest=LONGEST):
+    return patterns.with_ids(_vectors(spark, sf_dir, longest)).select("word", F.length("word").cast("string").alias("word_length"), F.col("pattern_id").cast("string").alias("pattern_id"))
 
 
 @query(" SELECT word FROM lex WHERE word NOT IN (SELECT word FROM dict)")
@@ -265,23 +267,23 @@ _ORDERED = ", o AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) -
 
 
 @query(f"{_ORDERED} SELECT word FROM o WHERE n // 2 = 0 OR place < n // 2")
-def sample_half(spark, sf_dir):
-    return sampling.fraction(dictionary_words(spark, sf_dir), 2)
+def sample_half(spark, sf_dir, longest=INSERTED):
+    return sampling.fraction(dictionary_words(spark, sf_dir, longest), 2)
 
 
 @query(f"{_ORDERED} SELECT word FROM o WHERE n // 6 = 0 OR place < n // 6")
-def sample_sixth(spark, sf_dir):
-    return sampling.fraction(dictionary_words(spark, sf_dir), 6)
+def sample_sixth(spark, sf_dir, longest=INSERTED):
+    return sampling.fraction(dictionary_words(spark, sf_dir, longest), 6)
 
 
 @query(f"{_ORDERED} SELECT word, place FROM o")
-def shuffled_words(spark, sf_dir):
-    return sampling.shuffled(dictionary_words(spark, sf_dir))
+def shuffled_words(spark, sf_dir, longest=INSERTED):
+    return sampling.shuffled(dictionary_words(spark, sf_dir, longest))
 
 
 @query(f"{_ORDERED} SELECT word, CASE WHEN place < n // 2 THEN 'test' ELSE 'train' END AS part FROM o WHERE place < n // 2 OR place >= n - n // 2")
-def half_split(spark, sf_dir):
-    return sampling.halves(dictionary_words(spark, sf_dir))
+def half_split(spark, sf_dir, longest=INSERTED):
+    return sampling.halves(dictionary_words(spark, sf_dir, longest))
 
 
 @query(""", u AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) - 1 AS place FROM lex WHERE word NOT IN (SELECT word FROM dict))
@@ -297,8 +299,8 @@ def length_sweep_counts(spark, sf_dir):
 
 
 @query(" SELECT ord // 1000 AS chunk, count(*) AS words, min(word) AS first_word FROM lex GROUP BY 1")
-def chunk_sizes(spark, sf_dir):
-    return sampling.chunks(lexicon(spark, sf_dir), 1000).groupBy("chunk").agg(F.count(F.lit(1)).alias("words"), F.min("word").alias("first_word"))
+def chunk_sizes(spark, sf_dir, longest=LONGEST):
+    return sampling.chunks(lexicon(spark, sf_dir, longest), 1000).groupBy("chunk").agg(F.count(F.lit(1)).alias("words"), F.min("word").alias("first_word"))
 
 
 _LCP = "list_max(list_transform(range(0, least(length(previous), length(word)) + 1), lambda k: CASE WHEN substr(previous, 1, k) = substr(word, 1, k) THEN k ELSE 0 END))"
@@ -322,6 +324,19 @@ def growth_list(spark, sf_dir):
     return growth.of_list(rows, ["letters"])
 
 
+_SWEEP = ", g AS (SELECT letters, word, row_number() OVER w - 1 AS num_words, lag(word, 1, '') OVER w AS previous FROM lex, (SELECT unnest(range(3, 12)) AS letters) WHERE length(word) BETWEEN {least} AND letters WINDOW w AS (PARTITION BY letters ORDER BY {order}))"
+
+
+@query(f"{_SWEEP.format(least=2, order='length(word), word')} SELECT letters, word, length(word) AS word_length, num_words, length(word) AS read_letters, length(word) - {_LCP} AS new_letters FROM g")
+def growth_bfs_sweep(spark, sf_dir):
+    return growth.in_level_order(sampling.sweep(all_words(spark, sf_dir), 3, 11), ["letters"])
+
+
+@query(f"{_SWEEP.format(least=1, order='word')} SELECT letters, word, length(word) AS word_length, num_words FROM g")
+def growth_list_sweep(spark, sf_dir):
+    return growth.of_list(by_word(sampling.sweep(all_words(spark, sf_dir), 3, 11), "num_words", by=["letters"]), ["letters"])
+
+
 _ACCESS = """
 , sw AS (SELECT letters, batch, word, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY letters, batch) AS n FROM dict, (SELECT unnest(range(3, 10)) AS letters), (SELECT unnest(range(2)) AS batch) WHERE length(word) <= letters WINDOW w AS (PARTITION BY letters, batch ORDER BY md5(word || batch), word)),
 kn AS (SELECT letters, batch, word FROM sw WHERE n // 2 = 0 OR place < n // 2),
@@ -407,15 +422,15 @@ def rule_tables(spark, sf_dir):
 
 
 @query(" SELECT 'TrieEnd' AS model, CAST(2 * data_id AS VARCHAR) AS key, upper(CAST(is_end AS VARCHAR)) AS out FROM ids")
-def rule_lookup(spark, sf_dir):
-    own = trie.build_with_ids(dictionary(spark, sf_dir))
+def rule_lookup(spark, sf_dir, longest=INSERTED):
+    own = trie.build_with_ids(dictionary(spark, sf_dir, longest))
     table = own.select(F.lit("TrieEnd").alias("model"), F.col("node_id").cast("string").alias("key"), W.upper_flag(F.col("is_end")).alias("out"))
     return rules.lookup(table.select("model", "key"), table)
 
 
 @query(" SELECT 'TrieEnd' AS model, prefix AS key, CASE WHEN depth > 1 THEN 'TRUE' ELSE 'FALSE' END AS out FROM nodes")
-def rule_upsert(spark, sf_dir):
-    own = nodes(spark, sf_dir)
+def rule_upsert(spark, sf_dir, longest=INSERTED):
+    own = nodes(spark, sf_dir, longest)
     old = own.select(F.lit("TrieEnd").alias("model"), F.col("prefix").alias("key"), F.lit("FALSE").alias("out"))
     changed = own.where("depth > 1").select(F.lit("TrieEnd").alias("model"), F.col("prefix").alias("key"), F.lit("TRUE").alias("out"), F.col("depth").cast("long").alias("seq"))
     return rules.upsert(old, changed)
@@ -438,23 +453,23 @@ _SWITCH = "CASE WHEN 2 * data_id < 996.5 THEN 0 WHEN 2 * data_id < 1995.5 THEN 1
 
 
 @query(f" SELECT {_SHARD} AS shard, {_SWITCH} AS switch_shard, count(*) AS nodes, count(*) FILTER (is_end) AS ends, min(2 * data_id) AS low, max(2 * data_id) AS high FROM ids GROUP BY 1, 2")
-def shard_routing(spark, sf_dir):
-    own = trie.build_with_ids(dictionary(spark, sf_dir))
+def shard_routing(spark, sf_dir, longest=INSERTED):
+    own = trie.build_with_ids(dictionary(spark, sf_dir, longest))
     rows = own.withColumns({"shard": models.shard(F.col("node_id")), "switch_shard": models.switch_shard(F.col("node_id"))})
     return rows.groupBy("shard", "switch_shard").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("is_end").cast("long")).alias("ends"), F.min("node_id").alias("low"), F.max("node_id").alias("high"))
 
 
 @query(" SELECT 2 * data_id AS node_id, letter_index, false AS differs FROM ids")
-def previous_letter_check(spark, sf_dir):
-    own = trie.build_with_ids(dictionary(spark, sf_dir))
+def previous_letter_check(spark, sf_dir, longest=INSERTED):
+    own = trie.build_with_ids(dictionary(spark, sf_dir, longest))
     table = models.previous_letter_table(own).select(F.col("node_id").alias("its"), F.col("letter_index").alias("predicted"))
     rows = own.join(table, F.col("node_id") == F.col("its"))
     return rows.select("node_id", "letter_index", W.mismatch(F.col("predicted"), F.col("letter_index")).alias("differs"))
 
 
 @query(" SELECT CAST(is_end AS VARCHAR) AS label, count(*) AS n, count(*) * 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS share FROM nodes GROUP BY 1")
-def class_priors(spark, sf_dir):
-    return models.priors(nodes(spark, sf_dir), "is_end")
+def class_priors(spark, sf_dir, longest=INSERTED):
+    return models.priors(nodes(spark, sf_dir, longest), "is_end")
 
 
 _ABC = "SELECT chr(CAST(97 + k AS INT)) AS c FROM (SELECT unnest(range(26)) AS k)"
@@ -480,7 +495,24 @@ def search_hybrid(spark, sf_dir):
 
 
 @query()
-def model_confusion(spark, sf_dir):
-    own = nodes(spark, sf_dir)
+def model_confusion(spark, sf_dir, longest=INSERTED):
+    own = nodes(spark, sf_dir, longest)
     rows = own.join(models.predict(models.fit_end_model(own), own, "end"), "prefix")
     return rows.groupBy("is_end", "end").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def _whole(name: str) -> None:
+    """Registers a query over all words, whatever their length, as ``name_all``; its SQL has no length limit either."""
+    QUERIES[f"{name}_all"] = partial(QUERIES[name], longest=None)
+    if name in ORACLE:
+        ORACLE[f"{name}_all"] = re.sub(r" WHERE length\(word\) <= \d+", "", ORACLE[name])
+
+
+#: Searches, non-words and access need unknown words, so their dictionaries stay limited.
+WHOLE = (
+    "lexicon_words", "trie_nodes", "trie_node_ids", "trie_edges", "edge_export", "trie_relations", "trie_end_words", "nodes_per_depth", "children_per_node", "letter_distribution", "ancestor_walk",
+    "first_letter_buckets", "level_buckets", "max_bucket_per_level", "sibling_max_bucket", "init_stats", "insert_rules", "pattern_nodes", "pattern_dense_ids", "pattern_dictionary", "chunk_sizes",
+    "sample_half", "sample_sixth", "shuffled_words", "half_split", "rule_lookup", "rule_upsert", "shard_routing", "previous_letter_check", "class_priors", "model_confusion",
+)
+for _name in WHOLE:
+    _whole(_name)

@@ -34,10 +34,10 @@ def from_words(spark: SparkSession, words: list[str]) -> DataFrame:
     return spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, ord long")
 
 
-def words_of_texts(texts: DataFrame, text: str = "text", longest: int = 15, *keep: str) -> DataFrame:
-    """The different runs of a to z of at most ``longest`` letters in a text column, per value of the ``keep`` columns."""
+def words_of_texts(texts: DataFrame, text: str = "text", longest: int | None = 15, *keep: str) -> DataFrame:
+    """The different runs of a to z of at most ``longest`` letters (None: of any length) in a text column, per value of the ``keep`` columns."""
     runs = texts.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return runs.where(F.length("word") <= longest).distinct()
+    return (runs if longest is None else runs.where(F.length("word") <= longest)).distinct()
 
 
 def non_words(spark: SparkSession, dictionary: DataFrame, length: int, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> DataFrame:
