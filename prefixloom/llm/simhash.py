@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import map_arrow, table, texts
+from prefixloom.llm.common import cut, map_arrow, table, texts
 from prefixloom.llm.components import components
 
 SEED = 42
@@ -185,8 +185,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """One document of each group: a row of the smallest id, all columns kept; rows of a null id stay."""
-    found = near_duplicates(docs.where("doc_id is not null")).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__root"))
-    kept = found.where("__id = __root").select("__id").distinct()
-    once = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """One document row of each group, all columns kept: of the smallest id, then fingerprint, then text hash.
+
+    Groups join different fingerprints, not ids: texts that share an id are
+    documents of their own, and a null id, which sorts last, is one as well.
+    """
+    own = lambda: F.coalesce(F.unhex(F.md5("text")), F.lit(b""))
+
+    def run(columns):
+        ids, bodies, hashes = columns
+        return [ids, hashes, np.array([fingerprint(x) for x in bodies], np.uint64).view(np.int64).tolist()]
+
+    prints = map_arrow(docs.select("doc_id", "text", own().alias("hash")), "doc_id: long, hash: binary, fp: long", run)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "hash")).alias("first")
+    distinct = cut(prints.groupBy("fp").agg(first))
+    labels = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    rooted = distinct.join(labels, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = rooted.select(F.col("first.doc_id").alias("__id"), F.col("first.hash").alias("__kept"))
+    rows = docs.withColumn("__hash", own())
+    once = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
+    return once.dropDuplicates(["doc_id", "__hash"]).drop("__hash")

@@ -169,6 +169,13 @@ def test_simhash_on_odd_rows(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_first_of_group_on_shared_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, c), (5, c), (None, d), (None, d), (None, c), (None, "e f"), (5, None), (None, None)]
+    once = simhash.first_of_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, once.collect())) == sorted(map(str, spark.createDataFrame([(3, a), (5, b), (5, c), (None, d), (None, "e f"), (5, None)], "doc_id long, text string").collect()))
+
+
 def pages(spark):
     rows = [(k, f"http://x/{k} a\n", t, "s") for k, t in enumerate(ODD)] + [(20, None, "a", "s"), (21, "u", "a", "s"), (None, "u", "a", "s"), (None, "v", "only", "s"), (5, "u", "x" * 30_000, "s")]
     return spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
