@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from prefixloom.llm.common import SAMPLE_ROWS, cut, map_arrow, table, texts
 from prefixloom.llm.quality import labelled_sample
 
-# Terms for groups; each row lists terms that may stand for one another.
+# Terms for groups in English, German, Spanish and French; each row lists terms that may stand for one another. A term may be in several rows.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -26,8 +26,26 @@ IDENTITY = (
     ("black", "white", "asian", "latino", "arab"),
     ("gay", "lesbian", "straight", "bisexual", "transgender"),
     ("immigrants", "refugees", "natives"), ("deaf", "blind", "disabled"), ("old", "young"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("schwarze", "weiße", "asiaten", "latinos", "araber"),
+    ("schwul", "lesbisch", "hetero", "bisexuell", "transgeschlechtlich"), ("schwule", "lesben", "heteros", "bisexuelle"),
+    ("einwanderer", "flüchtlinge", "einheimische"), ("gehörlose", "blinde", "behinderte"), ("alte", "junge"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("gais", "lesbianas", "heterosexuales", "bisexuales"),
+    ("inmigrantes", "refugiados", "nativos"), ("sordos", "ciegos", "discapacitados"), ("viejos", "jóvenes"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("gays", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("immigrés", "réfugiés", "autochtones"), ("sourds", "aveugles", "handicapés"), ("vieux", "jeunes"),
 )
-SWAPS = {w: [o for o in row if o != w] for row in IDENTITY for w in row}
+SWAPS = {w: sorted({o for row in IDENTITY if w in row for o in row} - {w}) for w in {x for row in IDENTITY for x in row}}
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_~`«»¿¡"
 BEGINNINGS = (3, 4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -58,16 +76,30 @@ def bag(text: str) -> dict[str, int]:
     return out
 
 
-def counterfactuals(text: str, most: int = 4) -> list[tuple[dict[str, int], dict[str, int]]]:
-    """Pairs of bags: a sentence that names a group, and the sentence with another group's term."""
-    out = []
+def counterfactuals(text: str) -> list[tuple[dict[str, int], int]]:
+    """What swapping a group's term for another one takes from and adds to a sentence's bag, and how often.
+
+    Every mention in every sentence counts.  A bag has different words, so the
+    mentions of a term in a sentence change it alike, and so do sentences that
+    have the two terms in the same way: a long text has few different changes.
+    """
+    times: dict[tuple[str, str, bool, bool], int] = {}
     for sentence in SENTENCE.findall(text.lower()):
-        words = sentence.split()
-        for k, w in enumerate(words):
-            for other in SWAPS.get(w.strip(STRIP), ())[: most - len(out)]:
-                out.append((bag(sentence), bag(" ".join([*words[:k], other, *words[k + 1 :]]))))
-        if len(out) >= most:
-            break
+        words: dict[str, int] = {}
+        for x in sentence.split():
+            w = x.strip(STRIP)
+            words[w] = words.get(w, 0) + 1
+        for w in words.keys() & SWAPS.keys():
+            for other in SWAPS[w]:
+                key = w, other, words[w] == 1, other not in words
+                times[key] = times.get(key, 0) + words[w]
+    out = []
+    for (w, other, goes, comes), n in sorted(times.items()):
+        change: dict[str, int] = {}
+        for word, by, counts in ((w, 1, goes), (other, -1, comes)):
+            for f in features(word) if counts else ():
+                change[f] = change.get(f, 0) + by
+        out.append((change, n))
     return out
 
 
@@ -111,16 +143,19 @@ def vector(b: dict[str, int], column: dict[str, int]) -> tuple[list[int], list[f
     return [c for c, _ in picked], [n for _, n in picked]
 
 
-def pair_vectors(text: str, column: dict[str, int]) -> list[tuple[list[int], list[float]]]:
-    """The changes that swapping group terms makes."""
-    return [vector({f: a.get(f, 0) - b.get(f, 0) for f in {*a, *b}}, column) for a, b in counterfactuals(text)]
+def pair_vectors(text: str, column: dict[str, int]) -> list[tuple[list[int], list[float], float]]:
+    """The changes that swapping group terms makes, each with its share of the text's swaps."""
+    changes = counterfactuals(text)
+    swaps = sum(n for _, n in changes)
+    return [(*vector(c, column), n / swaps) for c, n in changes]
 
 
-def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[tuple[list[int], list[float]]], names: list[str], pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> Model:
-    """Logistic regression with weight ``pull`` on the mean squared change of the score over the pairs."""
+def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[tuple[list[int], list[float], float]], names: list[str], pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> Model:
+    """Logistic regression with weight ``pull`` on the mean squared change of the score over the pairs, each of its own weight."""
     base = y.mean()
     at, cols, vals = _sparse(rows)
     p_at, p_cols, p_vals = _sparse(pairs)
+    shares = np.array([p[2] for p in pairs])
     weight = np.where(y == 1, 0.5 / base, 0.5 / (1 - base)) * 0.5 + 0.5
     w, bias = np.zeros(len(names)), float(np.log(base / (1 - base)))
     m, v, m0, v0 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -130,7 +165,7 @@ def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[
         g = np.bincount(cols, vals * err[at], len(w)) + ridge * w
         if pairs:
             change = np.bincount(p_at, p_vals * w[p_cols], len(pairs))
-            g += pull * np.bincount(p_cols, p_vals * change[p_at], len(w)) / len(pairs)
+            g += pull * np.bincount(p_cols, p_vals * (shares * change)[p_at], len(w)) / shares.sum()
         g0 = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         m0, v0 = 0.9 * m0 + 0.1 * g0, 0.99 * v0 + 0.01 * g0 * g0
@@ -140,8 +175,8 @@ def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[
     return Model(float(bias), {f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3})
 
 
-def _sparse(rows: list[tuple[list[int], list[float]]]):
-    sizes = [len(c) for c, _ in rows]
+def _sparse(rows: list[tuple]):
+    sizes = [len(r[0]) for r in rows]
     flat = lambda k, kind: np.fromiter((x for r in rows for x in r[k]), kind, sum(sizes))
     return np.repeat(np.arange(len(rows)), sizes), flat(0, np.int64), flat(1, float)
 
@@ -175,18 +210,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pu
     def measure(columns):
         bodies, y = columns
         own = [vector(bag(x), column) for x in bodies]
-        pairs = [[c for p in pair_vectors(x, column) for c in (*p[0], -1)] for x in bodies]
-        changes = [[c for p in pair_vectors(x, column) for c in (*p[1], 0.0)] for x in bodies]
-        return [[c for c, _ in own], [v for _, v in own], pairs, changes, y]
+        pairs = [pair_vectors(x, column) for x in bodies]
+        swapped = [[c for p in own_pairs for c in (*p[0], -1)] for own_pairs in pairs]
+        changes = [[v for p in own_pairs for v in (*p[1], p[2])] for own_pairs in pairs]
+        return [[c for c, _ in own], [v for _, v in own], swapped, changes, y]
 
     got = map_arrow(sample.select("text", "y"), "cols: array<int>, vals: array<double>, pair_cols: array<int>, pair_vals: array<double>, y: double", measure).collect()
     got.sort(key=lambda r: (r.cols, r.vals, r.y))
-    pairs: list[tuple[list[int], list[float]]] = []
+    pairs: list[tuple[list[int], list[float], float]] = []
     for r in got:
         first = 0
         for k, c in enumerate(r.pair_cols):
             if c < 0:
-                pairs.append((r.pair_cols[first:k], r.pair_vals[first:k]))
+                pairs.append((r.pair_cols[first:k], r.pair_vals[first:k], r.pair_vals[k]))
                 first = k + 1
     return train([(r.cols, r.vals) for r in got], np.array([r.y for r in got]), pairs, names, pull)
 

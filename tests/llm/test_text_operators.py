@@ -90,6 +90,27 @@ def test_counterfactual_penalty_lowers_group_weights(spark):
     assert held.scorer()("you scum w3") > 0.5 > held.scorer()("w3 w4")
 
 
+def test_every_group_term_is_swapped():
+    text = "Muslims, men and muslims met. " * 7 + "No one came! Old MEN and women? " + "Die Frauen und die Muslime. Las mujeres. Les juifs"
+    want, swaps = {}, 0
+    for sentence in toxicity.SENTENCE.findall(text.lower()):
+        words = sentence.split()
+        for k, w in enumerate(words):
+            for other in toxicity.SWAPS.get(w.strip(toxicity.STRIP), ()):
+                a, b = toxicity.bag(sentence), toxicity.bag(" ".join([*words[:k], other, *words[k + 1 :]]))
+                change = frozenset((f, n) for f in {*a, *b} if (n := a.get(f, 0) - b.get(f, 0)))
+                want[change] = want.get(change, 0) + 1
+                swaps += 1
+    got = {}
+    for change, n in toxicity.counterfactuals(text):
+        key = frozenset((f, x) for f, x in change.items() if x)
+        got[key] = got.get(key, 0) + n
+    assert got == want and swaps == 7 * (5 + 1 + 5) + 3 + 1 + 5 + 1 + 5
+    column = {f: k for k, f in enumerate(sorted({f for change in want for f, _ in change}))}
+    pairs = toxicity.pair_vectors(text, column)
+    assert abs(sum(p[2] for p in pairs) - 1) < 1e-9 and toxicity.pair_vectors("nobody", column) == []
+
+
 def test_toxicity_never_learns_from_held_out_rows(spark):
     docs = spark.createDataFrame([(k, f"scum t{k}" if k % 2 else f"fine t{k}") for k in range(200)], "doc_id long, text string")
     import zlib
