@@ -4,13 +4,16 @@ Documents are cut without loss into pieces of at most the row's width.  The
 pieces are dealt to shards by a hash of their document, each shard is packed
 best-fit-decreasing with a segment tree over the rows' free space, and each row
 carries its id matrix line, the cumulative segment lengths and the positions,
-which start again at zero with each segment.
+which start again at zero with each segment.  A piece is known by its document's
+id, the digest of the whole text and its number, so texts that share an id, or
+have none, come back apart.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +36,12 @@ END = 50256
 BLANK_RUN = re.compile(r"\s |[ ]\Z|\A\Z")
 
 
+def load(vocabulary: str = VOCABULARY) -> dict[bytes, int]:
+    """The ranks of a vocabulary file, read on the driver; what is sent to executors is bounded by the file's size."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Encoder:
     """Byte-level BPE with a bounded memory of words.
 
@@ -40,11 +49,9 @@ class Encoder:
     so a text without such runs is the concatenation of its words' ids.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, room: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], room: int = 400_000):
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.room = room
         self.first: dict[str, bytes] = {}
@@ -127,57 +134,63 @@ def best_fit_decreasing(lengths: np.ndarray, width: int) -> list[list[int]]:
 
 
 def pieces(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(shard, doc_id, piece, ids): the ids of every document and an end mark, cut in pieces of at most ``width``.
+    """(doc_id, digest, piece, ids): the ids of every document and an end mark, cut in pieces of at most ``width``.
 
     A null or empty text is the end mark alone, so no document is lost.
     """
-    rows = texts(docs).withColumn("shard_key", F.xxhash64("doc_id", "text"))
+    rows = texts(docs).select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), "text")
+    ranks = load(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(ranks)
         mark = np.array([END], "<u2").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 256):
                 small = batch.slice(at, 256)
-                keys, ids, numbers, data = [], [], [], []
-                for i, x, k in zip(*[c.to_pylist() for c in small.columns], strict=True):
+                ids, keys, numbers, data = [], [], [], []
+                for i, k, x in zip(*[c.to_pylist() for c in small.columns], strict=True):
                     whole = encoder.ids(x) + mark
                     for n, start in enumerate(range(0, len(whole), 2 * width)):
-                        keys.append(k)
                         ids.append(i)
+                        keys.append(k)
                         numbers.append(n)
                         data.append(whole[start : start + 2 * width])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["shard_key", "doc_id", "piece", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "digest", "piece", "ids"])
 
-    return rows.mapInArrow(cut, "shard_key long, doc_id long, piece int, ids binary")
+    return rows.mapInArrow(cut, "doc_id long, digest binary, piece int, ids binary")
 
 
 def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Packed rows: shard, row, input_ids, cu_seqlens, position_ids, doc_ids, piece_numbers.
+    """Packed rows: shard, row, input_ids, cu_seqlens, position_ids, doc_ids, digests, piece_numbers.
 
     ``input_ids`` and ``position_ids`` are lines of 16-bit little-endian
     matrices, ``width`` numbers each (``decode_line`` reads them); cu_seqlens
     starts with 0 and ends where the filler begins.  Equal lengths keep the
-    order of (doc_id, piece, ids), so equal inputs give equal rows; repeated
-    rows are packed as often as they occur.
+    order of (doc_id, digest, piece), so equal inputs give equal rows; repeated
+    rows are packed as often as they occur, and texts of one id or of null ids
+    are told apart by their digests.
     """
     total = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     shards = max(1, -(-total // shard_chars))
-    dealt = pieces(docs, width, vocabulary).withColumn("shard", F.pmod(F.xxhash64("shard_key", "piece"), F.lit(shards)).cast("long")).drop("shard_key")
-    return dealt.groupBy("shard").applyInArrow(_packer(width), "shard long, row long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, piece_numbers array<int>")
+    dealt = pieces(docs, width, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "piece"), F.lit(shards)).cast("long"))
+    return _packed(dealt, width)
+
+
+def _packed(dealt: DataFrame, width: int) -> DataFrame:
+    return dealt.groupBy("shard").applyInArrow(_packer(width), "shard long, row long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, digests array<binary>, piece_numbers array<int>")
 
 
 def _packer(width: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        items = sorted(zip(*[group.column(c).to_pylist() for c in ("doc_id", "piece", "ids")], strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
-        lengths = np.array([len(x[2]) // 2 for x in items], np.int64)
+        items = sorted(zip(*[group.column(c).to_pylist() for c in ("doc_id", "digest", "piece", "ids")], strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        lengths = np.array([len(x[3]) // 2 for x in items], np.int64)
         rows = best_fit_decreasing(lengths, width)
         filler = np.full(width, END, "<u2").tobytes()
-        ids, sums, positions, owners, numbers = [], [], [], [], []
+        ids, sums, positions, owners, keys, numbers = [], [], [], [], [], []
         for row in rows:
             own = lengths[row]
-            line = b"".join(items[k][2] for k in row)
+            line = b"".join(items[k][3] for k in row)
             ids.append(line + filler[len(line) :])
             edges = np.concatenate(([0], np.cumsum(own)))
             sums.append(edges.tolist())
@@ -185,12 +198,13 @@ def _packer(width: int) -> Callable[[pa.Table], pa.Table]:
             place[: edges[-1]] = np.arange(edges[-1]) - np.repeat(edges[:-1], own)
             positions.append(place.astype("<u2").tobytes())
             owners.append([items[k][0] for k in row])
-            numbers.append([items[k][1] for k in row])
+            keys.append([items[k][1] for k in row])
+            numbers.append([items[k][2] for k in row])
         columns = [
             pa.array([shard] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(ids, pa.binary()), pa.array(sums, pa.list_(pa.int32())),
-            pa.array(positions, pa.binary()), pa.array(owners, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.int32())),
+            pa.array(positions, pa.binary()), pa.array(owners, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int32())),
         ]
-        return pa.Table.from_arrays(columns, names=["shard", "row", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "piece_numbers"])
+        return pa.Table.from_arrays(columns, names=["shard", "row", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "digests", "piece_numbers"])
 
     return run
 
@@ -199,14 +213,17 @@ def decode_line(line: bytes) -> np.ndarray:
     return np.frombuffer(line, "<u2")
 
 
-def unpack(rows: list, vocabulary: str = VOCABULARY) -> dict[int, str]:
-    """The texts by doc_id from collected packed rows; the round trip of ``pack`` for tests and spot checks."""
-    encoder, found = Encoder(vocabulary), {}
+def unpack(rows: list, vocabulary: str = VOCABULARY) -> Counter:
+    """(doc_id, text) of every document, counted, from collected packed rows; the round trip of ``pack`` for tests and spot checks."""
+    encoder = Encoder(load(vocabulary))
+    found: dict[tuple[int | None, bytes], dict[int, list[int]]] = {}
+    copies: Counter = Counter()
     for r in rows:
         line = decode_line(r["input_ids"]).tolist()
-        for k, (i, n) in enumerate(zip(r["doc_ids"], r["piece_numbers"], strict=True)):
-            found.setdefault(i, {})[n] = line[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]]
-    return {i: encoder.text([x for n in sorted(p) for x in p[n]]) for i, p in found.items()}
+        for k, (i, d, n) in enumerate(zip(r["doc_ids"], r["digests"], r["piece_numbers"], strict=True)):
+            found.setdefault((i, bytes(d)), {})[n] = line[r["cu_seqlens"][k] : r["cu_seqlens"][k + 1]]
+            copies[i, bytes(d)] += n == 0
+    return Counter({(key[0], encoder.text([x for n in sorted(p) for x in p[n]])): copies[key] for key, p in found.items()})
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
