@@ -3,7 +3,14 @@
 Each record is a gzip member of its own, so a damaged one costs no other.  The
 reader checks every member and record; after a failed check it searches for the
 next gzip member or version line, goes on from there, and reports the bytes in
-between as a quarantined gap.
+between as a quarantined gap.  A member of several records is searched in the
+same way: records before and after a damaged one are kept, and of a member that
+is cut off or corrupt, those that had been unpacked before.
+
+Files are bounded by bytes, not by rows: records are put together to blocks of
+about BLOCK_BYTES, and a file has BLOCKS of them, so a file holds 64 MB and at
+most BLOCKS records beyond.  A file is read whole by one task; those of others
+may have up to the 2 GB that Spark's reader allows.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import shared_dir, table
+from prefixloom.llm.common import cut, drop_dir, shared_dir, table
 
 # Fixed values of the two formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -28,10 +35,10 @@ VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 #: An empty gzip member; it stands between the rows of a text file, whose writer needs a separator.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "00000000" "00000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes given to the decompressor at once.
-STEP = 32_768
-#: Rows of one archive file.
-FILE_ROWS = 20_000
+#: Bytes given to the decompressor at first, and at most, at once: a false start fails within the first few.
+STEPS = 1_024, 262_144
+#: Bytes after which a block of records ends, and blocks of one archive file.
+BLOCK_BYTES, BLOCKS = 8_000_000, 8
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -62,26 +69,35 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Found:
-    """A record, or a gap if ``reason`` is set; ``start`` and ``end`` are offsets in the file."""
+    """A record, or a gap if ``reason`` is set.
+
+    ``start`` and ``end`` are offsets in the file, those of the whole member if
+    it is compressed; ``inner`` is then the range in the unpacked bytes.
+    """
 
     start: int
     end: int
     reason: str | None = None
     fields: dict[str, str] | None = None
     block: bytes = b""
+    inner: tuple[int, int] | None = None
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    """All records of an archive, compressed by member or not, and the gaps between them."""
+    """All records of an archive, compressed by member or not, and the gaps between them.
+
+    A member without records (an empty one) is neither.  Of a member that does
+    not unpack to its end, records that pass their checks are kept and the
+    member's bytes are also a gap, up to the next member or version line.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
         got, nxt, reason = _one(data, at)
+        if bad is not None and (got or reason is None):
+            yield Found(bad, at, why)
+            bad = None
+        yield from got
         if reason is None:
-            if bad is not None:
-                yield Found(bad, at, why)
-                bad = None
-            for fields, block in got:
-                yield Found(at, nxt, None, fields, block)
             at = nxt
             continue
         if bad is None:
@@ -94,33 +110,66 @@ def salvage(data: bytes) -> Iterator[Found]:
 def _next(data: bytes, at: int) -> int:
     """The next place that looks like a member or a version line."""
     a = data.find(MAGIC, at)
-    m = VERSION.search(data, at)
-    return min(a if a >= 0 else len(data), m.start() if m else len(data))
+    m = VERSION.search(data, at, a if a >= 0 else len(data))
+    return m.start() if m else a if a >= 0 else len(data)
 
 
-def _one(data: bytes, at: int):
-    """Records that start at ``at``, the place after them, and the reason if a check failed."""
+def _one(data: bytes, at: int) -> tuple[list[Found], int, str | None]:
+    """What starts at ``at``, the place after it, and the reason if a check of the whole failed."""
     if data.startswith(MAGIC, at):
-        unpack, fed, plain = zlib.decompressobj(31), at, b""
-        try:
-            while not unpack.eof and fed < len(data):
-                plain += unpack.decompress(data[fed : fed + STEP])
-                fed += STEP
-        except zlib.error as e:
-            return (), at, f"gzip: {e}"
-        if not unpack.eof:
-            return (), at, "gzip: cut off"
-        nxt, inner, out = min(fed, len(data)) - len(unpack.unused_data), 0, []
-        while inner < len(plain):
-            fields, block, inner, reason = _record(plain, inner)
-            if reason:
-                return (), at, reason
-            out.append((fields, block))
-        return out, nxt, None
+        plain, nxt, reason = _unpacked(data, at)
+        found = [Found(at, nxt, why, fields, block, (a, b)) for a, b, why, fields, block in _searched(plain)]
+        return [f for f in found if not reason or f.reason is None], nxt, reason
     if VERSION.match(data, at):
         fields, block, nxt, reason = _record(data, at)
-        return ([(fields, block)] if not reason else ()), nxt, reason
-    return (), at, "no member or version line"
+        return [Found(at, nxt, None, fields, block)] if not reason else [], nxt, reason
+    return [], at, "no member or version line"
+
+
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The bytes of the member at ``at``, as far as they can be had, the place after it, and the reason if it has no proper end."""
+    unpack, fed, parts, (step, most) = zlib.decompressobj(31), at, [], STEPS
+    try:
+        while not unpack.eof and fed < len(data):
+            parts.append(unpack.decompress(data[fed : fed + step]))
+            fed, step = fed + step, min(most, 2 * step)
+    except zlib.error as e:
+        return b"".join(parts) + _last_bytes(data, at, fed, step), fed, f"gzip: {e}"
+    if not unpack.eof:
+        return b"".join(parts), len(data), "gzip: cut off"
+    return b"".join(parts), min(fed, len(data)) - len(unpack.unused_data), None
+
+
+def _last_bytes(data: bytes, start: int, fed: int, step: int) -> bytes:
+    """What the decompressor gives, byte by byte, of the step that it failed in."""
+    unpack, out = zlib.decompressobj(31), []
+    unpack.decompress(data[start:fed])
+    try:
+        for k in range(fed, min(fed + step, len(data))):
+            out.append(unpack.decompress(data[k : k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _searched(plain: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes]]:
+    """Records and gaps of unpacked bytes: (start, end, reason, fields, block)."""
+    at, bad, why = 0, None, ""
+    while at < len(plain):
+        fields, block, nxt, reason = _record(plain, at)
+        if reason is None:
+            if bad is not None:
+                yield bad, at, why, None, b""
+                bad = None
+            yield at, nxt, None, fields, block
+            at = nxt
+            continue
+        if bad is None:
+            bad, why = at, reason
+        m = VERSION.search(plain, at + 1)
+        at = m.start() if m else len(plain)
+    if bad is not None:
+        yield bad, len(plain), why, None, b""
 
 
 def _record(data: bytes, at: int):
@@ -158,7 +207,7 @@ def http_length(block: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-def write_archives(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+def write_archives(pages: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> None:
     """Writes one record per row of ``pages`` (page_id, url, html) to ``path`` by Spark's own writer.
 
     Of rows with equal payloads (a null html is empty) that of the largest
@@ -171,34 +220,48 @@ def write_archives(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> N
     target = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
 
     def pack(batches):
+        members: list[bytes] = []
+        size = 0
         for batch in batches:
-            ids, urls, bodies, targets = batch.columns
-            out = [member(record(i.as_py(), u.as_py(), b.as_py(), t.as_py())) for i, u, b, t in zip(ids, urls, bodies, targets, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
+            for i, u, b, t in zip(*batch.columns, strict=True):
+                members.append(member(record(i.as_py(), u.as_py(), b.as_py(), t.as_py())))
+                size += len(members[-1])
+                if size >= block_bytes:
+                    yield _block(members)
+                    members, size = [], 0
+        if members:
+            yield _block(members)
 
     packed = joined.select("page_id", "url", F.encode("html", "UTF-8").alias("body"), target.alias("target")).mapInArrow(pack, "data binary")
     lines = packed.select(F.col("data").cast("string").alias("value"))
-    lines.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", file_rows).text(path)
+    lines.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", blocks).text(path)
+
+
+def _block(members: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["data"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record and every gap of the archives under ``path``.
 
-    Columns: file, start, end, gap (the reason, null for records), page_id,
-    url, record_type, refers_to, payload_bytes, payload_digest (the last two of
-    the full payload, also for revisits) and payload (null for revisits).
+    Columns: file, start, end, plain_start, plain_end (of what lies in a
+    compressed member: its place in the unpacked bytes), gap (the reason, null
+    for records), page_id, url, record_type, refers_to, payload_bytes,
+    payload_digest (the last two of the full payload, also for revisits) and
+    payload (null for revisits).
     """
-    schema = "file string, start long, end long, gap string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    schema = "file string, start long, end long, plain_start long, plain_end long, gap string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
+                rows, size = [], 0
                 for f in salvage(content.as_py()):
-                    rows.append((name.as_py(), f.start, f.end, f.reason, *(_columns(f) if f.reason is None else (None,) * 7)))
-                    if len(rows) >= 500:
+                    rows.append((name.as_py(), f.start, f.end, *(f.inner or (None, None)), f.reason, *(_columns(f) if f.reason is None else (None,) * 7)))
+                    size += len(f.block)
+                    if len(rows) >= 500 or size >= BLOCK_BYTES:
                         yield _batch(rows)
-                        rows = []
+                        rows, size = [], 0
                 yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
@@ -216,17 +279,20 @@ def _columns(f: Found):
 
 
 def _batch(rows):
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    names = ["file", "start", "end", "gap", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["file", "start", "end", "plain_start", "plain_end", "gap", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     columns = list(zip(*rows)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as archives in the shared folder and read back."""
+    """Pages written as archives in the shared folder and read back; a gap in these archives is an error."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).where("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("gap").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("a gap in "), "file", F.lit(": "), "gap")).cast("boolean"))
+    found = cut(read_archives(spark, path).where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    drop_dir(spark, path)
+    return found
 
 
 ORACLE = """

@@ -182,7 +182,7 @@ def pages(spark):
 
 
 def test_archives_round_trip(spark, tmp_path):
-    warc.write_archives(pages(spark), str(tmp_path / "w"), file_rows=3)
+    warc.write_archives(pages(spark), str(tmp_path / "w"), block_bytes=200, blocks=2)
     rows = warc.read_archives(spark, str(tmp_path / "w")).collect()
     assert all(r.gap is None for r in rows) and len(rows) == pages(spark).count()
     last = {}
@@ -222,3 +222,59 @@ def test_salvage_goes_on_after_damage():
     junk = b"no archive\n" + warc.member(warc.record(1, None, b"", None)) + b"\x1f\x8b\x08 cut"
     assert [f.reason is None for f in warc.salvage(junk)] == [False, True, False]
     assert list(warc.salvage(b"")) == []
+
+
+def several(packed, count=5):
+    rng = random.Random(7)
+    records = [warc.record(k, "u", bytes(rng.randrange(256) for _ in range(300)), None) for k in range(count)]
+    return records, warc.member(b"".join(records)) if packed else b"".join(records)
+
+
+def ids_of(found):
+    return [int(f.fields["warc-record-id"][10:-1]) for f in found if f.reason is None]
+
+
+def test_salvage_inside_a_member_of_several_records():
+    records, _ = several(True)
+    after = warc.member(warc.record(9, "u", b"next", None))
+    for broken in range(5):
+        bad = [bytearray(r) for r in records]
+        bad[broken][-40] ^= 0xFF
+        found = list(warc.salvage(warc.member(b"".join(map(bytes, bad))) + after))
+        assert ids_of(found) == [k for k in range(5) if k != broken] + [9]
+        start = sum(map(len, records[:broken]))
+        assert [f.inner for f in found if f.reason] == [(start, start + len(records[broken]))]
+
+
+def test_salvage_of_a_member_that_is_cut_or_corrupt():
+    records, whole = several(True)
+    after = warc.member(warc.record(9, "u", b"next", None))
+    for gone in (8, 10):  # the check sum, and with it the end of the last record
+        for rest in (b"", after):
+            found = list(warc.salvage(whole[:-gone] + rest))
+            assert ids_of(found) == [*range(5 if gone == 8 else 4), *([9] if rest else [])]
+            assert [(f.start, f.end) for f in found if f.reason] == [(0, len(whole) - gone)]
+    corrupt = bytearray(whole)
+    corrupt[len(whole) // 2] ^= 0xFF
+    found = list(warc.salvage(bytes(corrupt) + after))
+    assert ids_of(found)[:1] == [0] and ids_of(found)[-1] == 9 and any(f.reason for f in found)
+
+
+def test_salvage_takes_time_in_proportion_on_false_starts():
+    import time
+
+    records, whole = several(True, 3)
+    began = time.time()
+    found = list(warc.salvage((warc.MAGIC + b"\x00" * 7) * 100_000 + b"WARC/1.1\r\n" * 20_000 + whole))
+    assert ids_of(found) == [0, 1, 2] and time.time() - began < 30
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, tmp_path, monkeypatch):
+    import pytest
+
+    pages(spark).write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op9_warc(spark, str(tmp_path)).count() == pages(spark).count()
+    member = warc.member
+    monkeypatch.setattr(warc, "member", lambda data: member(data)[:-4])
+    with pytest.raises(Exception, match="a gap in"):
+        warc.op9_warc(spark, str(tmp_path)).count()
