@@ -8,13 +8,16 @@ texts that hold m t / (2 - t) of the template's own bigrams at all.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from prefixloom.llm.common import map_arrow, table, texts
 
 THRESHOLD = 0.8
 
-# Licence notices and short licences.
+# Licence notices and short licences; whole ones are in the folder of templates.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -41,6 +44,14 @@ Unless required by applicable law or agreed to in writing, software distributed
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+
+def full_texts(folder: str = str(Path(__file__).parent / "templates")) -> dict[str, str]:
+    """Whole licences by name, one text file each, read on the driver; what is sent to executors is bounded by the folder's size."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(folder).glob("*.txt"))}
+
+
+TEMPLATES |= full_texts()
+
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -93,40 +104,89 @@ class Scanner:
         return [best for n in names if (best := self._best(n, lines))]
 
     def _best(self, name: str, lines: list[tuple[int, list[bytes]]]) -> tuple[str, float, int, int] | None:
+        """The best run for one template, by starts from the last line to the first.
+
+        Of a start, only those ends count whose line adds a bigram to the run.
+        A line does so for all starts after the last place that has its bigram
+        before (``_news``), so lines drop out for good as starts move up, and
+        the next line left is found by pointers: lines that repeat are skipped
+        in one step however many they are.
+        """
         wanted, most = self.sets[name], self.most(name)
+        news, mine, crossing = self._news(wanted, lines)
+        touched = [bool(m) for m in mine]
+        touched = [t or (k + 1 < len(lines) and crossing[k + 1][1]) for k, t in enumerate(touched)]
+        after = list(range(len(lines) + 1))  # the next line left, by path halving
+
+        def left(k: int) -> int:
+            while after[k] != k:
+                after[k] = after[after[k]]
+                k = after[k]
+            return k
+
+        dead: dict[int, list[int]] = {}
+        for b, n in enumerate(news):
+            dead.setdefault(n[0] if n else len(lines) - 1, []).append(b)
         best = None
-        touched = [bool(wanted.intersection(zip(w, w[1:]))) or self._joins(wanted, lines, k) for k, (_, w) in enumerate(lines)]
-        for a in range(len(lines)):
-            if not touched[a]:  # a run that starts at a line without shared bigrams is worse than the shorter one
+        for a in range(len(lines) - 1, -1, -1):
+            for b in dead.get(a, ()):  # for starts up to here, the line adds nothing
+                if b > a:
+                    after[b] = b + 1
+            if not touched[a]:  # a run that starts at a line without shared bigrams is no better than the shorter one
                 continue
-            run: set[tuple[bytes, bytes]] = set()
-            last: list[bytes] = []
-            for b in range(a, len(lines)):
-                words = lines[b][1]
-                run.update(zip(words, words[1:]))
-                if last:
-                    run.add((last[-1], words[0]))
-                last = words
-                if len(run) > most:
+            have, same = len(news[a]) - crossing[a][0], len(mine[a]) - crossing[a][1]
+            b = a
+            while have <= most:
+                if same:
+                    dice = 2 * same / (have + len(wanted))
+                    if dice >= self.threshold and (best is None or (dice, -a) > (best[0], -best[1])):
+                        best = (dice, a, b)
+                b = left(b + 1)
+                if b >= len(lines):
                     break
-                if not touched[b] and b > a:
-                    continue
-                dice = 2 * len(run & wanted) / (len(run) + len(wanted))
-                if dice >= self.threshold and (best is None or dice > best[1]):
-                    best = (name, dice, lines[a][0], lines[b][0])
-        return best
-
-    def _joins(self, wanted, lines, k) -> bool:
-        """Whether a shared bigram crosses into a neighbouring line."""
+                have += bisect_left(news[b], a)
+                same += bisect_left(mine[b], a)
+        if best is None:
+            return None
+        dice, a, b = best
+        run = {x for k in range(a, b + 1) for x in self._bigrams(lines, k, k > a)}
+        while a and run.issuperset(self._bigrams(lines, a - 1, False)) and (lines[a - 1][1][-1], lines[a][1][0]) in run:
+            a -= 1  # earlier lines that add nothing
+        return name, dice, lines[a][0], lines[b][0]
+
+    @staticmethod
+    def _bigrams(lines: list[tuple[int, list[bytes]]], k: int, joined: bool) -> set[tuple[bytes, bytes]]:
+        """Bigrams of a line, with the one that joins it to the line before if ``joined``."""
         words = lines[k][1]
-        return (k > 0 and (lines[k - 1][1][-1], words[0]) in wanted) or (k + 1 < len(lines) and (words[-1], lines[k + 1][1][0]) in wanted)
+        out = set(zip(words, words[1:]))
+        if joined:
+            out.add((lines[k - 1][1][-1], words[0]))
+        return out
+
+    def _news(self, wanted: frozenset, lines: list[tuple[int, list[bytes]]]):
+        """For each line the sorted last starts whose runs have its bigrams already, of all and of wanted ones; and how many of each only its join to the line before adds."""
+        last: dict[tuple[bytes, bytes], int] = {}
+        news, mine, crossing = [], [], []
+        for k in range(len(lines)):
+            inside, every = self._bigrams(lines, k, False), self._bigrams(lines, k, k > 0)
+            before = {x: last.get(x, -1) for x in every}
+            news.append(sorted(before.values()))
+            mine.append(sorted(v for x, v in before.items() if x in wanted))
+            join = every - inside
+            crossing.append((len(join), sum(x in wanted for x in join)))
+            for x in join:
+                last[x] = max(last.get(x, -1), k - 1)
+            for x in inside:
+                last[x] = k
+        return news, mine, crossing
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and template found: doc_id, license, dice, first_line, last_line (0-based).
 
     Null, empty and one-word texts have no bigrams and no row; repeated rows
-    and null ids each give their own rows.
+    and null ids each give their own rows.  Time is in proportion to a text's
+    lines, however often they repeat.
     """
 
     def run(columns):
