@@ -15,20 +15,13 @@ from pyspark.sql import functions as F
 from prefixloom.llm.common import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): for every node of a link its component's smallest node.  ``edges`` has long columns a and b."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(now)
-    for _ in range(most_rounds):
-        if state[0] == 0:
-            break
-        after = cut(_small_star(_large_star(now)))
-        new = _state(after)
-        done, now, state = new == state, after, new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    state, before = _state(now), None
+    while state[0] and state != before:
+        now = cut(_small_star(_large_star(now)))
+        state, before = _state(now), state
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 

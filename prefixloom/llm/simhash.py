@@ -1,8 +1,11 @@
 """SimHash near-duplicates: exact linking of fingerprints at a small Hamming distance.
 
-Fingerprints are made per text, equal ones collapse, and different ones meet in
-tables keyed by block combinations: with 6 blocks and at most 4 differing bits
-two blocks agree, so one of 15 tables brings every linked pair together.
+Fingerprints are made once per text, equal ones collapse, and different ones
+meet in tables keyed by block combinations: with 6 blocks and at most 4
+differing bits two blocks agree, so one of 15 tables, keyed by 21 bits, brings
+every linked pair together.  More fingerprints get wider keys, so that buckets
+of unrelated members stay small: 7 blocks have 35 tables of 27 bits, 8 blocks
+70 tables of 32 bits.  The links are the same with each.
 Inside such a bucket a pivot table decides: the distances of each member to
 many reference fingerprints are computed once, a pair whose coordinates differ
 by more than the limit anywhere cannot be linked (triangle inequality) and is
@@ -25,7 +28,8 @@ from prefixloom.llm.components import components
 SEED = 42
 SHINGLE = 4
 MOST_BITS = 4
-BLOCKS = 6
+#: Different fingerprints up to which so many blocks are made; what is more gets the last.
+BLOCKS = ((1 << 23, 6), (1 << 29, 7), (1 << 63, 8))
 PIVOTS = 16
 #: Members of one part of a bucket; a task sees two parts at once.
 PART = 4096
@@ -109,22 +113,30 @@ def forest(fps: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarr
     return order[np.array(out_a, np.int64)], order[np.array(out_b, np.int64)]
 
 
-def keys(column) -> list:
-    """For each pair of blocks a number of table and block bits, from the signed fingerprint."""
-    edges = [round(k * 64 / BLOCKS) for k in range(BLOCKS + 1)]
-    block = [F.shiftrightunsigned(column, a).bitwiseAND((1 << (b - a)) - 1) for a, b in itertools.pairwise(edges)]
-    width = max(b - a for a, b in itertools.pairwise(edges))
-    return [F.shiftleft(F.shiftleft(block[i], width).bitwiseOR(block[j]), 5).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(itertools.combinations(range(BLOCKS), BLOCKS - MOST_BITS))]
+def keys(column, blocks: int) -> list:
+    """For each choice of blocks that must agree a number of table and block bits, from the signed fingerprint."""
+    edges = [round(k * 64 / blocks) for k in range(blocks + 1)]
+    block = [(F.shiftrightunsigned(column, a).bitwiseAND((1 << (b - a)) - 1), b - a) for a, b in itertools.pairwise(edges)]
+    out = []
+    for k, chosen in enumerate(itertools.combinations(block, blocks - MOST_BITS)):
+        key = F.lit(k).cast("long")
+        for bits, width in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(bits)
+        out.append(key)
+    return out
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, blocks: int | None = None) -> DataFrame:
     """(a, b): links between the representatives of different fingerprints that connect all that is within the limit.
 
     ``distinct`` has ``fp`` and ``rep``.  Buckets of one fingerprint end early;
     a bucket of more than PART members is cut in parts by a hash, and every
     pair of parts becomes a group of its own, so none grows with the bucket.
     """
-    keyed = distinct.select("fp", "rep", F.explode(F.array(*keys(F.col("fp")))).alias("key"))
+    if blocks is None:
+        count = distinct.count()
+        blocks = next(b for most, b in BLOCKS if count <= most)
+    keyed = distinct.select("fp", "rep", F.explode(F.array(*keys(F.col("fp"), blocks))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("its"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     member = keyed.join(sizes, F.col("key") == F.col("its"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int")).otherwise(F.lit(0))
@@ -170,9 +182,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if no document with an id shares that fingerprint; it links no others.
     Repeated rows are kept; texts without words share fingerprint 0.
     """
-    prints = fingerprints(docs)
+    prints = cut(fingerprints(docs))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = reps.where("least is not null").select("fp", F.col("least").alias("rep"))
+    distinct = cut(reps.where("least is not null").select("fp", F.col("least").alias("rep")))
     labels = components(links(distinct))
     named = distinct.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("its"), F.coalesce("component", "rep").alias("root"))
     out = prints.join(named, F.col("fp") == F.col("its"), "left")

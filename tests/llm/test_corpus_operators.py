@@ -142,9 +142,9 @@ def test_links_against_brute_force(spark, monkeypatch):
         prints[k] = base
     want = brute_components(prints)
     rows = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)), k) for v, k in {v: k for k, v in sorted(prints.items(), reverse=True)}.items()], "fp long, rep long")
-    for part in (4096, 5):  # with 5, buckets are dealt out as pairs of parts
+    for part, blocks in ((4096, None), (5, 6), (4096, 7), (4096, 8)):  # with 5, buckets are dealt out as pairs of parts
         monkeypatch.setattr(simhash, "PART", part)
-        found = {r.node: r.component for r in components(simhash.links(rows)).collect()}
+        found = {r.node: r.component for r in components(simhash.links(rows, blocks)).collect()}
         by_print = {}
         for k, v in prints.items():
             by_print.setdefault(v, []).append(k)
