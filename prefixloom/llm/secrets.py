@@ -3,17 +3,19 @@
 Each rule's pattern is parsed into a Boolean query over lower-case trigrams that
 every match must contain.  The index holds postings (trigram, doc) for just the
 trigrams that some rule asks for, at most one per document and trigram, so a
-posting is never collected; intersecting them is a count per (document, rule).
-A rule without mandatory trigrams scans every text.
+posting is never collected; one pass over a text finds them all, and
+intersecting them is a count per (document, rule).  Only candidates are shuffled
+or sent: their keys are few, so they meet the texts in a second pass.  A rule
+without mandatory trigrams scans every text.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from prefixloom.llm.common import cut, table
 
 #: More alternatives than this are not tracked; the query then asks for less, which loses no match.
 MOST_STRINGS = 48
+#: Candidates (16 bytes each) up to which they are broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -156,22 +160,43 @@ def _needs(rule: Rule) -> list[frozenset[str]]:
     return mandatory(rule.pattern)
 
 
+def _present(low: Column, grams: list[str]) -> Column:
+    """Which of the trigrams a lower-case text has, by one pass: where three classes of characters match, the alternatives are tried in groups of one first letter."""
+    some = lambda cs: "[" + "".join(map(re.escape, sorted(set(cs)))) + "]"
+    heads: dict[str, dict[str, list[str]]] = {}
+    for g in grams:
+        heads.setdefault(g[0], {}).setdefault(g[1], []).append(g[2])
+    each = "|".join(re.escape(a) + "(?:" + "|".join(re.escape(b) + some(cs) for b, cs in sorted(d.items())) + ")" for a, d in sorted(heads.items()))
+    pattern = f"(?={''.join(some(g[k] for g in grams) for k in range(3))})(?=({each}))"
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(key, rules): the ranks of the rules whose Boolean query the document's trigrams satisfy.
+    """(key, rules): as bits, the ranks of the rules whose Boolean query the document's trigrams satisfy.
 
     ``docs`` has ``key`` and ``text``.  The postings of the rules' trigrams are
     built per document and intersected by clause: a rule holds if each of its
     clauses has a posting.
     """
-    asked = sorted({(t, r, c) for r, rule in enumerate(rules) for c, clause in enumerate(_needs(rule)) for t in clause})
-    grams = sorted({t for t, _, _ in asked})
-    clauses = {r: len(_needs(rule)) for r, rule in enumerate(rules) if _needs(rule)}
-    low = docs.select("key", F.lower("text").alias("low"))
-    posted = low.select("key", F.explode(F.filter(F.array(*[F.when(F.instr("low", t) > 0, F.lit(k)) for k, t in enumerate(grams)]), lambda x: x.isNotNull())).alias("gram"))
-    query = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.array(*[F.lit(r * 100 + c) for t2, r, c in asked if t2 == t])) for k, t in enumerate(grams)))
+    clauses = [(r, clause) for r, rule in enumerate(rules) for clause in _needs(rule)]
+    grams = sorted({t for _, clause in clauses for t in clause})
+    if not grams:
+        return docs.select("key", F.lit(0).cast("long").alias("rules")).limit(0)
+    posted = docs.select("key", F.explode(_present(F.lower("text"), grams)).alias("gram"))
+    query = F.create_map(*itertools.chain.from_iterable((F.lit(t), F.array(*[F.lit(c) for c, (_, clause) in enumerate(clauses) if t in clause])) for t in grams))
     met = posted.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set(query[F.col("gram")]))).alias("met"))
-    holds = [F.when(reduce(lambda a, b: a & b, [F.array_contains("met", r * 100 + c) for c in range(n)]), F.lit(r)) for r, n in clauses.items()]
-    return met.select("key", F.filter(F.array(*holds), lambda x: x.isNotNull()).alias("rules")).where(F.size("rules") > 0)
+    rule_bits = F.lit(0).cast("long")
+    for r in sorted({r for r, _ in clauses}):
+        needed = F.array(*[F.lit(c) for c, (own, _) in enumerate(clauses) if own == r])
+        rule_bits = rule_bits.bitwiseOR(F.when(F.size(F.array_intersect("met", needed)) == F.size(needed), F.lit(1 << r)).otherwise(F.lit(0)).cast("long"))
+    return met.select("key", rule_bits.alias("rules")).where("rules <> 0")
+
+
+def _proposed(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` (with __key and __text) and the candidates' bits in __rules, null for others."""
+    found = cut(candidates(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")), rules))  # cut, so that a join by shuffle may split a hot text's rows
+    found = found.select(F.col("key").alias("__its"), F.col("rules").alias("__rules"))
+    return rows.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, F.col("__key") == F.col("__its"), "left")
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -181,16 +206,14 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     alone, so the index is keyed by its hash: copies share one entry, a null or
     repeated id does no harm, and a collision can only propose too much.
     """
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    proposed = cut(candidates(rows.select("key", "text"), rules))  # cut here, so that the join may split a hot text's rows
-    joined = rows.join(proposed.withColumnRenamed("key", "its"), F.col("key") == F.col("its"), "left")
-    return joined.select("doc_id", verified(F.col("text"), F.col("rules"), rules).alias("found"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("__text")).withColumn("__key", F.xxhash64("__text"))
+    return _proposed(rows, rules).select("doc_id", verified(F.col("__text"), F.col("__rules"), rules).alias("found"))
 
 
 def verified(text: Column, proposed: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The sorted spans of a text; only proposed rules, and those without mandatory trigrams, are run."""
     nothing = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    asked = [F.array_contains(proposed, r) if _needs(rule) else _long_run(text, rule) for r, rule in enumerate(rules)]
+    asked = [proposed.bitwiseAND(F.lit(1 << r).cast("long")) != 0 if _needs(rule) else _long_run(text, rule) for r, rule in enumerate(rules)]
     return F.array_sort(F.concat(*[F.when(F.coalesce(a, F.lit(False)), spans(text, rule, r)).otherwise(nothing) for r, (a, rule) in enumerate(zip(asked, rules, strict=True))]))
 
 
@@ -216,9 +239,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     ``n_chars``, where the table has it, is the new text's length.
     """
     rows = docs.withColumns({"__text": F.coalesce(F.col("text"), F.lit("")), "__key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    proposed = cut(candidates(rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")))).select(F.col("key").alias("__its"), F.col("rules").alias("__rules"))
-    joined = rows.join(proposed, F.col("__key") == F.col("__its"), "left")
-    found = joined.withColumn("__found", verified(F.col("__text"), F.col("__rules")))
+    found = _proposed(rows, RULES).withColumn("__found", verified(F.col("__text"), F.col("__rules")))
     kind = "struct<at:int,out:string>"
 
     def step(state, x):
