@@ -1,9 +1,12 @@
 """Toxicity: a linear classifier with a counterfactual penalty.
 
 Every labelled sentence that names a group is copied with the group's term
-swapped for others; the fit penalises the squared change of the score, so that
-a neutral mention of a group says nothing about toxicity.  Features are words
-and their beginnings, because inflected languages share the beginning only.
+swapped for others, and every labelled sentence is copied with each term put in
+and then swapped for each other one of its row and for none.  The fit penalises
+the squared change of the score, so that a neutral mention of a group says
+nothing about toxicity, also in a corpus that names no group: the words'
+beginnings get weights all the same.  Features are words and their beginnings,
+because inflected languages share the beginning only.
 """
 
 from __future__ import annotations
@@ -46,12 +49,16 @@ IDENTITY = (
     ("immigrés", "réfugiés", "autochtones"), ("sourds", "aveugles", "handicapés"), ("vieux", "jeunes"),
 )
 SWAPS = {w: sorted({o for row in IDENTITY if w in row for o in row} - {w}) for w in {x for row in IDENTITY for x in row}}
+#: What is put into a sentence and swapped: the terms of a row by twos, and each term for none.
+INSERTED = [*sorted({tuple(sorted((a, b))) for row in IDENTITY for a in row for b in row if a != b}), *((a, "") for a in sorted(SWAPS))]
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>-_~`«»¿¡"
 BEGINNINGS = (3, 4, 5)
 SENTENCE = re.compile(r"[^.!?\n]+")
 THRESHOLD = 0.3
-#: Features that the classifier may have.
+#: Features that the classifier may have; a bound of the model like SAMPLE_ROWS, the same at every size.
 ROOM = 4000
+#: Weight of the penalty against the mean loss.
+PULL = 10.0
 
 
 def held_out(column):
@@ -103,6 +110,25 @@ def counterfactuals(text: str) -> list[tuple[dict[str, int], int]]:
     return out
 
 
+def insertions(text: str) -> dict[int, float]:
+    """For each pair of INSERTED the share of the text's sentences that it cannot be put into, as they have one of its terms already; pairs without such sentences are left out."""
+    sentences = [{x.strip(STRIP) for x in s.split()} for s in SENTENCE.findall(text.lower()) if s.strip()]
+    named = [s & SWAPS.keys() for s in sentences]
+    if not any(named):
+        return {}
+    lost = {k: sum(a in s or b in s for s in named) / len(sentences) for k, (a, b) in enumerate(INSERTED)}
+    return {k: v for k, v in lost.items() if v}
+
+
+def inserted_change(pair: tuple[str, str]) -> dict[str, int]:
+    """What a bag loses when the first term of a pair, put into a sentence, is swapped for the second."""
+    change: dict[str, int] = {}
+    for word, by in zip(pair, (1, -1)):
+        for f in features(word):
+            change[f] = change.get(f, 0) + by
+    return change
+
+
 @dataclass
 class Model:
     """Weights by feature; ``bias`` alone scores a text without known features."""
@@ -138,7 +164,7 @@ def choose(counts: list[tuple[str, float, float]], base: float, room: int = ROOM
 
 
 def vector(b: dict[str, int], column: dict[str, int]) -> tuple[list[int], list[float]]:
-    """A bag over the chosen columns."""
+    """A bag, or a change of one, over the chosen columns."""
     picked = sorted((column[f], float(n)) for f, n in b.items() if n and f in column)
     return [c for c, _ in picked], [n for _, n in picked]
 
@@ -150,7 +176,7 @@ def pair_vectors(text: str, column: dict[str, int]) -> list[tuple[list[int], lis
     return [(*vector(c, column), n / swaps) for c, n in changes]
 
 
-def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[tuple[list[int], list[float], float]], names: list[str], pull: float = 1.0, ridge: float = 2e-4, rounds: int = 400) -> Model:
+def train(rows: list[tuple[list[int], list[float]]], y: np.ndarray, pairs: list[tuple[list[int], list[float], float]], names: list[str], pull: float = PULL, ridge: float = 2e-4, rounds: int = 400) -> Model:
     """Logistic regression with weight ``pull`` on the mean squared change of the score over the pairs, each of its own weight."""
     base = y.mean()
     at, cols, vals = _sparse(rows)
@@ -181,13 +207,14 @@ def _sparse(rows: list[tuple]):
     return np.repeat(np.arange(len(rows)), sizes), flat(0, np.int64), flat(1, float)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pull: float = 1.0) -> Model:
-    """Fitted on at most ``rows`` labelled documents that are not held out.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pull: float = PULL, room: int = ROOM) -> Model:
+    """Fitted on at most ``rows`` labelled documents that are not held out, with at most ``room`` features.
 
     Bags are made and counted on the executors; the driver gets the chosen
     features and the sample's vectors over them.  Identical texts count once,
-    so a group of copies teaches no more than one text.  Without two classes
-    the model is its bias.
+    so a group of copies teaches no more than one text; where labels of one id
+    or one text conflict, the label 1 counts.  Without two classes the model is
+    its bias.
     """
     sample = labelled_sample(docs, labels, "toxic", rows, ~held_out(F.col("doc_id"))).groupBy("text").agg(F.max("y").alias("y"))
     sample = cut(sample)
@@ -203,8 +230,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pu
     counts = map_arrow(sample.select("text", "y"), "feature: string, y: double", spell).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k")).where(F.col("n") >= 4)
     z = F.abs(F.col("k") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base))
     named = counts.where(F.split_part("feature", F.lit("~"), F.lit(1)).isin(list(SWAPS)))
-    best = counts.orderBy(z.desc(), "feature").limit(ROOM).unionByName(named).distinct()
-    names = choose([(r.feature, r.n, r.k) for r in best.collect()], base)
+    best = counts.orderBy(z.desc(), "feature").limit(room).unionByName(named).distinct()
+    names = choose([(r.feature, r.n, r.k) for r in best.collect()], base, room)
     column = {f: j for j, f in enumerate(names)}
 
     def measure(columns):
@@ -213,17 +240,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pu
         pairs = [pair_vectors(x, column) for x in bodies]
         swapped = [[c for p in own_pairs for c in (*p[0], -1)] for own_pairs in pairs]
         changes = [[v for p in own_pairs for v in (*p[1], p[2])] for own_pairs in pairs]
-        return [[c for c, _ in own], [v for _, v in own], swapped, changes, y]
+        lost = [insertions(x) for x in bodies]
+        return [[c for c, _ in own], [v for _, v in own], swapped, changes, [list(x) for x in lost], [list(x.values()) for x in lost], [bool(SENTENCE.search(x)) for x in bodies], y]
 
-    got = map_arrow(sample.select("text", "y"), "cols: array<int>, vals: array<double>, pair_cols: array<int>, pair_vals: array<double>, y: double", measure).collect()
+    got = map_arrow(
+        sample.select("text", "y"), "cols: array<int>, vals: array<double>, pair_cols: array<int>, pair_vals: array<double>, lost: array<int>, lost_shares: array<double>, says: boolean, y: double", measure
+    ).collect()
     got.sort(key=lambda r: (r.cols, r.vals, r.y))
     pairs: list[tuple[list[int], list[float], float]] = []
+    put_in = np.full(len(INSERTED), float(sum(r.says for r in got)))
     for r in got:
         first = 0
         for k, c in enumerate(r.pair_cols):
             if c < 0:
                 pairs.append((r.pair_cols[first:k], r.pair_vals[first:k], r.pair_vals[k]))
                 first = k + 1
+        put_in[r.lost] -= r.lost_shares
+    pairs += [(*vector(inserted_change(p), column), float(n) / len(INSERTED)) for p, n in zip(INSERTED, put_in, strict=True) if n > 0]
     return train([(r.cols, r.vals) for r in got], np.array([r.y for r in got]), pairs, names, pull)
 
 

@@ -1,9 +1,12 @@
 """Operators that look at one document at a time, against brute force and on odd rows."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -112,10 +115,65 @@ def test_every_group_term_is_swapped():
     assert abs(sum(p[2] for p in pairs) - 1) < 1e-9 and toxicity.pair_vectors("nobody", column) == []
 
 
-def test_toxicity_never_learns_from_held_out_rows(spark):
+def test_insertions_skip_sentences_that_have_the_term():
+    text = "Women meet. No one came. The men sing\nold men"
+    got = {toxicity.INSERTED[k]: v for k, v in toxicity.insertions(text).items()}
+    assert got["men", "women"] == 3 / 4 and got["women", ""] == 1 / 4 and got["men", ""] == 2 / 4 and got["old", "young"] == 1 / 4 and ("boys", "girls") not in got
+    assert toxicity.insertions("nobody here") == toxicity.insertions("") == {}
+    change = toxicity.inserted_change(("women", "men"))
+    assert {f: n for f, n in change.items() if n} == {"women": 1, "wom~": 1, "wome~": 1, "men": -1}
+
+
+def by_hand(model, text):
+    words = {w.strip(toxicity.STRIP) for w in (text or "").lower().split()} - {""}
+    z = model.bias
+    for w in words:
+        z += model.weights.get(w, 0)
+        for n in (3, 4, 5):
+            if len(w) > n:
+                z += model.weights.get(w[:n] + "~", 0)
+    return 1 / (1 + math.exp(-max(-40, min(40, z))))
+
+
+def tables(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def test_scores_by_hand(spark):
+    docs, truth = tables(spark, "sf0.001")
+    model = toxicity.fit_toxicity(docs, truth)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.toxicity(docs, truth).collect()
+    assert len(got) == len(texts) and all(abs(r.score - by_hand(model, texts[r.doc_id])) < 1e-9 for r in got)
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    docs, truth = tables(spark, "sf0.01")
+    rows = [r for r in docs.join(truth, "doc_id").select("doc_id", "text", "toxic").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    wrong, right = {}, {}
+    for pull in (0.0, toxicity.PULL):
+        model = toxicity.fit_toxicity(docs, truth, pull=pull)
+        score = model.scorer()
+        clean = [r.text for r in rows if not r.toxic and score(r.text) < toxicity.THRESHOLD]
+        wrong[pull] = sum(score(f"{x} {w}") >= toxicity.THRESHOLD for x in clean for w in toxicity.SWAPS)
+        right[pull] = sum((score(r.text) >= toxicity.THRESHOLD) == bool(r.toxic) for r in rows)
+        if pull:  # every pair of terms acts, though no document names a group
+            assert all(abs(model.word(a) - model.word(b)) < 0.01 for a, b in toxicity.INSERTED)
+    assert wrong[toxicity.PULL] < wrong[0.0] and right[toxicity.PULL] >= right[0.0] - 1 and right[toxicity.PULL] > 0.85 * len(rows)
+
+
+def test_conflicting_labels_count_as_toxic(spark):
     docs = spark.createDataFrame([(k, f"scum t{k}" if k % 2 else f"fine t{k}") for k in range(200)], "doc_id long, text string")
-    import zlib
+    rows = [(k, 1, k % 2) for k in range(200)]
+    free, doubled = toxicity.fit_toxicity(docs, labels(spark, rows)), toxicity.fit_toxicity(docs, labels(spark, rows + [(k, 1, 0) for k in range(200)]))
+    assert free == doubled and free.scorer()("scum") > 0.5
+
 
+def test_toxicity_never_learns_from_held_out_rows(spark):
+    docs = spark.createDataFrame([(k, f"scum t{k}" if k % 2 else f"fine t{k}") for k in range(200)], "doc_id long, text string")
     rows = [(k, 1, k % 2) for k in range(200) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert toxicity.fit_toxicity(docs, labels(spark, rows)).weights == {}
     got = toxicity.toxicity(docs, labels(spark, [(k, 1, k % 2) for k in range(200)])).collect()
