@@ -1,20 +1,21 @@
 """SentencePiece encoding and decoding by the best path through the piece lattice.
 
-The pieces and scores come from a model file; a text's segmentation maximises
-the summed scores (a unigram lattice), with bytes for characters that no piece
-covers, so decoding gives back every text exactly.  No piece has a space mark
-inside, so the lattice falls apart at each run of spaces and ordinary words are
-solved once and remembered.
-
-A giant document is split into chunks.  A chunk's transfer matrix holds, for
-each number of characters that a piece from before reaches into it and each
-number that one of its own reaches beyond, the best weight.  The matrices are
-combined by a parallel scan with the associative max-plus product, which fixes
-the state at every boundary, and each chunk is backtraced on its own.
-
-Weights are whole numbers: the score, then as a tie-break a number hashed from
-the places of the cuts inside a word.  Ties thus fall alike however a text is
-split.
+The pieces come from a model file; bytes stand for characters that no piece
+covers, so decoding gives back every text exactly.  A path's weight is the sum
+of its pieces' scores.  A model made for merging allows a step from one piece to
+the next only where merging the two pieces' characters gives just these two: a
+text's own merges are then the one path that is allowed throughout (no merge
+crosses a border of the result, and the first that did would do so in the two
+pieces alone as well), so the ids are the library's.  Other models allow every
+step.  No piece has a space mark inside, so the lattice falls apart at each run
+of spaces, and ordinary words are solved once and remembered.
+
+A giant document is split into chunks.  A boundary's state is the piece that
+ends at it or crosses it: how far it reaches back and beyond.  A chunk's
+transfer matrix holds the weight of the best way from each state before it to
+each state after it.  The matrices are combined by the associative max-plus
+product, within groups of chunks and then over the groups' products, which
+fixes the state at every boundary, and each chunk is backtraced on its own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pickle
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,15 @@ CHUNK = 16_384
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Fixed-point factor of the scores.
 SCALE = 1 << 12
-_SHIFT = 64
-
-Matrix = dict[tuple[int, int], int]
+#: Chunks whose matrices are multiplied by one task.
+GROUP = 256
+
+#: (characters before the boundary, characters beyond it) of the piece there; nothing matters where a segment starts.
+State = tuple[int, int]
+Matrix = dict[tuple[State, State], int]
+FRESH: State = (0, 0)
+#: (text before, own text, text beyond, how far the chunk's start lies in its segment)
+Chunk = tuple[str, str, str, int]
 NEVER = -(1 << 60)
 
 
@@ -53,12 +61,44 @@ class Vocabulary:
     """Pieces of a model: ``tree`` leads from letter to letter, and holds a piece's weight under 0; ``first_byte`` is the id of the byte piece 0."""
 
     ids: dict[str, int]
+    weights: dict[str, int]
+    merging: bool
     tree: dict
     texts: list[bytes]
     first_byte: int
     unknown: int
     longest: int
     pattern: re.Pattern
+    known: dict[tuple[str, str], bool] = field(default_factory=dict)
+    room: int = 2_000_000
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def merged(self, text: str) -> list[str]:
+        """What merging makes of characters: always the pair of the best score, the first of equals."""
+        parts, get = list(text), self.weights.get
+        while True:
+            best = at = None
+            for k in range(len(parts) - 1):
+                w = get(parts[k] + parts[k + 1])
+                if w is not None and (best is None or w > best):
+                    best, at = w, k
+            if at is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def follows(self, before: str, piece: str) -> bool:
+        """Whether a path may go from a piece (nothing: from a segment's start) to another."""
+        if not self.merging:
+            return True
+        key = before, piece
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= self.room:
+                self.known.clear()
+            found = self.known[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return found
 
     def segments(self, marked: str) -> list[str]:
         """The parts of a marked text that no piece joins: runs of letters, and of other characters, with the space marks before them."""
@@ -69,8 +109,11 @@ class Vocabulary:
         return [m.start() for m in self.pattern.finditer(marked)][1:]
 
     @classmethod
-    def load(cls, path: str = MODEL) -> Vocabulary:
-        """Reads a model on the driver; what is sent to executors is bounded by the model's size."""
+    def load(cls, path: str = MODEL, merging: bool | None = None) -> Vocabulary:
+        """Reads a model on the driver; what is sent to executors is bounded by the model's size.
+
+        A model whose scores are whole numbers, as ranks are, is one for merging.
+        """
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -93,8 +136,12 @@ class Vocabulary:
         first = next(k for k in range(len(out)) if model.is_byte(k))
         joins = re.compile(f"[{LATIN}][^{LATIN}]|[^{SPACE}{LATIN}][{LATIN}]")
         apart = not any(joins.search(p) for p in ids)
+        if merging is None:
+            merging = all(w % SCALE == 0 for w in weights.values())
+        if merging and any(c not in ids for c in set().union(*ids)):
+            raise ValueError("a letter of a piece is no piece")
         pattern = f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        return cls(ids, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)), re.compile(pattern))
+        return cls(ids, weights, merging, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)), re.compile(pattern))
 
     def of(self, piece: str) -> list[int]:
         """A piece's id, or the ids of its bytes."""
@@ -108,29 +155,21 @@ class Vocabulary:
         return b"".join([self.texts[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
-def tie(place: int) -> int:
-    """A hashed number of 40 bits for a cut ``place`` characters after the start of its word."""
-    x = (place + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 29)) & 0xFFFFFFFFFF
-
+def solve(v: Vocabulary, word: str, start: int = 0, before: str = "", stop: int | None = None) -> tuple[list[int], list[int]]:
+    """Best weight from ``start`` to each position of a word, and the start of the last piece of that way.
 
-def solve(v: Vocabulary, word: str, start: int = 0, stop: int | None = None, place: int = 0) -> tuple[list[int], list[int], list[int]]:
-    """Best score from ``start`` to each position of a word, the piece start that gives it, and its ties.
-
-    ``word`` lies in one word, its first character ``place`` characters in; no
-    piece starts at or after ``stop``.  Of equal scores the larger sum of
-    ``tie`` numbers along the way counts.
+    ``before`` is the piece that ends at ``start``, if that is not a segment's
+    start; no piece starts at or after ``stop``.
     """
     n = len(word)
-    best, back, ties = [NEVER] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    best, back = [NEVER] * (n + 1), [-1] * (n + 1)
     best[start] = 0
-    tree, unknown = v.tree, v.unknown
-    own = [tie(place + k) for k in range(n + 1)]
+    tree, unknown, follows = v.tree, v.unknown, v.follows
     for at in range(start, n if stop is None else min(n, stop)):
         here = best[at]
         if here == NEVER:
             continue
+        last = before if at == start else word[back[at] : at]
         node, end = tree, at
         reached = []
         while end < n:
@@ -142,18 +181,10 @@ def solve(v: Vocabulary, word: str, start: int = 0, stop: int | None = None, pla
                 reached.append((end, node[0]))
         if not reached or reached[0][0] != at + 1:
             reached.append((at + 1, unknown))
-        before = ties[at]
         for end, w in reached:
-            w += here
-            if w > best[end] or (w == best[end] and before + own[end] > ties[end]):
-                best[end], back[end], ties[end] = w, at, before + own[end]
-    return best, back, ties
-
-
-def weight(solved: tuple[list[int], list[int], list[int]], end: int) -> int | None:
-    """The whole weight of the best way to ``end``: score, then ties."""
-    best, _, ties = solved
-    return (best[end] << _SHIFT) + ties[end] if best[end] != NEVER else None
+            if here + w > best[end] and follows(last, word[at:end]):
+                best[end], back[end] = here + w, at
+    return best, back
 
 
 def walk(v: Vocabulary, word: str, back: list[int], start: int, end: int) -> list[int]:
@@ -191,8 +222,8 @@ class Encoder:
             done = self.lookup.solve(group, n) if n <= Lookup.LONGEST else [None] * len(group)
             for w, found in zip(group, done, strict=True):
                 if found is None:
-                    solved = solve(self.v, w)
-                    found = np.array(walk(self.v, w, solved[1], 0, n), "<i4").tobytes(), weight(solved, n)
+                    best, back = solve(self.v, w)
+                    found = np.array(walk(self.v, w, back, 0, n), "<i4").tobytes(), best[n]
                 self.known[w] = found[0]
                 if self.totals:
                     self.total[w] = found[1]
@@ -208,11 +239,18 @@ class Encoder:
         return np.frombuffer(self.packed([text or ""])[0], "<i4").tolist()
 
 
+#: In place of an id: a letter without a piece that needs several bytes.
+MANY_BYTES = -2
+
+
 class Lookup:
     """Solves words of one length together: from each place the letter tree, kept as hash tables of its edges, is followed for all words at once."""
 
+    #: Longer words are solved one by one, with the same result.
     LONGEST = 64
     BITS = 19
+    #: Slots of the memory of allowed steps.
+    STEP_BITS = 20
     MULTIPLIER = 0xD6E8FEB86659FD93
 
     def __init__(self, v: Vocabulary):
@@ -241,7 +279,27 @@ class Lookup:
             key[slot[first]], what[slot[first]] = keys[first], child[first]
             self.tables.append((multiplier, key, what))
             keys, child = np.delete(keys, first), np.delete(child, first)
-        self.ties = np.array([tie(k) for k in range(self.LONGEST + 1)], np.int64)
+        self.names = [""] * len(v.texts)
+        for name, k in v.ids.items():
+            self.names[k] = name
+        self.whole = np.array([bool(x) for x in self.names])  # pieces, not bytes
+        self.step_key, self.step_good = np.zeros(1 << self.STEP_BITS, np.int64), np.zeros(1 << self.STEP_BITS, bool)
+
+    def follows(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Vocabulary.follows for many pairs of ids; -1 stands for a segment's start, and, before, for a letter without a piece, which joins nothing."""
+        if not self.v.merging:
+            return np.ones(len(after), bool)
+        keys = (before + 1) * (1 << 31) + after + 1
+        slots = ((keys.astype(np.uint64) * np.uint64(self.MULTIPLIER)) >> np.uint64(64 - self.STEP_BITS)).astype(np.int64)
+        known, good = self.step_key[slots] == keys, self.step_good[slots]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            new, where = np.unique(keys[missing], return_inverse=True)
+            pairs = zip((new >> 31).tolist(), (new & 0x7FFFFFFF).tolist())
+            found = np.array([self.v.follows(self.names[a - 1] if a else "", self.names[b - 1]) for a, b in pairs], bool)
+            good[missing] = found[where]
+            self.step_key[slots[missing]], self.step_good[slots[missing]] = keys[missing], good[missing]
+        return good
 
     def follow(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The node below each node by a letter, -1 where there is none."""
@@ -267,16 +325,15 @@ class Lookup:
         m = len(words)
         codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T).astype(np.uint64)
         best = np.full((n + 1, m), NEVER, np.int64)
-        ties = np.zeros((n + 1, m), np.int64)
-        last = np.zeros((n + 1, m), np.int64)
+        last = np.full((n + 1, m), -1, np.int64)
         size = np.ones((n + 1, m), np.int64)
         best[0] = 0
         everyone = np.arange(m)
 
-        def reach(end, rows, total, tied, ids, length):
-            better = (total > best[end, rows]) | ((total == best[end, rows]) & (tied > ties[end, rows]))
+        def reach(end, rows, total, ids, length):
+            better = total > best[end, rows]
             rows = rows[better]
-            best[end, rows], ties[end, rows], last[end, rows], size[end, rows] = total[better], tied[better], ids[better], length
+            best[end, rows], last[end, rows], size[end, rows] = total[better], ids[better], length
 
         for at in range(n):
             rows, node = everyone, np.zeros(m, np.int64)
@@ -287,7 +344,7 @@ class Lookup:
                     other = np.flatnonzero(~alive | (self.piece[node] < 0))
                     if len(other):
                         letter = codes[at][other].astype(np.int64)
-                        reach(end, other, best[at][other] + self.v.unknown, ties[at][other] + self.ties[end], np.where(letter < 128, self.v.first_byte + letter, -1), 1)
+                        reach(end, other, best[at][other] + self.v.unknown, np.where(letter < 128, self.v.first_byte + letter, MANY_BYTES), 1)
                 if not alive.all():
                     rows, node = rows[alive], node[alive]
                     if not len(rows):
@@ -295,8 +352,10 @@ class Lookup:
                 ids = self.piece[node]
                 full = np.flatnonzero(ids >= 0)
                 if len(full):
+                    before = last[at][rows[full]]
+                    full = full[self.follows(np.where((before >= 0) & self.whole[before], before, -1), ids[full])]
                     some = rows[full]
-                    reach(end, some, best[at][some] + self.score[node[full]], ties[at][some] + self.ties[end], ids[full], end - at)
+                    reach(end, some, best[at][some] + self.score[node[full]], ids[full], end - at)
         pieces = np.zeros((m, n), np.int64)
         count, at, open_ = np.zeros(m, np.int64), np.full(m, n), np.arange(m)
         while len(open_):
@@ -306,49 +365,78 @@ class Lookup:
             open_ = open_[at[open_] > 0]
         packed = pieces.astype("<i4")
         good = ((pieces >= 0) | (np.arange(n)[None, :] < (n - count)[:, None])).all(axis=1).tolist()
-        score, tied, count = best[n].tolist(), ties[n].tolist(), count.tolist()
-        return [(packed[k, n - count[k] :].tobytes(), (score[k] << _SHIFT) + tied[k]) if good[k] else None for k in range(m)]
+        score, count = best[n].tolist(), count.tolist()
+        return [(packed[k, n - count[k] :].tobytes(), score[k]) if good[k] else None for k in range(m)]
+
+
+def _cuts(v: Vocabulary, own: str, halo: str, place: int) -> list[int]:
+    """Where segments start in a chunk or beyond; the text's end counts as such."""
+    return [*([] if place else [0]), *v.starts(own + halo), *([] if halo else [len(own)])]
+
+
+def _entering(v: Vocabulary, chunk: Chunk, limit: int) -> dict[State, str]:
+    """The states that a chunk may be entered in, each with its piece; no piece crosses ``limit``."""
+    ahead, own, halo, place = chunk
+    if not place:
+        return {FRESH: ""}
+    text, at = ahead + (own + halo)[:limit], len(ahead)
+    out: dict[State, str] = {}
+    for back in range(1, min(place, v.longest, at) + 1):
+        node, end = v.tree, at - back
+        while end < len(text) and (node := node.get(text[end])) is not None:
+            end += 1
+            if 0 in node and end >= at:
+                out[back, end - at] = text[at - back : end]
+    if text[at - 1] not in v.ids:
+        out[1, 0] = text[at - 1]
+    return {state: piece for state, piece in out.items() if v.follows("", piece)}
 
 
-def transfer(e: Encoder, own: str, halo: str, place: int) -> Matrix:
-    """A chunk's matrix: best weight by (characters covered from before, characters covered beyond).
+def transfer(e: Encoder, chunk: Chunk) -> Matrix:
+    """A chunk's matrix: the best weight from each state before to each state after it; a piece counts where it starts.
 
-    From the first word start on all ways meet, so only what stands before it
-    is solved once for each state.
+    From the first segment's start on all ways are one, so only what stands
+    before it is solved once for each state.
     """
-    v, n = e.v, len(own)
-    cuts = ([] if place else [0]) + v.starts(own + halo)
+    v, (_, own, halo, place) = e.v, chunk
+    n = len(own)
+    cuts = _cuts(v, own, halo, place)
     inside = [k for k in cuts if k < n]
     until = next((k for k in cuts if k >= n), n + len(halo))
-    out: Matrix = {(r, r - n): 0 for r in range(n, v.longest)}
+    entering = _entering(v, chunk, next((k for k in cuts if k > 0), n + len(halo)))
+    leaves = lambda start, end: FRESH if end == n and n in cuts else (n - start, end - n)
     if not inside:
         word = (own + halo)[:until]
-        for r in range(min(v.longest, n)):
-            solved = solve(v, word, r, n, place)
-            out |= {(r, c - n): w for c in range(n, until + 1) if (w := weight(solved, c)) is not None}
+        out: Matrix = {}
+        for state, piece in entering.items():
+            if state[1] >= n:
+                out[state, leaves(-state[0], state[1])] = 0
+                continue
+            best, back = solve(v, word, state[1], piece, n)
+            out |= {(state, leaves(back[c], c)): best[c] for c in range(n, until + 1) if best[c] != NEVER}
         return out
     first, last = inside[0], inside[-1]
-    heads = {first: 0} if first < v.longest else {}
-    for r in range(min(v.longest, first)):
-        w = weight(solve(v, own[:first], r, None, place), first)
-        if w is not None:
-            heads[r] = w
+    heads = {FRESH: 0} if first == 0 else {}
+    for state, piece in entering.items() if first else ():
+        best, _ = solve(v, own[:first], state[1], piece)
+        if best[first] != NEVER:
+            heads[state] = best[first]
     words = [own[a:b] for a, b in itertools.pairwise(inside)]
     e.learn(set(words))
     middle = sum(map(e.total.__getitem__, words))
-    solved = solve(v, (own + halo)[last:until], 0, n - last)
-    tails = {c: w for c in range(until - n + 1) if (w := weight(solved, n - last + c)) is not None}
-    return {k: w for k, w in out.items() if k[0] > n} | {(r, c): a + middle + b for r, a in heads.items() for c, b in tails.items()}
+    best, back = solve(v, (own + halo)[last:until], 0, "", n - last)
+    tails = {leaves(last + back[c], last + c): best[c] for c in range(n - last, until - last + 1) if best[c] != NEVER}
+    return {(r, c): a + middle + b for r, a in heads.items() for c, b in tails.items()}
 
 
-def inner_words(v: Vocabulary, chunks: list[tuple[str, str, int]]) -> set[str]:
+def inner_words(v: Vocabulary, chunks: list[Chunk]) -> set[str]:
     """The segments that lie whole in chunks."""
-    return {own[a:b] for own, _, place in chunks for a, b in itertools.pairwise(([] if place else [0]) + v.starts(own))}
+    return {own[a:b] for _, own, _, place in chunks for a, b in itertools.pairwise(([] if place else [0]) + v.starts(own))}
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
     """The max-plus product."""
-    rows: dict[int, list[tuple[int, int]]] = {}
+    rows: dict[State, list[tuple[State, int]]] = {}
     for (k, c), w in b.items():
         rows.setdefault(k, []).append((c, w))
     out: Matrix = {}
@@ -370,36 +458,42 @@ def scan(matrices: list[Matrix]) -> list[Matrix]:
     return out
 
 
-def boundaries(matrices: list[Matrix]) -> list[int]:
-    """The best path's state at the start of each chunk and at the end; the text starts and ends with 0."""
-    before = scan(matrices)
+def boundaries(matrices: list[Matrix], enter: State = FRESH, leave: State = FRESH) -> list[State]:
+    """The best path's state at the start of each chunk and at the end, given the first and the last.
+
+    The scan gives the best weight from every state to the end; of equal ways
+    the one with the least states counts, and each state is chosen after the one
+    before, so that ties cannot mix.
+    """
     flipped = [{(c, r): w for (r, c), w in m.items()} for m in reversed(matrices)]
     after = scan(flipped)[::-1]
-    out = [0]
-    for left, right in itertools.pairwise(range(len(matrices))):
-        at = {k: w + after[right][0, k] for (r, k), w in before[left].items() if r == 0 and (0, k) in after[right]}
-        out.append(max(at, key=at.get))
-    return [*out, 0]
+    out = [enter]
+    for k in range(len(matrices) - 1):
+        at = {c: w + after[k + 1][leave, c] for (r, c), w in matrices[k].items() if r == out[-1] and (leave, c) in after[k + 1]}
+        out.append(min(at, key=lambda c: (-at[c], c)))  # noqa: B023
+    return [*out, leave]
 
 
-def split(v: Vocabulary, marked: str, size: int = CHUNK) -> list[tuple[str, str, int]]:
-    """(own text, halo, place): place is how far the chunk's start lies in its word."""
+def split(v: Vocabulary, marked: str, size: int = CHUNK) -> list[Chunk]:
     at = np.array([0, *v.starts(marked)])
-    return [(marked[a : a + size], marked[a + size : a + size + v.longest - 1], int(a - at[np.searchsorted(at, a, "right") - 1])) for a in range(0, len(marked), size)]
+    places = [int(a - at[np.searchsorted(at, a, "right") - 1]) for a in range(0, len(marked), size)]
+    return [(marked[max(0, a - v.longest) : a], marked[a : a + size], marked[a + size : a + size + v.longest], p) for a, p in zip(range(0, len(marked), size), places)]
 
 
-def chunk_ids(e: Encoder, own: str, halo: str, place: int, enter: int, leave: int) -> list[int]:
-    """The ids of the pieces that start in a chunk, given how many characters are covered from before and beyond."""
-    v, n = e.v, len(own)
-    if enter >= n:
+def chunk_ids(e: Encoder, chunk: Chunk, enter: State, leave: State) -> list[int]:
+    """The ids of the pieces that start in a chunk, given the states before and after it."""
+    v, (ahead, own, halo, place) = e.v, chunk
+    n, start = len(own), enter[1]
+    if start >= n:
         return []
-    marked, end = own + halo, n + leave
-    cuts = ([] if place else [0]) + v.starts(own)
-    edges = sorted({enter, *(k for k in cuts if k > enter), end})
+    marked, end = own + halo, n + leave[1]
+    before = ahead[len(ahead) - enter[0] :] + own[:start] if enter[0] else ""
+    cuts = [k for k in _cuts(v, own, halo, place) if k < n]
+    edges = sorted({start, *(k for k in cuts if k > start), end})
     out: list[int] = []
-    if enter not in cuts:  # the rest of a word
+    if start not in cuts:  # the rest of a segment
         word = marked[: edges[1]]
-        out += walk(v, word, solve(v, word, enter, n, place)[1], enter, len(word))
+        out += walk(v, word, _forced(v, word, start, before, n, leave), start, len(word))
         edges = edges[1:]
     if len(edges) < 2:
         return out
@@ -407,7 +501,15 @@ def chunk_ids(e: Encoder, own: str, halo: str, place: int, enter: int, leave: in
     e.learn(set(words))
     out += np.frombuffer(b"".join(map(e.known.__getitem__, words)), "<i4").tolist()
     a = edges[-2]
-    return out + walk(v, marked[a:end], solve(v, marked[a:end], 0, n - a)[1], 0, end - a)
+    return out + walk(v, marked[a:end], _forced(v, marked[a:end], 0, "", n - a, leave), 0, end - a)
+
+
+def _forced(v: Vocabulary, word: str, start: int, before: str, stop: int, leave: State) -> list[int]:
+    """As ``solve``'s second result; the last piece is the leaving state's if it crosses the chunk's end, which is at ``stop``."""
+    back = solve(v, word, start, before, stop)[1]
+    if leave != FRESH and len(word) == stop + leave[1]:
+        back[len(word)] = stop - leave[0]
+    return back
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -441,16 +543,21 @@ def _encoder(v: Vocabulary):
 
 
 def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
-    """Giant documents: chunks with matrices, one scan per document over matrices alone, chunks backtraced apart."""
+    """Giant documents: chunks with matrices, scans over matrices alone, chunks backtraced apart.
+
+    A document is one row of at most 2 GB, so it has at most some 500 groups of
+    GROUP chunks; no task holds more matrices than that.
+    """
 
     small = "<u2" if len(v.texts) <= 1 << 16 else "<i4"
+    state_names = ["enter", "enter_beyond", "leave", "leave_beyond"]
+    state_types = [pa.int32()] * 4
 
     def chunks(batches):
         for batch in batches:
             for uid, i, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for n, (own, halo, place) in enumerate(split(v, marked_text(x), size)):
-                    data = [(uid, i, n, _pack((own, halo, place)))]
-                    yield _rows(data, [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["uid", "doc_id", "no", "chunk"])
+                for n, chunk in enumerate(split(v, marked_text(x), size)):
+                    yield _rows([(uid, i, n, _pack(chunk))], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["uid", "doc_id", "no", "chunk"])
 
     def measure(batches):
         encoder = Encoder(v)
@@ -459,13 +566,28 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]
                 loaded = [_unpack(c) for c in columns[2]]
                 encoder.learn(inner_words(v, loaded))
-                yield _rows([(u, n, pickle.dumps(transfer(encoder, *c))) for u, n, c in zip(*columns[:2], loaded, strict=True)], [pa.int64(), pa.int32(), pa.binary()], ["uid", "no", "matrix"])
+                yield _rows([(u, n, pickle.dumps(transfer(encoder, c))) for u, n, c in zip(*columns[:2], loaded, strict=True)], [pa.int64(), pa.int32(), pa.binary()], ["uid", "no", "matrix"])
+
+    def ordered(group: pa.Table, number: str) -> tuple[list[int], list[Matrix]]:
+        order = np.argsort(group.column(number).to_numpy())
+        return group.column(number).to_numpy()[order].tolist(), [pickle.loads(group.column("matrix")[int(k)].as_py()) for k in order]
 
-    def settle(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("no").to_numpy())
+    def multiply(group: pa.Table) -> pa.Table:
+        numbers, matrices = ordered(group, "no")
+        one = group.column("uid")[0].as_py(), numbers[0] // GROUP, pickle.dumps(reduce(product, matrices))
+        return pa.Table.from_batches([_rows([one], [pa.int64(), pa.int32(), pa.binary()], ["uid", "part", "matrix"])])
+
+    def between_groups(group: pa.Table) -> pa.Table:
+        numbers, matrices = ordered(group, "part")
         uid = group.column("uid")[0].as_py()
-        states = boundaries([pickle.loads(group.column("matrix")[int(k)].as_py()) for k in order])
-        return pa.Table.from_batches([_rows([(uid, n, a, b) for n, (a, b) in enumerate(itertools.pairwise(states))], [pa.int64(), pa.int32(), pa.int32(), pa.int32()], ["its", "at", "enter", "leave"])])
+        rows = [(uid, n, *a, *b) for n, (a, b) in zip(numbers, itertools.pairwise(boundaries(matrices)), strict=True)]
+        return pa.Table.from_batches([_rows(rows, [pa.int64(), pa.int32(), *state_types], ["its", "part", *state_names])])
+
+    def within_group(group: pa.Table) -> pa.Table:
+        numbers, matrices = ordered(group, "no")
+        uid, a, c, b, d = (group.column(x)[0].as_py() for x in ("uid", *state_names))
+        states = itertools.pairwise(boundaries(matrices, (a, c), (b, d)))
+        return pa.Table.from_batches([_rows([(uid, n, *x, *y) for n, (x, y) in zip(numbers, states, strict=True)], [pa.int64(), pa.int32(), *state_types], ["its", "at", *state_names])])
 
     def trace(batches):
         encoder = Encoder(v, totals=False)
@@ -474,9 +596,9 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]
                 loaded = [_unpack(c) for c in columns[3]]
                 encoder.learn(inner_words(v, loaded))
-                for u, i, n, (own, halo, place), a, b in zip(*columns[:3], loaded, *columns[4:], strict=True):
-                    ids = chunk_ids(encoder, own, halo, place, a, b)
-                    text = (own + halo)[a : len(own) + b].replace(SPACE, " ").replace(LITERAL, SPACE)
+                for u, i, n, chunk, a, b, c, d in zip(*columns[:3], loaded, *columns[4:], strict=True):
+                    ids = chunk_ids(encoder, chunk, (a, b), (c, d))
+                    text = (chunk[1] + chunk[2])[b : len(chunk[1]) + d].replace(SPACE, " ").replace(LITERAL, SPACE)
                     same = b"".join([v.texts[k] for k in ids]) == text.encode("utf-8", "surrogatepass")
                     yield _rows([(u, i, n, np.array(ids, small).tobytes(), same)], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()], ["uid", "doc_id", "no", "ids", "same"])
 
@@ -488,18 +610,22 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
 
     # cut here: the row numbers must be the same for the matrices and for the backtrace
     dealt = cut(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(chunks, "uid long, doc_id long, no int, chunk binary").repartition("uid", "no"))
-    matrices = dealt.select("uid", "no", "chunk").mapInArrow(measure, "uid long, no int, matrix binary")
-    states = matrices.groupBy("uid").applyInArrow(settle, "its long, at int, enter int, leave int")
-    joined = dealt.join(states, (F.col("uid") == F.col("its")) & (F.col("no") == F.col("at"))).select("uid", "doc_id", "no", "chunk", "enter", "leave")
+    matrices = cut(dealt.select("uid", "no", "chunk").mapInArrow(measure, "uid long, no int, matrix binary")).withColumn("part", F.floor(F.col("no") / GROUP).cast("int"))
+    four = "enter int, enter_beyond int, leave int, leave_beyond int"
+    products = matrices.groupBy("uid", "part").applyInArrow(multiply, "uid long, part int, matrix binary")
+    outer = products.groupBy("uid").applyInArrow(between_groups, f"its long, part int, {four}").withColumnRenamed("part", "its_part")
+    both = matrices.join(outer, (F.col("uid") == F.col("its")) & (F.col("part") == F.col("its_part"))).select("uid", "part", "no", "matrix", *state_names)
+    states = both.groupBy("uid", "part").applyInArrow(within_group, f"its long, at int, {four}")
+    joined = dealt.join(states, (F.col("uid") == F.col("its")) & (F.col("no") == F.col("at"))).select("uid", "doc_id", "no", "chunk", *state_names)
     traced = joined.mapInArrow(trace, "uid long, doc_id long, no int, ids binary, same boolean")
     return traced.groupBy("uid").applyInArrow(join, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
-def _pack(chunk: tuple[str, str, int]) -> bytes:
+def _pack(chunk: Chunk) -> bytes:
     return zlib.compress(pickle.dumps(chunk), 1)
 
 
-def _unpack(data: bytes) -> tuple[str, str, int]:
+def _unpack(data: bytes) -> Chunk:
     return pickle.loads(zlib.decompress(data))
 
 

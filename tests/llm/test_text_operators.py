@@ -358,31 +358,65 @@ def test_best_fit_decreasing():
         assert sorted(width - int(lengths[r].sum()) for r in rows) == sorted(free)
 
 
+BITS = ["the", "ing ", "tion", " ", "a", "é", "\n", "漢", "😀", "  ", "xq", ".", "international", "x", "xx", "    "]
+
+
 @tokens
 def test_chunks_give_what_whole_texts_give():
-    v = codec.Vocabulary.load()
-    e, rng = codec.Encoder(v), random.Random(9)
-    for _ in range(400):
-        text = "".join(rng.choice(["the", "ing ", " ", "a", "é", "\n", "▁", "漢", "😀", "  ", "xq", "."]) for _ in range(rng.randint(1, 40)))
-        whole = e.ids(text)
-        assert v.decode(whole) == text
-        for size in (1, 3, 7, 20):
-            chunks = codec.split(v, codec.marked_text(text), size)
-            states = codec.boundaries([codec.transfer(e, *c) for c in chunks])
-            assert [i for c, a, b in zip(chunks, states, states[1:]) for i in codec.chunk_ids(e, *c, a, b)] == whole
+    rng = random.Random(9)
+    for merging in (True, False):
+        v = codec.Vocabulary.load(merging=merging)
+        e = codec.Encoder(v)
+        score = lambda ids: sum(v.weights.get(v.texts[i].decode().replace(" ", codec.SPACE), v.unknown / 4) for i in ids)  # noqa: B023, E731
+        for _ in range(250):
+            text = "".join(rng.choice([*BITS, "▁"] if merging else BITS[:5] + BITS[9:]) for _ in range(rng.randint(1, 40)))
+            whole = e.ids(text)
+            assert v.decode(whole) == text
+            for size in (1, 3, 7, 20):
+                chunks = codec.split(v, codec.marked_text(text), size)
+                states = codec.boundaries([codec.transfer(e, c) for c in chunks])
+                got = [i for c, a, b in zip(chunks, states, states[1:]) for i in codec.chunk_ids(e, c, a, b)]
+                assert got == whole if merging else v.decode(got) == text and score(got) == score(whole)
+
+
+@tokens
+def test_products_in_groups_give_the_same_states():
+    v, rng = codec.Vocabulary.load(), random.Random(11)
+    e = codec.Encoder(v)
+    for _ in range(40):
+        matrices = [codec.transfer(e, c) for c in codec.split(v, codec.marked_text("".join(rng.choice(BITS) for _ in range(60))), 5)]
+        parts = [matrices[k : k + 4] for k in range(0, len(matrices), 4)]
+        outer = codec.boundaries([codec.reduce(codec.product, p) for p in parts])
+        inner = [codec.boundaries(p, a, b) for p, a, b in zip(parts, outer, outer[1:])]
+        assert [x for states in inner for x in states[:-1]] + [codec.FRESH] == codec.boundaries(matrices)
+
+
+@tokens
+def test_ids_are_the_librarys(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL), random.Random(10)
+    e = codec.Encoder(codec.Vocabulary.load())
+    for _ in range(300):
+        text = "".join(rng.choice(BITS) for _ in range(rng.randint(0, 60)))
+        assert e.ids(text) == library.encode(text)
+    assert e.ids("x" * 500 + "ab" * 300) == library.encode("x" * 500 + "ab" * 300)
+    docs, _ = tables(spark, "sf0.001")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for chunk in (codec.CHUNK, 300):
+        rows = codec.encode(docs, chunk=chunk).collect()
+        assert len(rows) == len(texts) and all(r.ids == library.encode(texts[r.doc_id]) and r.round_trip for r in rows)
 
 
 @tokens
 def test_scores_equal_the_librarys():
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
-    v = codec.Vocabulary.load()
     model = pb.ModelProto()
     with open(codec.MODEL, "rb") as f:
         model.ParseFromString(f.read())
     model.trainer_spec.model_type = 1  # the same pieces as a unigram lattice
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-    e, rng = codec.Encoder(v), random.Random(10)
+    e, rng = codec.Encoder(codec.Vocabulary.load(merging=False)), random.Random(10)
     score = lambda ids: sum(library.get_score(i) for i in ids)
     for _ in range(300):
         text = " ".join("".join(rng.choice("abcdethioux") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 8)))
@@ -390,7 +424,8 @@ def test_scores_equal_the_librarys():
 
 
 @tokens
-def test_codec_on_odd_rows(spark):
+def test_codec_on_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(codec, "GROUP", 5)
     got = codec.encode(odd(spark), chunk=500)
     rows = got.collect()
     assert len(rows) == odd(spark).count() and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
