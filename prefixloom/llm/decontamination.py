@@ -5,28 +5,35 @@ The threshold is exact: an item can lose at most a fifth of its shingle
 positions, hence at most that many words, so what is left after its heaviest
 words are gone bounds the score of every passage that overlaps enough.
 
-A document's words as a whole bound the scores of all its passages; items
-below the limit are dropped there, in blocks first.  Each passage then runs a
-block-max WAND over the postings of the items left, retrieves all above the
-limit, and the question's and answer's shingles are verified.
+Each passage runs a block-max WAND over the postings with their stored maxima
+and retrieves all items above the limit.  Then shingles are verified: an item is
+found where a passage has OVERLAP of its shingles, or OVERLAP of its question's
+and OVERLAP of its answer's, which may stand apart.
+
+A document's words as a whole bound the scores of all its passages; a document
+that no item can reach in this way is not cut into passages at all.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import map_arrow, table, texts
+from prefixloom.llm.common import cut, map_arrow, table, texts
 
 SHINGLE = 5
 OVERLAP = 0.8
 BLOCK = 8
 K1, B = 1.2, 0.75
-#: Text bytes of test items in one index; more items are dealt to several indexes, each read by a pass of its own.
+#: Text bytes of test items in one index; more items are dealt to several indexes, made and read one after another, with the same result.
 INDEX_BYTES = 32_000_000
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -52,54 +59,73 @@ def question_and_answer(text: str) -> tuple[str, str]:
 @dataclass
 class Item:
     item_id: int
-    windows: list[tuple[str, ...]]
-    question: list[tuple[str, ...]]
-    answer: list[tuple[str, ...]]
+    text: str
 
+    @cached_property
+    def parts(self) -> list[list[tuple[str, ...]]]:
+        """Shingles of the whole, the question and the answer; made when an item is first retrieved."""
+        return [shingles(words_of(x)) for x in (self.text, *question_and_answer(self.text))]
 
-class Index:
-    """Postings (item, score share) by term, sorted by item, with a maximum for each block of items."""
 
-    def __init__(self, rows: list[tuple[int, str]], overlap: float = OVERLAP):
-        rows = sorted((i, t) for i, t in rows if i is not None and words_of(t))
-        self.items = [Item(i, shingles(words_of(t)), *(shingles(words_of(x)) for x in question_and_answer(t))) for i, t in rows]
-        self.overlap = overlap
+@dataclass
+class Statistics:
+    """What BM25 and the passages need of all items, also of those in other indexes."""
+
+    items: int
+    mean: float
+    longest: int
+    having: dict[str, int]
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]]) -> Statistics:
         bags = [words_of(t) for _, t in rows]
-        mean = sum(map(len, bags)) / max(1, len(bags))
-        df: dict[str, int] = {}
+        having: dict[str, int] = {}
         for b in bags:
             for w in set(b):
-                df[w] = df.get(w, 0) + 1
-        self.term = {w: k for k, w in enumerate(sorted(df))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in df]
-        self.scale = []
-        for n, b in enumerate(bags):
+                having[w] = having.get(w, 0) + 1
+        return cls(len(bags), sum(map(len, bags)) / max(1, len(bags)), max(map(len, bags), default=1), having)
+
+
+class Index:
+    """Postings (item, score share) by term, sorted by item, in flat arrays, with the maximum of each list and of each block of items in it."""
+
+    def __init__(self, rows: list[tuple[int, str]], statistics: Statistics | None = None, overlap: float = OVERLAP):
+        rows = sorted((i, t) for i, t in rows if i is not None and words_of(t))
+        known = statistics or Statistics.of(rows)
+        self.overlap, self.longest = overlap, known.longest
+        self.items = [Item(i, t) for i, t in rows]
+        self.term: dict[str, int] = {}
+        terms, of, share = array("q"), array("q"), array("d")
+        self.scale = array("d")
+        for n, (_, t) in enumerate(rows):
+            bag = words_of(t)
+            counts: dict[str, int] = {}
+            for w in bag:
+                counts[w] = counts.get(w, 0) + 1
             weight = {}
-            for w in set(b):
-                tf = b.count(w)
-                idf = np.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5))
-                weight[w] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(b) / mean)))
-            lost = int((1 - overlap) * len(self.items[n].windows) + 1e-9)
+            for w, tf in counts.items():
+                idf = np.log1p((known.items - known.having[w] + 0.5) / (known.having[w] + 0.5))
+                weight[w] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bag) / known.mean)))
+            windows = len(bag) - SHINGLE + 1 if len(bag) >= SHINGLE else 1
+            lost = int((1 - overlap) * windows + 1e-9)
             needed = sum(sorted(weight.values())[: len(weight) - lost]) * (1 - 1e-9)
             self.scale.append(needed)
             for w, x in weight.items():
-                postings[self.term[w]].append((n, x / max(needed, 1e-12)))
-        self.longest = max(map(len, bags), default=1)
-        self.postings = postings
-        sizes = np.array([len(p) for p in postings], np.int64)
-        self.at = np.concatenate(([0], np.cumsum(sizes)))
-        flat = [x for p in postings for x in p]
-        self.of = np.array([n for n, _ in flat], np.int64)
-        self.share = np.array([x for _, x in flat], float)
-        blocks: list[list[tuple[int, float]]] = []
-        for p in postings:
-            best: dict[int, float] = {}
-            for n, x in p:
-                best[n // BLOCK] = max(best.get(n // BLOCK, 0.0), x)
-            blocks.append(sorted(best.items()))
-        self.block_at = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype(np.int64)
-        self.block_of = np.array([n for b in blocks for n, _ in b], np.int64)
-        self.block_most = np.array([x for b in blocks for _, x in b], float)
+                terms.append(self.term.setdefault(w, len(self.term)))
+                of.append(n)
+                share.append(x / max(needed, 1e-12))
+        terms, of, share = np.array(terms, np.int64), np.array(of, np.int64), np.array(share)
+        order = np.lexsort((of, terms))
+        terms, self.of, self.share = terms[order], of[order], share[order]
+        self.at = np.searchsorted(terms, np.arange(len(self.term) + 1))
+        first = np.flatnonzero(np.r_[True, (np.diff(terms) != 0) | (np.diff(self.of // BLOCK) != 0)]) if len(terms) else np.zeros(0, np.int64)
+        self.block_of = self.of[first] // BLOCK
+        self.block_most = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
+        self.block_at = np.searchsorted(terms[first], np.arange(len(self.term) + 1))
+        self.most = [float(self.block_most[a:b].max()) for a, b in zip(self.block_at, self.block_at[1:])]
+        # the same as arrays that are quick to look into one by one
+        self.ends, self.block_ends = array("q", self.at.tolist()), array("q", self.block_at.tolist())
+        self.item_list, self.share_list, self.blocks, self.maxima = array("q", self.of.tolist()), array("d", self.share.tolist()), array("q", self.block_of.tolist()), array("d", self.block_most.tolist())
 
     def whole(self, terms: np.ndarray) -> np.ndarray:
         """Items that a document with these terms may reach: blocks by their maxima, then the items of blocks that are left."""
@@ -114,61 +140,71 @@ class Index:
         pick = pick[alive[self.of[pick] // BLOCK]]
         return np.flatnonzero(np.bincount(self.of[pick], self.share[pick], len(self.items)) >= 1)
 
-    def wand(self, terms: list[int], allowed: frozenset[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every allowed item whose score for these terms is at least 1, with its BM25 score."""
-        lists = [p for t in terms if (p := [x for x in self.postings[t] if x[0] in allowed])]
-        most = [max(x for _, x in p) for p in lists]
-        heads = [0] * len(lists)
+    def wand(self, terms: list[int]) -> list[tuple[int, float]]:
+        """Block-max WAND: every item whose score for these terms is at least 1, with its BM25 score."""
+        items, ends, most = self.item_list, self.ends, self.most
+        heads = {t: ends[t] for t in terms}
         out = []
         while True:
-            live = sorted((lists[k][heads[k]][0], k) for k in range(len(lists)) if heads[k] < len(lists[k]))
+            live = sorted((items[h], t) for t, h in heads.items() if h < ends[t + 1])
             bound, pivot = 0.0, None
-            for n, k in live:
-                bound += most[k]
+            for n, t in live:
+                bound += most[t]
                 if bound >= 1:
                     pivot = n
                     break
             if pivot is None:
                 return out
-            front = [k for n, k in live if n <= pivot]
+            front = [t for n, t in live if n <= pivot]
             block = pivot // BLOCK
-            near = sum(max((x for n, x in lists[k][heads[k] :] if n // BLOCK == block), default=0.0) for k in front)
-            if near < 1:  # no item of this block can do it
-                _advance(lists, heads, front, (block + 1) * BLOCK if len(front) == len(live) else min((block + 1) * BLOCK, max(pivot + 1, live[len(front)][0])))
-                continue
-            if live[0][0] == pivot:
-                score = sum(lists[k][heads[k]][1] for n, k in live if n == pivot)
+            if sum(self._block_most(t, block) for t in front) < 1:  # no item of this block can do it
+                to = (block + 1) * BLOCK
+                if len(front) < len(live):
+                    to = min(to, live[len(front)][0])
+            elif live[0][0] == pivot:
+                score = sum(self.share_list[heads[t]] for t in front)
                 if score >= 1:
                     out.append((pivot, score * self.scale[pivot]))
-                _advance(lists, heads, front, pivot + 1)
+                to = pivot + 1
             else:
-                _advance(lists, heads, front, pivot)
+                to = pivot
+            for t in front:
+                heads[t] = bisect_left(items, to, heads[t], ends[t + 1])
+
+    def _block_most(self, term: int, block: int) -> float:
+        """The stored maximum of a term's list in a block of items."""
+        end = self.block_ends[term + 1]
+        k = bisect_left(self.blocks, block, self.block_ends[term], end)
+        return self.maxima[k] if k < end and self.blocks[k] == block else 0.0
 
     def passages(self, count: int) -> list[tuple[int, int]]:
         """Word ranges; each stretch of twice the longest item lies in one of them."""
         return [(a, a + 3 * self.longest) for a in range(0, max(1, count - 2 * self.longest), self.longest)]
 
-    def hits(self, text: str | None) -> list[tuple[int, float, float, float, float, int]]:
-        """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals."""
+    def terms_of(self, words: list[str]) -> list[int]:
+        return sorted({k for w in set(words) if (k := self.term.get(w)) is not None})
+
+    def hits(self, text: str | None, skip: bool = True) -> list[tuple[int, float, float, float, float, int]]:
+        """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals.
+
+        With ``skip``, a text whose words reach no item as a whole ends early.
+        """
         words = words_of(text)
-        known = sorted({k for w in set(words) if (k := self.term.get(w)) is not None})
-        reach = self.whole(np.array(known, np.int64))
-        if not len(reach):
+        if skip and not len(self.whole(np.array(self.terms_of(words), np.int64))):
             return []
-        allowed, best = frozenset(reach.tolist()), {}
+        best: dict[int, tuple] = {}
         for a, b in self.passages(len(words)):
             own = words[a:b]
-            terms = sorted({k for w in set(own) if (k := self.term.get(w)) is not None})
-            got = self.wand(terms, allowed)
+            got = self.wand(self.terms_of(own))
             if not got:
                 continue
-            have = {*shingles(own), *(tuple(own[k : k + n]) for n in {len(self.items[i].windows[0]) for i, _ in got} if n < SHINGLE for k in range(len(own) - n + 1))}
-            have |= {tuple(own[k : k + n]) for i, _ in got for part in (self.items[i].question, self.items[i].answer) for n in {len(x) for x in part} if n < SHINGLE for k in range(len(own) - n + 1)}
+            sizes = {len(part[0]) for n, _ in got for part in self.items[n].parts if part}
+            have = {tuple(own[k : k + n]) for n in sizes for k in range(len(own) - n + 1)}
             for n, score in got:
                 item = self.items[n]
-                shares = [sum(w in have for w in part) / max(1, len(part)) for part in (item.windows, item.question, item.answer)]
-                if shares[0] >= self.overlap and (n not in best or shares[0] > best[n][1]):
-                    best[n] = (item.item_id, *shares, score, a)
+                whole, question, answer = (sum(w in have for w in part) / max(1, len(part)) for part in item.parts)
+                if (whole >= self.overlap or min(question, answer) >= self.overlap) and (n not in best or whole > best[n][1]):
+                    best[n] = (item.item_id, whole, question, answer, score, a)
         return [best[n] for n in sorted(best)]
 
 
@@ -179,26 +215,39 @@ def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
 
 
-def _advance(lists, heads, which, to: int) -> None:
-    for k in which:
-        p, h = lists[k], heads[k]
-        while h < len(p) and p[h][0] < to:
-            h += 1
-        heads[k] = h
+def indexes(benchmark: DataFrame, most: int | None = None) -> Iterator[Index]:
+    """Indexes of at most about ``most`` text bytes each, one after another, all with the statistics of all items; items of a null id or without words are left out.
 
-
-def indexes(benchmark: DataFrame, most: int = INDEX_BYTES) -> list[Index]:
-    """Indexes of at most about ``most`` text bytes each; items of a null id or without words are left out."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
+    Only one index is on the driver at a time.
+    """
+    most = most or INDEX_BYTES
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // most))
-    dealt = [rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else rows for k in range(parts)]
-    found = [Index([tuple(r) for r in d.distinct().collect()]) for d in dealt]
-    return [x for x in found if x.items]
+    if size <= most:
+        index = Index([tuple(r) for r in rows.collect()])
+        if index.items:
+            yield index
+        return
+    parts = -(-size // most)
+
+    def count(columns):
+        bags = [words_of(t) for t in columns[1]]
+        return [*columns, [len(b) for b in bags], [sorted(set(b)) for b in bags]]
+
+    counted = cut(map_arrow(rows, "item_id: long, text: string, n: long, words: array<string>", count).where("n > 0").withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
+    items, mean, longest = counted.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+    having = counted.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("having"))
+    for k in range(parts):
+        own = counted.where(F.col("part") == k)
+        words = own.select(F.explode("words").alias("word")).distinct()
+        known = Statistics(items or 0, mean or 1.0, longest or 1, {r.word: r.having for r in having.join(words, "word").collect()})
+        index = Index([tuple(r) for r in own.select("item_id", "text").collect()], known)
+        if index.items:
+            yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item that a passage of it overlaps by at least OVERLAP.
+    """One row per document and test item that is found in a passage of it.
 
     Null and empty texts and empty tables give no rows; repeated documents give
     rows of their own, and an item id with several texts counts each text.
@@ -206,6 +255,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id: long, item_id: long, overlap: double, question_overlap: double, answer_overlap: double, bm25: double, first_word: long"
     out = None
     for index in indexes(benchmark):
+        if out is not None:
+            out = cut(out)  # the index before is no longer needed
 
         def run(columns, index=index):
             rows = [(i, *h) for i, x in zip(*columns, strict=True) for h in index.hits(x)]
@@ -217,9 +268,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no test item, with all their columns; one pass over the texts for each index."""
+    """The documents in which no test item is found, with all their columns; one pass over the texts for each index."""
     where = docs.columns.index("text")
+    first = True
     for index in indexes(benchmark):
+        if not first:
+            docs = cut(docs)
+        first = False
 
         def keep(batches, index=index):
             import pyarrow as pa
@@ -251,6 +306,6 @@ own AS (SELECT rid, item_id, a, n, unnest(range(len(own) - n + 1)) AS k, own FRO
 have AS (SELECT DISTINCT rid, item_id, a, n, array_to_string(own[k+1:k+n], ' ') AS s FROM own),
 cnt AS (SELECT rid, h.item_id, a, part, count(*) AS got FROM have h JOIN sh ON h.item_id = sh.item_id AND h.n = sh.n AND h.s = sh.s GROUP BY ALL),
 rt AS (SELECT rid, item_id, a, part, got * 1.0::DOUBLE / total AS r FROM cnt JOIN sz USING (item_id, part)),
-best AS (SELECT rid, item_id, a, max(r) FILTER (part = 0) AS overlap, coalesce(max(r) FILTER (part = 1), 0) AS question_overlap, coalesce(max(r) FILTER (part = 2), 0) AS answer_overlap FROM rt GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY overlap DESC, a) AS k FROM best WHERE overlap >= {OVERLAP})
+best AS (SELECT rid, item_id, a, coalesce(max(r) FILTER (part = 0), 0) AS overlap, coalesce(max(r) FILTER (part = 1), 0) AS question_overlap, coalesce(max(r) FILTER (part = 2), 0) AS answer_overlap FROM rt GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY overlap DESC, a) AS k FROM best WHERE overlap >= {OVERLAP} OR least(question_overlap, answer_overlap) >= {OVERLAP})
 SELECT doc_id, item_id, overlap, question_overlap, answer_overlap, a AS first_word FROM top JOIN dw USING (rid) WHERE k = 1"""

@@ -279,40 +279,83 @@ def test_licence_scan_takes_time_in_proportion():
     assert {n: d for n, d, *_ in scanner.scan(mixed)}["MIT"] == 1.0 and time.time() - began < 60
 
 
-def test_decontamination_against_brute_force(spark):
-    rng = random.Random(6)
+def benchmark_items(rng):
     vocabulary = [f"w{k}" for k in range(60)]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30))) + ". " + " ".join(rng.choice(vocabulary) for _ in range(6)) + ".") for k in range(30)]
-    index = decontamination.Index(items)
+    texts = []
     for _ in range(150):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 200))]
         own = rng.choice(items)[1].split()
         for _ in range(rng.randint(0, 2)):
             own[rng.randrange(len(own))] = "zz"
+        if rng.random() < 0.3:  # question and answer apart
+            own[-6:-6] = ["other", "words"]
         at = rng.randint(0, len(words))
-        text = " ".join([*words[:at], *own, *words[at:]])
+        texts.append(" ".join([*words[:at], *own, *words[at:]]))
+    return items, texts
+
+
+def test_decontamination_against_brute_force(spark):
+    items, texts = benchmark_items(random.Random(6))
+    index = decontamination.Index(items)
+    apart = 0
+    for text in texts:
         tokens, want = decontamination.words_of(text), {}
         for item in index.items:
             for a, b in index.passages(len(tokens)):
-                have = set(decontamination.shingles(tokens[a:b]))
-                share = sum(w in have for w in item.windows) / len(item.windows)
-                if share >= 0.8:
-                    want[item.item_id] = max(want.get(item.item_id, 0), share)
-        assert {h[0]: h[1] for h in index.hits(text)} == want
+                own = tokens[a:b]
+                have = {tuple(own[k : k + n]) for n in range(1, 6) for k in range(len(own) - n + 1)}
+                whole, question, answer = (sum(w in have for w in part) / len(part) for part in item.parts)
+                if whole >= 0.8 or (question >= 0.8 and answer >= 0.8):
+                    want[item.item_id] = max(want.get(item.item_id, 0), whole)
+                    apart += whole < 0.8
+        assert {h[0]: h[1] for h in index.hits(text)} == {h[0]: h[1] for h in index.hits(text, skip=False)} == want
+    assert apart > 5
+
+
+def test_whole_texts_skip_most_passages(spark):
+    """What the bound of whole documents skips on the given tables, and that it loses nothing."""
+    docs, _ = tables(spark, "sf0.001")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    (index,) = decontamination.indexes(bench)
+    asked = skipped = 0
+    for r in docs.collect():
+        words = decontamination.words_of(r.text)
+        n = len(index.passages(len(words)))
+        over = not len(index.whole(np.array(index.terms_of(words), np.int64)))
+        asked, skipped = asked + n, skipped + n * over
+        if over:
+            assert index.hits(r.text, skip=False) == []
+    assert 0 < skipped < asked
+
+
+def test_several_indexes_give_what_one_gives(spark, monkeypatch):
+    items, texts = benchmark_items(random.Random(8))
+    bench = spark.createDataFrame([*items, (3, "an item id with two texts. It has another answer here."), (None, "none"), (77, "?")], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts[:80]), (90, "an item id with two texts it has another answer here")], "doc_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in decontamination.contaminated(docs, bench).collect())
+    left = lambda: sorted(r.doc_id for r in decontamination.without_contaminated(docs, bench).collect())
+    one, kept = rows(), left()
+    assert one and any(r[:2] == (90, 3) for r in one)
+    monkeypatch.setattr(decontamination, "INDEX_BYTES", 800)
+    assert len(list(decontamination.indexes(bench))) > 2
+    many = rows()
+    assert [r[:5] + r[6:] for r in many] == [r[:5] + r[6:] for r in one] and all(abs(a[5] - b[5]) < 1e-9 for a, b in zip(many, one)) and left() == kept
 
 
 def test_wand_finds_what_scoring_all_finds():
     rng = random.Random(7)
     items = [(k, " ".join(f"v{rng.randint(0, 40)}" for _ in range(12))) for k in range(60)]
     index = decontamination.Index(items)
-    for _ in range(200):
-        terms = sorted(rng.sample(range(len(index.postings)), rng.randint(1, 25)))
+    for _ in range(300):
+        terms = sorted(rng.sample(range(len(index.term)), rng.randint(1, 25)))
         scores = Counter()
         for t in terms:
-            for n, x in index.postings[t]:
-                scores[n] += x
-        everyone = frozenset(range(60))
-        assert sorted(n for n, _ in index.wand(terms, everyone)) == sorted(n for n, s in scores.items() if s >= 1)
+            for k in range(index.at[t], index.at[t + 1]):
+                scores[int(index.of[k])] += index.share[k]
+        got = index.wand(terms)
+        assert sorted(n for n, _ in got) == sorted(n for n, s in scores.items() if s >= 1)
+        assert all(abs(x - scores[n] * index.scale[n]) < 1e-9 for n, x in got)
 
 
 def test_decontamination_on_odd_rows(spark):
