@@ -1,15 +1,25 @@
 """Exact removal of long repeated byte strings, decided by suffix arrays.
 
 Every byte that lies in a string of WINDOW bytes which also starts elsewhere is
-removed.  Which strings can repeat is narrowed down without loss: each window
-owns the least hash among its k-grams (its anchor), equal windows own equal
-anchors at equal places, and runs of windows that own one anchor form a
-segment.  An anchor that occurs once cannot lie in a repeat.  Where all
-segments of an anchor are equal, all their windows repeat.  Only where they
-differ (at the borders of repeats) are their bytes fetched: the segments of an
-anchor are cut where any two of them part, each part becomes a symbol, and a
-suffix array over these strings (``suffix_array``) with the prefixes that
-neighbours share tells which windows repeat.
+removed.  Python cannot sort all the text's bytes, so the text is made short
+without loss first: each window owns the least hash among its k-grams (its
+anchor), equal windows own equal anchors at equal places, and runs of windows
+that own one anchor form a segment.  An anchor that occurs once cannot lie in a
+repeat.  The other segments become strings of symbols, cut where any two
+segments of an anchor part, and a suffix array over these strings
+(``suffix_array``) with the prefixes that neighbours share tells which windows
+repeat; no byte goes without it.  Equal segments are one kind, sent to the
+suffix array once, or twice if it has several occurrences; an anchor of one kind
+needs no bytes, as its segments are one symbol.
+
+An anchor of more kinds than one task should sort is split by longer anchors:
+its segments' windows are dealt by their least hash among longer grams, up to
+whole windows, and each part is decided in the same way.
+
+Two kinds are told apart by 64 bits of a polynomial hash beside the anchor's,
+so two different segments count as one with a chance of 2^-64 for each pair of
+an anchor's kinds; the known bad strings for such hashes have over 1,000 bytes,
+a segment has at most 360.  Documents of one id are told apart by xxhash64.
 """
 
 from __future__ import annotations
@@ -26,11 +36,15 @@ from prefixloom.llm.common import cut, table
 from prefixloom.llm.suffix_array import neighbours, suffix_array
 
 WINDOW = 200
-GRAM = 40
+#: Bytes of an anchor, and of the longer ones that split an anchor of many kinds.
+GRAMS = (40, 100, 160, WINDOW)
+GRAM = GRAMS[0]
 #: Window starts that are hashed at once; longer texts are taken in slabs of so many.
 SLAB = 1 << 20
-#: Different segments of one anchor that are sorted together; an anchor with more has its windows counted one by one.
-PART = 2048
+#: Kinds of one anchor that are sorted together; an anchor with more is split.
+PART = 512
+#: Segments that one suffix array takes, if no anchor has more.
+SORTED = 4096
 
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
@@ -100,48 +114,52 @@ class Hasher:
         return keys[anchor], segs, first, last - first + 1, anchor - first
 
 
-def repeated_windows(segments: list[tuple[bytes, int, int]], window: int = WINDOW, gram: int = GRAM) -> list[list[tuple[int, int]]]:
-    """For each (bytes, window starts, anchor's place): ranges [a, b) of window starts that another segment has too.
+Segment = tuple[int, bytes, int, int, bool]
 
-    The segments share an anchor.  They are cut where two of them part on
-    either side of it, equal parts get equal symbols, and the suffix array of
-    all the symbol strings tells how far each agrees with any other.
+
+def repeated_windows(segments: list[Segment], window: int = WINDOW, gram: int = GRAM) -> list[list[tuple[int, int]]]:
+    """For each (group, bytes, window starts, anchor's place, several): ranges [a, b) of window starts that occur again.
+
+    The segments of a group share an anchor; one with ``several`` occurrences
+    stands twice.  They are cut where two of them part on either side of it,
+    equal parts get equal symbols, and the suffix array of all the symbol
+    strings tells how far each agrees with any other.
     """
-    groups: dict[bytes, list[int]] = {}
-    for k, (body, _, place) in enumerate(segments):
-        groups.setdefault(body[place : place + gram], []).append(k)
-    text, where, symbols, edges_of = [], [], {}, {}
-    for anchor, members in groups.items():
-        edges = _edges([segments[k] for k in members], gram)
+    groups: dict[tuple[int, bytes], list[int]] = {}
+    for k, (group, body, _, place, _) in enumerate(segments):
+        groups.setdefault((group, body[place : place + gram]), []).append(k)
+    text: list[int] = []
+    where: list[tuple[int, list[int], int]] = []  # where a segment's symbols start
+    symbols: dict[tuple, int] = {}
+    stops = 0
+    for key, members in groups.items():
+        edges = _edges([segments[k][1:4] for k in members], gram)
         for k in members:
-            body, _, place = segments[k]
+            _, body, _, place, several = segments[k]
             own = [c for c in edges if -place <= c <= len(body) - place]
-            edges_of[k] = own
-            for a, b in zip(own, own[1:]):
-                where.append((k, a))
-                text.append(symbols.setdefault((anchor, a, body[place + a : place + b]), len(symbols)))
-            where.append((k, None))
-            text.append(-1 - k)
-    low = min(text, default=0)
-    text = [x - low for x in text]
-    order = suffix_array(text)
-    shared = neighbours(text, order)
+            where.append((k, own, len(text)))
+            string = [symbols.setdefault((key, a, body[place + a : place + b]), len(symbols)) for a, b in zip(own, own[1:])]
+            for _ in range(2 if several else 1):
+                stops += 1
+                text += [*string, -stops]
+    shared = _shared(text, stops)
     found: list[list[tuple[int, int]]] = [[] for _ in segments]
-    at = 0
-    while at < len(text):
-        k, a = where[at]
-        if a is not None:
-            body, starts, place = segments[k]
-            own = edges_of[k]
-            n = own.index(a)
-            end = min(own[n + 1], own[n + shared[at]] - window + 1, starts - place)
-            if end > a:
-                found[k].append((a + place, end + place))
-        at += 1
+    for k, own, first in where:
+        _, _, starts, place, _ = segments[k]
+        for n in range(len(own) - 1):
+            end = min(own[n + 1], own[n + shared[first + n]] - window + 1, starts - place)
+            if end > own[n]:
+                found[k].append((own[n] + place, end + place))
     return found
 
 
-def _edges(members: list[tuple[bytes, int, int]], gram: int) -> list[int]:
+def _shared(text: list[int], stops: int) -> list[int]:
+    """How many symbols each place shares with any other; the stops, from -stops to -1, end every string and are all different."""
+    text = [x + stops for x in text]
+    return neighbours(text, suffix_array(text))
+
+
+def _edges(members: list[tuple[bytes, int, int]], gram: int = GRAM) -> list[int]:
     """Columns, counted from the anchor, where some segment ends or two of them part."""
     out = set()
     for side in (-1, 1):
@@ -197,36 +215,81 @@ def _segments_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "body_key", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, _PACKED)
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one anchor's segments to covered ranges of their documents."""
+def _one_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of segments whose anchors have one kind to ranges; a row whose like is not in the batch stands twice, as its anchor has several occurrences."""
     for batch in batches:
-        out = []
-        for members in batch.column(0):
-            rows = sorted(members.as_py(), key=lambda m: (m["seg"], m["doc_id"] is None, m["doc_id"] or 0))
-            rows = [m for m, earlier in zip(rows, [None, *rows]) if earlier is None or earlier["seg"] != m["seg"]]  # a repeated row fetches its text twice
-            for m, ranges in zip(rows, repeated_windows([(m["body"], m["windows"], m["place"]) for m in rows]), strict=True):
-                out += [(m["doc_id"], m["body_key"], m["first"] + a, m["first"] + b - 1 + WINDOW) for a, b in ranges]
-        yield _ranges(out)
-
+        kinds, sizes = np.unique(batch.column(2).to_numpy(), return_counts=True)
+        kind = np.searchsorted(kinds, batch.column(2).to_numpy())
+        text, first, stops = [], [], 0
+        for k in kind.tolist():
+            first.append(len(text))
+            for _ in range(1 if sizes[k] > 1 else 2):
+                stops += 1
+                text += [k, -stops]
+        shared = _shared(text, stops)
+        yield batch.filter(pa.array([shared[f] > 0 for f in first], pa.bool_())).select([0, 1, 3, 4])
+
+
+def _decide(gram: int):
+    """Groups of an anchor's kinds to (anchor, seg, a, b): the kinds' window starts that occur again."""
+
+    def some(groups: list[list[dict]]) -> pa.RecordBatch:
+        members = [(g, m) for g, group in enumerate(groups) for _, m in sorted({m["seg"]: m for m in group}.items())]  # a repeated row fetches its text twice
+        ranges = repeated_windows([(g, m["body"], m["windows"], m["place"], m["several"]) for g, m in members], gram=gram)
+        rows = [(m["anchor"], m["seg"], a, b) for (_, m), found in zip(members, ranges, strict=True) for a, b in found]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["anchor", "seg", "a", "b"])
 
-def _ranges(rows) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["doc_id", "body_key", "a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups: list[list[dict]] = []
+            size = 0
+            for members in batch.column(0):
+                groups.append(members.as_py())
+                size += len(groups[-1])
+                if size >= SORTED:
+                    yield some(groups)
+                    groups, size = [], 0
+            if groups:
+                yield some(groups)
 
+    return run
 
-_RANGE = "doc_id long, body_key long, a int, b int"
 
+def _longer(gram: int):
+    """Kinds of anchors that are to be split as segments of longer anchors, each with its place in its kind."""
 
-def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a segment as a row of its own, by two hashes of its bytes."""
-    for batch in batches:
-        rows = []
-        for i, k, first, windows, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            for a in range(windows):
-                h = hashlib.blake2b(body[a : a + WINDOW], digest_size=16).digest()
-                rows.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), i, k, first + a))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()], strict=True)], names=["h1", "h2", "doc_id", "body_key", "a"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(gram=gram)
+        for batch in batches:
+            rows = []
+            for anchor, seg, several, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for a, s, first, windows, place in zip(*[x.tolist() for x in hasher.segments(body)]):
+                    rows.append((anchor, seg, first, a, s, several, windows, place, body[first : first + windows + WINDOW - 1]))
+            columns = list(zip(*rows)) if rows else [()] * 9
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["its_anchor", "its_seg", "offset", "anchor", "seg", "several", "windows", "place", "body"])
+
+    return run
+
+
+def decisions(kinds: DataFrame, level: int = 0) -> DataFrame:
+    """(anchor, seg, a, b): ranges of window starts that occur again, of kinds (anchor, seg, several, windows, place, body)."""
+    gram = GRAMS[level]
+    member = F.struct("anchor", "seg", "several", "windows", "place", "body")
+    groups = lambda some: some.groupBy("anchor").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(_decide(gram), "anchor long, seg long, a int, b int")
+    if level + 1 == len(GRAMS):  # the anchor is the whole window, so it has one kind
+        return groups(kinds)
+    hot = cut(kinds.groupBy(F.col("anchor").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("hot"))
+    if hot.isEmpty():
+        return groups(kinds)
+    few = groups(kinds.join(hot, F.col("anchor") == F.col("hot"), "left_anti"))
+    split = kinds.join(hot, F.col("anchor") == F.col("hot")).select("anchor", "seg", "several", "body").dropDuplicates(["anchor", "seg"])
+    split = cut(split.mapInArrow(_longer(GRAMS[level + 1]), "its_anchor long, its_seg long, offset int, anchor long, seg long, several boolean, windows int, place int, body binary"))
+    again = split.groupBy("anchor", "seg").agg(((F.count(F.lit(1)) > 1) | F.max("several")).alias("several"), F.min(F.struct("windows", "place", "body")).alias("one")).select("anchor", "seg", "several", "one.*")
+    found = cut(decisions(cut(again), level + 1)).select(F.col("anchor").alias("ka"), F.col("seg").alias("ks"), "a", "b")
+    back = split.select("its_anchor", "its_seg", "offset", "anchor", "seg").join(found, (F.col("anchor") == F.col("ka")) & (F.col("seg") == F.col("ks")))
+    return few.unionByName(back.select(F.col("its_anchor").alias("anchor"), F.col("its_seg").alias("seg"), (F.col("offset") + F.col("a")).alias("a"), (F.col("offset") + F.col("b")).alias("b")))
 
 
 def covered(rows: DataFrame) -> DataFrame:
@@ -237,27 +300,17 @@ def covered(rows: DataFrame) -> DataFrame:
     anchors = cut(anchors.where("n > 1").select("key", (F.col("s1") != F.col("s2")).alias("differ")))
     found = segs.join(anchors, F.col("anchor") == F.col("key")).drop("key")
     found = cut(found.withColumns({"first": F.shiftright("at", 16).cast("int"), "windows": F.shiftright("at", 8).bitwiseAND(255).cast("int"), "place": F.col("at").bitwiseAND(255).cast("int")}).drop("at"))
-    span = (F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + WINDOW).cast("int").alias("b"))
-    alike = found.where("not differ").select("doc_id", "body_key", *span)
+    end = lambda last: (last + WINDOW - 1).cast("int").alias("b")
+    alike = found.where("not differ").select("doc_id", "body_key", "seg", F.col("first").alias("a"), end(F.col("first") + F.col("windows"))).mapInArrow(_one_kind, "doc_id long, body_key long, a int, b int")
     apart = found.where("differ")
     kinds = apart.groupBy("anchor", "seg").agg((F.count(F.lit(1)) > 1).alias("several"), F.min(F.struct("doc_id", "body_key", "first", "windows", "place")).alias("one"))
-    kinds = cut(kinds)
-    several = kinds.where("several").select(F.col("anchor").alias("ka"), F.col("seg").alias("ks"))
-    alike = alike.union(apart.join(several, (F.col("anchor") == F.col("ka")) & (F.col("seg") == F.col("ks"))).select("doc_id", "body_key", *span))
-    many = kinds.groupBy(F.col("anchor").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    asked = kinds.join(many, F.col("anchor") == F.col("key")).select("anchor", "seg", (F.col("n") > PART).alias("hot"), "one.*")
-    asked = asked.groupBy(F.col("doc_id").alias("its_id"), F.col("body_key").alias("its_key")).agg(F.collect_list(F.struct("anchor", "seg", "hot", "first", "windows", "place")).alias("asked"))
+    asked = kinds.select("anchor", "seg", "several", "one.*").groupBy(F.col("doc_id").alias("its_id"), F.col("body_key").alias("its_key")).agg(F.collect_list(F.struct("anchor", "seg", "several", "first", "windows", "place")).alias("asked"))
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("body_key") == F.col("its_key"))
-    fetched = rows.join(asked, same).select("doc_id", "body_key", F.encode("text", "UTF-8").alias("data"), F.explode("asked").alias("q"))
-    fetched = fetched.select("doc_id", "body_key", "q.*", F.expr(f"substring(data, q.first + 1, q.windows + {WINDOW - 1})").alias("body"))
-    fetched = cut(fetched)
-    groups = fetched.where("not hot").groupBy("anchor").agg(F.collect_list(F.struct("seg", "doc_id", "body_key", "first", "windows", "place", "body")).alias("members"))
-    sorted_out = groups.select("members").mapInArrow(_decide, _RANGE)
-    single = fetched.where("hot").select("doc_id", "body_key", "first", "windows", "body").mapInArrow(_one_by_one, "h1 long, h2 long, doc_id long, body_key long, a int")
-    place = F.xxhash64("doc_id", "body_key", "a")
-    twice = single.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.min(place).alias("p1"), F.max(place).alias("p2")).where("p1 <> p2")
-    counted = single.join(twice, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("doc_id", "body_key", "a", (F.col("a") + WINDOW).cast("int").alias("b"))
-    return alike.union(sorted_out).union(counted)
+    fetched = rows.join(asked, same).select(F.encode("text", "UTF-8").alias("data"), F.explode("asked").alias("q"))
+    fetched = fetched.select("q.*", F.expr(f"substring(data, q.first + 1, q.windows + {WINDOW - 1})").alias("body")).drop("first")
+    found_again = decisions(cut(fetched)).select(F.col("anchor").alias("ka"), F.col("seg").alias("ks"), "a", "b")
+    sorted_out = apart.join(found_again, (F.col("anchor") == F.col("ka")) & (F.col("seg") == F.col("ks"))).select("doc_id", "body_key", (F.col("first") + F.col("a")).alias("a"), end(F.col("first") + F.col("b")))
+    return alike.unionByName(sorted_out)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -268,19 +321,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by their texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("body_key", F.xxhash64("text"))
-    ranges = covered(rows).select(F.col("doc_id").alias("its_id"), F.col("body_key").alias("its_key"), F.struct("a", "b").alias("r"))
-    lists = ranges.groupBy("its_id", "its_key").agg(F.collect_set("r").alias("ranges"))
+    ranges = covered(rows).select(F.col("doc_id").alias("its_id"), F.col("body_key").alias("its_key"), F.shiftleft(F.col("a").cast("long"), 16).bitwiseOR(F.col("b") - F.col("a")).alias("r"))
+    lists = ranges.groupBy("its_id", "its_key").agg(F.collect_set("r").alias("ranges"))  # a range is no longer than a segment
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("body_key") == F.col("its_key"))
-    joined = rows.join(lists, same, "left").select("doc_id", F.encode("text", "UTF-8").alias("data"), "ranges.a", "ranges.b")
+    joined = rows.join(lists, same, "left").select("doc_id", F.encode("text", "UTF-8").alias("data"), "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         for batch in batches:
             out = []
-            for i, data, a, b in zip(*batch.columns, strict=True):
+            for i, data, ranges in zip(*batch.columns, strict=True):
                 data = data.as_py()
-                spans = merged(list(zip(a.as_py(), b.as_py()))) if a.is_valid else []
+                spans = merged([(r >> 16, (r >> 16) + (r & 0xFFFF)) for r in ranges.as_py()]) if ranges.is_valid else []
                 edges = [0, *(x for s in spans for x in s), len(data)]
                 kept = b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2]))
                 out.append((i.as_py(), len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
-    """The starts of a string's suffixes in order; symbols are whole numbers of at least 0.
+    """The starts of a string's suffixes in order; symbols are whole numbers from 0 on, in proportion to the length.
 
     First all suffixes stand in groups by their first symbol.  From the
     greatest group down, each member finds the nearest place before it that
@@ -14,28 +14,36 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     places so found move up behind the rest of their own group, those with
     more members pointing to them further.  Then every group's suffixes share
     a Lyndon prefix, and one pass from the least suffix up emits each group's
-    order along the same pointers; nothing is renamed or sorted again.
+    order along the same pointers; nothing is renamed, and nothing is sorted by
+    comparison.
     """
     n = len(text)
     order, place, head, size = _by_first_symbol(text)
-    before = [-1] * (n + 1)
+    before = [OPEN] * (n + 1)
     _group(n, order, place, head, size, before)
     return _emit(n, head, before)[1:]
 
 
+#: In place of a pointer: not found yet.
+OPEN = -2
+
+
 def _by_first_symbol(text: Sequence[int]):
-    """Order, place, group head and group sizes; the empty suffix, below all, has the first group."""
+    """Order, place, group head and group sizes, by counting; the empty suffix, below all, has the first group."""
     n = len(text)
-    order = [n, *sorted(range(n), key=text.__getitem__)]
-    place, head, size = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    ends = [0] * (max(text, default=0) + 2)
+    for c in text:
+        ends[c + 1] += 1
+    ends[0] = 1
+    for c in range(1, len(ends)):
+        ends[c] += ends[c - 1]
+    heads = ends[:]
+    order, place, head, size = [n] * (n + 1), [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     size[0] = 1
-    first = 1
-    for k in range(1, n + 1):
-        at = order[k]
-        if k > 1 and text[at] != text[order[k - 1]]:
-            first = k
-        place[at], head[at] = k, first
-        size[first] += 1
+    for at, c in enumerate(text):
+        order[ends[c]], place[at], head[at] = at, ends[c], heads[c]
+        size[heads[c]] += 1
+        ends[c] += 1
     return order, place, head, size
 
 
@@ -43,23 +51,30 @@ def _group(n, order, place, head, size, before) -> None:
     end = n + 1
     while end > 1:
         first = head[order[end - 1]]
-        members = order[first:end] if end - first == 1 else sorted(order[first:end])
+        members = order[first:end]
         pointed: dict[int, int] = {}
+        for member in members:
+            open_ = [(member, member - 1)]
+            while open_:  # members of the same group before it come first
+                i, j = open_.pop()
+                while j >= 0 and head[j] >= first:
+                    if before[j] == OPEN:
+                        open_ += [(i, j), (j, j - 1)]
+                        break
+                    j = before[j]
+                else:
+                    before[i] = j
         for i in members:
-            j = i - 1
-            while j >= 0 and head[j] >= first:
-                j = before[j]
-            before[i] = j
+            j = before[i]
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
         end = first
         if not pointed:
             continue
-        by_count: dict[int, list[int]] = {}
+        by_count: list[list[int]] = [[] for _ in range(max(pointed.values()) + 1)]
         for j, c in pointed.items():
-            by_count.setdefault(c, []).append(j)
-        for c in sorted(by_count, reverse=True):
-            moved = by_count[c]
+            by_count[c].append(j)
+        for moved in reversed(by_count):
             for j in moved:  # to the end of its group, which shrinks
                 g = head[j]
                 size[g] -= 1

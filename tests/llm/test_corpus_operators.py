@@ -84,6 +84,14 @@ def test_repeats_against_brute_force(spark, monkeypatch):
         assert sorted((str(r[0]), *r[1:5]) for r in repeats.remove_repeats(docs).collect()) == want
 
 
+def test_no_byte_goes_without_the_suffix_array(spark, monkeypatch):
+    docs = spark.createDataFrame(repeat_rows(), "doc_id long, text string")
+    monkeypatch.setattr(repeats, "neighbours", lambda text, order: [0] * len(text))
+    for part in (repeats.PART, 3):
+        monkeypatch.setattr(repeats, "PART", part)
+        assert repeats.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_slabs_give_what_whole_texts_give(monkeypatch):
     rng = random.Random(3)
     data = bytes(rng.choice(b"abc") for _ in range(3000))
