@@ -76,3 +76,8 @@ def mismatch(a: Column, b: Column) -> Column:
 def cut_at_nul(data: Column) -> Column:
     """Bytes as UTF-8 text up to the first NUL."""
     return F.split_part(F.decode(data, "UTF-8"), F.lit("\0"), F.lit(1))
+
+
+def trimmed(value: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(value, r"^\s+|\s+$", "")

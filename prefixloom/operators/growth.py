@@ -39,3 +39,8 @@ def in_level_order(words: DataFrame, by: list[str]) -> DataFrame:
 def of_list(words: DataFrame, by: list[str], order: str = "num_words") -> DataFrame:
     """Facts of a list: a word's ordinal and length only."""
     return words.select(*by, "word", F.length("word").alias("word_length"), order)
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str = "ord") -> DataFrame:
+    """Rows of two frames side by side that have the same place; the longer one's rest goes."""
+    return left.join(right, place)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # The id ranges of the three shards, and the thresholds that the learned switch uses instead.
 SHARD_ENDS = (994, 1994)
 SWITCH_THRESHOLDS = (996.5, 1995.5)
+#: The same for the switch by parent that stands before the child tables.
+MODEL_SWITCH_THRESHOLDS = (614.0, 1191.5)
 
 
 def shard(node_id: Column) -> Column:
@@ -15,9 +17,9 @@ def shard(node_id: Column) -> Column:
     return F.when(node_id <= SHARD_ENDS[0], 0).when(node_id <= SHARD_ENDS[1], 1).otherwise(2)
 
 
-def switch_shard(node_id: Column) -> Column:
-    """Shard as the learned switch decides; it differs from the exact one at the borders."""
-    return F.when(node_id < SWITCH_THRESHOLDS[0], 0).when(node_id < SWITCH_THRESHOLDS[1], 1).otherwise(2)
+def switch_shard(node_id: Column, thresholds: tuple[float, float] = SWITCH_THRESHOLDS) -> Column:
+    """Shard as a learned switch decides; it differs from the exact one at the borders. A missing id goes to the first."""
+    return F.when(node_id.isNull() | (node_id < thresholds[0]), 0).when(node_id < thresholds[1], 1).otherwise(2)
 
 
 def priors(rows: DataFrame, label: str) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Table-driven programs: rule tables, exact lookup and upsert, and an interpreter that runs a program inside one expression.
+"""Table-driven programs: rule tables, exact lookup and upsert, and searches and insertions that run what the tables say.
 
 A program says for each state the next state, an opcode, operand slots and a
-destination.  The interpreter binds the program's rows one after another over a
-machine of five slots, and a loop folds that over the letters; the trie enters
-through one equi-join that lists each word's matching depths beforehand.
+destination.  Its tables are a relation; they are read once, and the states that
+a run goes through become one update of a machine of five slots, which a loop
+folds over the letters.  The trie enters through one equi-join that lists each
+word's matching depths beforehand, with their ends and checked letters.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,7 @@ def next_state(program: str, state: int, error: bool) -> int:
     return state + 1 if state < last else AFTER_LAST.get(program, -1)
 
 
-def builtin_rules(spark: SparkSession) -> DataFrame:
-    """The programs as one relation (model, key, out), as rule files would give it."""
+def _builtin_rows() -> list[tuple[str, str, str]]:
     rows = []
     for name, states in PROGRAMS.items():
         for error in (False, True):
@@ -61,13 +61,30 @@ def builtin_rules(spark: SparkSession) -> DataFrame:
         if name != "Loop":
             rows += [(f"{name}Arg", str(s), a) for s, _, a, _ in states]
             rows += [(f"{name}Result", str(s), r) for s, _, _, r in states]
-    return spark.createDataFrame(rows, "model string, key string, out string")
+    return rows
+
+
+def builtin_rules(spark: SparkSession) -> DataFrame:
+    """The programs as one relation (model, key, out), as rule files would give it."""
+    return spark.createDataFrame(_builtin_rows(), "model string, key string, out string")
+
+
+def operands(rules: DataFrame) -> DataFrame:
+    """The operand rows of rule tables with ``slots``, their JSON text as an array."""
+    return rules.where(F.col("model").endswith("Arg")).withColumn("slots", F.from_json("out", "array<int>"))
 
 
-def read_rules(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """Rule files of a folder as (model, key, out): leading columns whose names end with In are the key, the next is the value."""
+def rule_files(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the CSV files of a folder, in whatever store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName()[: -len(".csv")] for f in found if f.getPath().getName().endswith(".csv"))
+
+
+def read_rules(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+    """Rule files of a folder (all, or those named) as (model, key, out): leading columns whose names end with In are the key, the next is the value."""
     out = None
-    for name in names:
+    for name in rule_files(spark, folder) if names is None else names:
         table = spark.read.csv(f"{folder}/{name}.csv", header=True)
         keys = list(takewhile(lambda c: c.endswith("In"), table.columns))
         value = table.columns[len(keys)]
@@ -115,103 +132,137 @@ def trace(rules: DataFrame, programs: list[str], most: int = 24) -> DataFrame:
     return spark.sql(TRACE_SQL.format(most=most).replace("FROM programs", "FROM {programs}").replace("JOIN rules", "JOIN {rules}"), programs=spark.createDataFrame([(p,) for p in programs], "program string"), rules=rules)
 
 
-@dataclass(frozen=True)
-class Machine:
-    """Columns that the opcodes read: the word's letters, and the depths at which its prefixes are nodes and ends."""
-
-    letters: Column
-    depths: Column
-    ends: Column
-
-
-_STATE = "struct<place:int,letter:string,node:int,going:boolean,result:boolean,error:boolean,height:int>"
+#: Rows that a relation of rule tables may have; they are read by the driver.
+MOST_RULES = 10_000
 
 
-def _steps(program: str) -> list[tuple[int, str, str, str]]:
-    """The rows that a run reaches: state 0 only leads to the first, errors end the run."""
-    by_state = {s: (s, m, a, r) for s, m, a, r in PROGRAMS[program]}
-    out, state = [], next_state(program, 0, False)
-    while state != -1:
-        out.append(by_state[state])
-        state = next_state(program, state, False)
-    return out
+@dataclass(frozen=True)
+class Program:
+    """The rows of one program's tables that a run without errors goes through, in order: (method, operands, destination)."""
 
+    steps: list[tuple[str, list[int], str]] = field(default_factory=list)
 
-_FIELDS = ("place", "letter", "node", "going", "result", "error", "height")
 
+def program(tables: dict[tuple[str, str], str], name: str) -> Program:
+    """Follows the sequence table from state 0 to the end; a state that comes again ends the list, as the loop around it goes on."""
+    steps, seen, state = [], set(), 0
+    while True:
+        try:
+            state = int(tables[f"{name}Sequence", f"{state},FALSE"])
+            if state == -1 or state in seen:
+                return Program(steps)
+            method = tables[f"{name}Method", str(state)]
+        except KeyError as e:
+            raise ValueError(f"no rule {e} of program {name}") from None
+        seen.add(state)
+        steps.append((method, json.loads(tables.get((f"{name}Arg", str(state)), "[]")), tables.get((f"{name}Result", str(state)), "resultError")))
 
-def _bind(state: Column, f) -> Column:
-    """``f(state)`` with the state computed once."""
-    return F.get(F.transform(F.array(state), f), F.lit(0))
 
+def tables_of(rules: DataFrame | None) -> dict[tuple[str, str], str]:
+    """Rule tables by (model, key), read from a bounded relation; without one, the built-in programs."""
+    if rules is None:
+        return {(m, k): o for m, k, o in _builtin_rows()}
+    rows = rules.select("model", "key", "out").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    return {(r.model, r.key): r.out for r in rows}
 
-def _with(s: Column, **changed: Column) -> Column:
-    return F.struct(*[changed.get(k, s[k]).alias(k) for k in _FIELDS]).cast(_STATE)
 
+@dataclass(frozen=True)
+class Machine:
+    """Columns that the opcodes read: the word's letters, and for each depth at which its prefix is a node, whether it is an end and the letter that the check has for it (null: none)."""
 
-def _opcode(row: tuple[int, str, str, str], m: Machine, creates: bool):
-    """The state's effect as a function of the machine's state."""
-    _, method, operands, destination = row
-    slot = (json.loads(operands) or [None])[0]
+    letters: Column
+    nodes: Column | None
 
-    def run(s: Column) -> Column:
-        if method == "getNextLetter":
-            return _with(s, letter=F.get(m.letters, s["place"]), place=s["place"] + 1)
-        if method == "getLetterIndex":
-            return _with(s, letter=(F.ascii(s["letter"]) - 97).cast("string"))
-        if method == "getNextNodeId":
-            below = s["node"] + 1
-            child = below if creates else F.when(F.array_contains(m.depths, below), below)
-            return _with(s, node=child, height=F.when(child.isNotNull(), s["height"] + 1).otherwise(s["height"]))
-        if method == "getCheckFalse":
-            return _with(s, error=s["letter"].isNull() if slot == 1 else s["node"].isNull() if slot == 2 else ~F.coalesce(s["going"], F.lit(False)))
-        if method == "getNodeEndCheck":
-            return _with(s, error=~F.coalesce(F.array_contains(m.ends, s["node"]), F.lit(False)))
-        if method in ("getTrue", "getFalse") and destination in ("3", "4"):
-            return _with(s, **{"going" if destination == "3" else "result": F.lit(method == "getTrue")})
-        return s  # the exact tables pass every check; the loop and the end flag are the caller's
 
-    return run
+_STATE = "struct<place:int,letter:string,node:int,going:boolean,result:boolean,error:boolean,height:int>"
+_FIELDS = ("place", "letter", "node", "going", "result", "error", "height")
+_SLOTS = {"1": "letter", "2": "node", "3": "going", "4": "result"}
+_NAMES = {int(k): v for k, v in _SLOTS.items()}
 
 
-def _run(state: Column, program: str, m: Machine, creates: bool) -> Column:
-    """A program's rows one after another; an error leaves the rest without effect."""
-    for row in _steps(program):
-        state = _bind(state, _unless_error(_opcode(row, m, creates)))
-    return state
+def _run(state: Column, steps: Program, m: Machine) -> Column:
+    """The state after a program: one update, with a way out at each opcode that may report an error.
 
+    Opcodes that return nothing here (loops, end marks of insertion) are the
+    caller's part.
+    """
+    now = {k: state[k] for k in _FIELDS}
+    exits: list[tuple[Column, Column]] = []
 
-def _unless_error(effect):
-    return lambda s: F.when(s["error"], s).otherwise(effect(s))
+    def record(**changed: Column) -> Column:
+        return F.struct(*[{**now, **changed}[k].alias(k) for k in _FIELDS]).cast(_STATE)
 
+    def node(k: int) -> Column:
+        return F.element_at(m.nodes, now[_NAMES[k]])
 
-def _outer(program: str, m: Machine, creates: bool) -> Column:
+    for method, operands, destination in steps.steps:
+        out = None
+        if method == "getNextLetter":
+            out = F.get(m.letters, now["place"])
+            now["place"] = now["place"] + 1
+        elif method == "getLetterIndex":
+            out = (F.ascii(now[_NAMES[operands[0]]]) - 97).cast("string")
+        elif method == "getNextNodeId":
+            below = now["node"] + 1
+            out = below if m.nodes is None else F.when(F.element_at(m.nodes, below).isNotNull(), below)
+            now["height"] = F.when(out.isNotNull(), now["height"] + 1).otherwise(now["height"])
+        elif method in ("getTrue", "getFalse"):
+            out = F.lit(method == "getTrue")
+        elif method == "getCheckFalse":
+            value = now[_NAMES[operands[0]]]
+            out = value.isNull() if operands[0] in (1, 2) else ~F.coalesce(value, F.lit(False))
+        elif method == "getNodeEndCheck":
+            out = ~F.coalesce(node(operands[0])["is_end"], F.lit(False))
+        elif method == "getExchaustiveCheck":
+            out = ~node(operands[0])["letter"].cast("string").eqNullSafe(now[_NAMES[operands[1]]])
+        if out is None:
+            continue
+        if destination in _SLOTS:
+            now[_SLOTS[destination]] = out
+        elif destination == "resultError" and method.startswith("get") and method not in ("getTrue", "getFalse"):
+            exits.append((out, record(error=F.lit(True))))
+    after = record()
+    for reason, then in reversed(exits):
+        after = F.when(reason, then).otherwise(after)
+    return after
+
+
+def _outer(tables: dict[tuple[str, str], str], name: str, m: Machine) -> Column:
     """A whole program: the loop opcode repeats its body until that reports an error, which ends only the loop."""
     zero = F.lit(0)
     start = F.struct(zero.alias("place"), F.lit(None).alias("letter"), zero.alias("node"), F.lit(False).alias("going"), F.lit(False).alias("result"), F.lit(False).alias("error"), zero.alias("height")).cast(_STATE)
-    body = "InsertLoop" if creates else "SearchLoop"
-    looped = F.aggregate(F.sequence(zero, F.size(m.letters)), start, lambda s, _: F.when(s["error"], s).otherwise(_run(s, body, m, creates)).cast(_STATE))
-    return _run(_bind(looped, lambda s: _with(s, error=F.lit(False))), program, m, creates)
+    body = program(tables, f"{name}Loop")
+    looped = F.aggregate(F.sequence(zero, F.size(m.letters)), start, lambda s, _: F.when(s["error"], s).otherwise(_run(s, body, m)))
+    outer = program(tables, name)
+    fresh = lambda s: F.struct(*[(F.lit(False) if k == "error" else s[k]).alias(k) for k in _FIELDS]).cast(_STATE)
+    ended = F.transform(F.array(looped), lambda s: _run(fresh(s), outer, m))
+    return F.explode(ended)  # a row of its own, so that reading several of its fields runs the program once
+
 
+def search(queries: DataFrame, nodes: DataFrame, stop_at_space: bool = True, rules: DataFrame | None = None) -> DataFrame:
+    """found and height of each query by the Search program of ``rules`` (the built-in one if there are none).
 
-def search(queries: DataFrame, nodes: DataFrame, stop_at_space: bool = True) -> DataFrame:
-    """found and height of each query by the Search program."""
+    The letter that the exhaustive check compares is the node's ``letter_index``
+    as the relation has it; height counts the nodes that were entered.
+    """
     asked = queries.select("word").distinct()
     cutoff = asked.select(F.col("word").alias("whole_word"), (F.split_part("word", F.lit(" "), F.lit(1)) if stop_at_space else F.col("word")).alias("word"))
-    hits = spread(cutoff.select("word").distinct()).join(nodes.select("prefix", "is_end", "depth"), "prefix")
-    hits = hits.groupBy(F.col("word").alias("its")).agg(F.collect_set("depth").alias("depths"), F.collect_set(F.when(F.col("is_end"), F.col("depth"))).alias("ends"))
+    letter = F.col("letter_index") if "letter_index" in nodes.columns else F.ascii(F.substring(F.reverse("prefix"), 1, 1)) - 97
+    hits = spread(cutoff.select("word").distinct()).join(nodes.select("prefix", "is_end", "depth", letter.alias("letter")), "prefix")
+    entry = F.struct(F.col("depth").cast("int").alias("depth"), F.struct("is_end", "letter").alias("node"))
+    hits = hits.groupBy(F.col("word").alias("its")).agg(F.map_from_entries(F.collect_list(entry)).alias("nodes"))
     rows = cutoff.join(hits, F.col("word") == F.col("its"), "left")
-    none = F.array().cast("array<int>")
-    machine = Machine(letters(F.col("word")), F.coalesce("depths", none), F.coalesce("ends", none))
-    out = rows.select("whole_word", _outer("Search", machine, False).alias("m"))
+    machine = Machine(letters(F.col("word")), F.col("nodes"))
+    out = rows.select("whole_word", _outer(tables_of(rules), "Search", machine).alias("m"))
     return out.select(F.col("whole_word").alias("word"), F.col("m.result").alias("found"), F.col("m.height").alias("height"))
 
 
-def insert(words: DataFrame, stop_at_space: bool = True) -> DataFrame:
+def insert(words: DataFrame, stop_at_space: bool = True, rules: DataFrame | None = None) -> DataFrame:
     """Nodes (prefix, is_end) that the Insert program makes of the words; the empty word makes none."""
-    none = F.array().cast("array<int>")
     rows = words.select("word").distinct()
-    machine = Machine(letters(F.col("word"), stop_at_space), none, none)
-    run = rows.select(machine.letters.alias("letters"), _outer("Insert", machine, True).alias("m")).where("m.result")
+    machine = Machine(letters(F.col("word"), stop_at_space), None)
+    run = rows.select(machine.letters.alias("letters"), _outer(tables_of(rules), "Insert", machine).alias("m")).where("m.result")
     made = run.select(F.explode(F.sequence(F.lit(1), F.col("m.height"))).alias("depth"), "letters", "m.node")
     return made.groupBy(F.array_join(F.slice("letters", F.lit(1), F.col("depth")), "").alias("prefix")).agg(F.max(F.col("depth") == F.col("node")).alias("is_end"))

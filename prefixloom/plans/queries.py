@@ -8,6 +8,7 @@ queries named ``_all`` take every word of the texts instead.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -501,6 +502,140 @@ def model_confusion(spark, sf_dir, longest=INSERTED):
     return rows.groupBy("is_end", "end").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+_CHECKED = ", wrong AS (SELECT prefix FROM nodes WHERE depth = 3 AND letter_index = 4), cutoff AS (SELECT q.word, min(q.depth) AS w FROM qpre q JOIN wrong ON wrong.prefix = substr(q.word, 1, q.depth) GROUP BY q.word)"
+
+
+@query(f"{_CHECKED} SELECT word, found AND w IS NULL AS found, least(height, coalesce(w, height)) AS height FROM found LEFT JOIN cutoff USING (word)")
+def search_rules_checked(spark, sf_dir):
+    """The exhaustive check stops a walk at nodes whose checked letter is not the word's: here an e in third place is taken for an f."""
+    own = nodes(spark, sf_dir)
+    letter = F.when((F.col("depth") == 3) & (F.col("letter_index") == 4), 5).otherwise(F.col("letter_index"))
+    return rules.search(all_words(spark, sf_dir), own.withColumn("letter_index", letter))
+
+
+@query(" SELECT word, height = length(word) AS found, height FROM found")
+def search_rules_altered(spark, sf_dir):
+    """Rule tables without the end check: a prefix of a word is then found."""
+    tables = rules.builtin_rules(spark)
+    out = F.when((F.col("model") == "SearchMethod") & (F.col("key") == "4"), "getTrue").otherwise(F.col("out"))
+    return rules.search(all_words(spark, sf_dir), nodes(spark, sf_dir), rules=tables.withColumn("out", out))
+
+
+@query(""" SELECT * FROM (VALUES ('Search', 0, 'init'), ('Search', 1, 'getWordInit'), ('Search', 2, 'getSearchLoop'), ('Search', 3, 'getCheckFalse'), ('Search', 4, 'getNodeEndCheck'), ('Search', 5, 'getTrue'), ('Search', -1, 'end'),
+('SearchLoop', 0, 'init'), ('SearchLoop', 1, 'getNextLetter'), ('SearchLoop', 2, 'getCheckFalse'), ('SearchLoop', 3, 'getFalse'), ('SearchLoop', 4, 'getLetterIndex'), ('SearchLoop', 5, 'getNextNodeId'), ('SearchLoop', 6, 'getCheckFalse'), ('SearchLoop', 7, 'getExchaustiveCheck'), ('SearchLoop', 8, 'getTrue'), ('SearchLoop', -1, 'end')) t(program, state, method)""")
+def search_trace(spark, sf_dir):
+    """The states of the two search programs, against the values written out."""
+    return rules.trace(rules.builtin_rules(spark), ["Search", "SearchLoop"]).select("program", "state", "method")
+
+
+@query(""" SELECT * FROM (VALUES ('SearchArg', 7, 3), ('SearchLoopArg', 10, 8), ('InsertArg', 7, 3), ('InsertLoopArg', 8, 5)) t(model, n, slots)""")
+def rule_operands(spark, sf_dir):
+    """JSON operand texts as arrays: rows and slots named, by table."""
+    rows = rules.operands(rules.builtin_rules(spark)).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("slots")).alias("slots"))
+    return rows
+
+
+@query(" SELECT 'TrieEnd' AS model, CAST(k AS VARCHAR) AS key, upper(CAST(is_end AS VARCHAR)) AS out FROM (SELECT unnest(range((SELECT 2 * max(data_id) + 3 FROM ids))) AS k) LEFT JOIN ids ON 2 * data_id = k")
+def rule_lookup_missing(spark, sf_dir):
+    """Every number up to beyond the last id is asked for; odd ones, the root and the last have no rule."""
+    own = trie.build_with_ids(dictionary(spark, sf_dir))
+    table = own.select(F.lit("TrieEnd").alias("model"), F.col("node_id").cast("string").alias("key"), W.upper_flag(F.col("is_end")).alias("out"))
+    most = own.agg(F.max("node_id").alias("most"))
+    asked = most.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") + 2)).alias("k")).select(F.lit("TrieEnd").alias("model"), F.col("k").cast("string").alias("key"))
+    return rules.lookup(asked, table)
+
+
+@query(" SELECT 2 * data_id AS node_id, letter_index, data_id % 10 = 0 AS differs FROM ids")
+def previous_letter_altered(spark, sf_dir):
+    """Every tenth node's letter is altered in the previous-letter table; the check tells just these."""
+    own = trie.build_with_ids(dictionary(spark, sf_dir))
+    altered = own.withColumn("letter_index", F.when(F.col("data_id") % 10 == 0, (F.col("letter_index") + 1) % 26).otherwise(F.col("letter_index")))
+    table = models.previous_letter_table(altered).select(F.col("node_id").alias("its"), F.col("letter_index").alias("predicted"))
+    rows = own.join(table, F.col("node_id") == F.col("its"))
+    return rows.select("node_id", "letter_index", W.mismatch(F.col("predicted"), F.col("letter_index")).alias("differs"))
+
+
+@query(" SELECT CASE WHEN p.data_id IS NULL OR 2 * p.data_id < 614 THEN 0 WHEN 2 * p.data_id < 1191.5 THEN 1 ELSE 2 END AS switch_shard, count(*) AS nodes, min(2 * p.data_id) AS low, max(2 * p.data_id) AS high FROM ids n LEFT JOIN ids p ON n.parent = p.prefix GROUP BY 1")
+def model_switch(spark, sf_dir):
+    """Child rules by the shard of their parent, as the learned switch deals them; the root's children have no parent id here."""
+    edges = trie.edges(trie.build_with_ids(dictionary(spark, sf_dir))).where("node_id > 0")
+    parent = F.nullif(F.col("parent_node_id"), F.lit(0))
+    rows = edges.select(parent.alias("parent"), models.switch_shard(parent, models.MODEL_SWITCH_THRESHOLDS).alias("switch_shard"))
+    return rows.groupBy("switch_shard").agg(F.count(F.lit(1)).alias("nodes"), F.min("parent").alias("low"), F.max("parent").alias("high"))
+
+
+@query(" SELECT prefix, NOT is_end AS inner_node FROM nodes")
+def falsy_nodes(spark, sf_dir):
+    return nodes(spark, sf_dir).select("prefix", W.falsy(F.col("is_end")).alias("inner_node"))
+
+
+@query(f"{_ORDERED} SELECT ord, d.word, o.word AS other FROM dict d JOIN o ON o.place = d.ord")
+def zipped_words(spark, sf_dir):
+    """Words in order beside the same words in random order, by place."""
+    own = dictionary(spark, sf_dir)
+    other = sampling.shuffled(own.select("word")).select(F.col("place").alias("ord"), F.col("word").alias("other"))
+    return growth.zipped(own, other).select("ord", "word", "other")
+
+
+@query(" SELECT p_partkey, p_name AS cut, p_name AS trimmed, floor(p_retailprice / 0.125 + 0.5) * 0.125 AS quantised, coalesce(CAST(nullif(p_size % 3, 0) AS VARCHAR), 'null') AS size_text FROM part")
+def text_forms(spark, sf_dir):
+    """Text up to a NUL, without outer white space, numbers rounded to a step, missing values as null."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.col("p_name")
+    return part.select(
+        "p_partkey", W.cut_at_nul(F.encode(F.concat(name, F.lit("\0rest")), "UTF-8")).alias("cut"), W.trimmed(F.concat(F.lit(" \t"), name, F.lit(" \n"))).alias("trimmed"),
+        W.quantised(F.col("p_retailprice"), 0.125).alias("quantised"), W.null_text(F.nullif(F.col("p_size") % 3, F.lit(0))).alias("size_text"),
+    )
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the session's shared one; where it names none, in the warehouse."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/lexicon-{uuid.uuid4().hex}"
+
+
+@query(" SELECT word, CAST(length(word) AS VARCHAR) AS word_length, 'known' AS kind FROM dict UNION ALL SELECT word, CAST(length(word) AS VARCHAR), 'new' FROM lex WHERE word NOT IN (SELECT word FROM dict)")
+def csv_round_trip(spark, sf_dir):
+    """Rows written to CSV over what was there, then appended to, and read back by column."""
+    path = _scratch(spark)
+    known, every = dictionary_words(spark, sf_dir), all_words(spark, sf_dir)
+    rows = lambda df, kind: df.select("word", F.length("word").cast("string").alias("word_length"), F.lit(kind).alias("kind"))
+    sinks.overwrite_csv(rows(every, "old"), path)
+    sinks.truncate(rows(every, "old"), path)
+    sinks.overwrite_csv(rows(known, "known"), path)
+    sinks.append_csv(rows(sampling.difference(every, known), "new"), path)
+    return lexicons.read_columns(spark, path, ["word", "word_length", "kind"], skip_header=True)
+
+
+@query(" SELECT word FROM dict")
+def dictionary_scan(spark, sf_dir):
+    """A headerless dictionary file, written and read back."""
+    path = _scratch(spark)
+    dictionary_words(spark, sf_dir).select("word").write.csv(path, header=False)
+    return lexicons.read_words(spark, path).select("word")
+
+
+@query(f"{_VECTORS} SELECT word, CAST(length(word) AS VARCHAR) AS length, vector FROM v")
+def syllable_scan(spark, sf_dir):
+    """Presence columns of a dictionary file as vectors of 1 and -1."""
+    path = _scratch(spark)
+    pairs = _patterned(spark, sf_dir, LONGEST)
+    flags = pairs.groupBy("word").agg(*[F.max(F.when(F.col("pattern") == x, F.lit("1"))).alias(x) for x in LANGS])
+    flags.select("word", F.length("word").alias("length"), *LANGS).write.csv(path, header=False)
+    return lexicons.read_syllables(spark, path, len(LANGS))
+
+
+@query(_rule_values() + " SELECT model, key, out FROM rules WHERE model LIKE 'Search%'")
+def rule_files(spark, sf_dir):
+    """Rule tables written as files, found in their folder and read back."""
+    path, tables = _scratch(spark), rules.builtin_rules(spark)
+    for name in ("SearchMethod", "SearchArg", "SearchResult", "SearchLoopMethod", "SearchLoopArg", "SearchLoopResult"):
+        tables.where(F.col("model") == name).select(F.col("key").alias("currentStateIn"), F.col("out").alias("valueOut")).coalesce(1).write.csv(f"{path}/{name}.csv", header=True)
+    for name in ("SearchSequence", "SearchLoopSequence"):
+        keys = F.split("key", ",")
+        tables.where(F.col("model") == name).select(keys[0].alias("currentStateIn"), keys[1].alias("errorStateIn"), F.col("out").alias("nextStateOut")).coalesce(1).write.csv(f"{path}/{name}.csv", header=True)
+    return rules.read_rules(spark, path)
+
+
 def _whole(name: str) -> None:
     """Registers a query over all words, whatever their length, as ``name_all``; its SQL has no length limit either."""
     QUERIES[f"{name}_all"] = partial(QUERIES[name], longest=None)

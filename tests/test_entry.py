@@ -16,7 +16,10 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", ["trie_node_ids", "search_symbolic", "growth_bfs", "pattern_nodes", "shard_routing"])
+@pytest.mark.parametrize("name", [
+    "trie_node_ids", "search_symbolic", "growth_bfs", "pattern_nodes", "shard_routing", "search_rules", "search_rules_checked", "search_rules_altered", "search_trace", "rule_operands", "rule_lookup_missing",
+    "previous_letter_altered", "model_switch", "zipped_words", "text_forms", "csv_round_trip", "syllable_scan", "rule_files",
+])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
