@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefixloom.llm.common import shared_dir, table
+from prefixloom.llm.common import drop_dir, shared_dir, table
 from prefixloom.llm.decontamination import without_contaminated
 from prefixloom.llm.secrets import without_secrets
 from prefixloom.llm.sentencepiece_codec import encode
@@ -46,12 +46,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; what a stage returns is written to the shared folder and read again."""
+    """All stages in turn; what a stage returns is written to the shared folder and read again, and deleted once the next has been written.
+
+    The folder of the last but one stage stays, as the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{where}/{k}-{name}")
-            docs = spark.read.parquet(f"{where}/{k}-{name}")
+            path = f"{where}/{k}-{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                drop_dir(spark, before)
+            before = path
     return docs
