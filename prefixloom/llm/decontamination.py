@@ -11,7 +11,8 @@ found where a passage has OVERLAP of its shingles, or OVERLAP of its question's
 and OVERLAP of its answer's, which may stand apart.
 
 A document's words as a whole bound the scores of all its passages; a document
-that no item can reach in this way is not cut into passages at all.
+that no item can reach in this way is not cut into passages at all, and a
+passage that none can reach does not run WAND.
 """
 
 from __future__ import annotations
@@ -181,21 +182,28 @@ class Index:
         """Word ranges; each stretch of twice the longest item lies in one of them."""
         return [(a, a + 3 * self.longest) for a in range(0, max(1, count - 2 * self.longest), self.longest)]
 
+    def reached(self, terms: list[int]) -> bool:
+        return bool(len(self.whole(np.array(terms, np.int64))))
+
     def terms_of(self, words: list[str]) -> list[int]:
         return sorted({k for w in set(words) if (k := self.term.get(w)) is not None})
 
     def hits(self, text: str | None, skip: bool = True) -> list[tuple[int, float, float, float, float, int]]:
         """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals.
 
-        With ``skip``, a text whose words reach no item as a whole ends early.
+        With ``skip``, a text whose words reach no item as a whole ends early,
+        and so does a passage.
         """
         words = words_of(text)
-        if skip and not len(self.whole(np.array(self.terms_of(words), np.int64))):
+        if skip and not self.reached(self.terms_of(words)):
             return []
         best: dict[int, tuple] = {}
         for a, b in self.passages(len(words)):
             own = words[a:b]
-            got = self.wand(self.terms_of(own))
+            terms = self.terms_of(own)
+            if skip and not self.reached(terms):
+                continue
+            got = self.wand(terms)
             if not got:
                 continue
             sizes = {len(part[0]) for n, _ in got for part in self.items[n].parts if part}
