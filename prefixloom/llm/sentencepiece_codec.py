@@ -69,15 +69,27 @@ class Vocabulary:
     unknown: int
     longest: int
     pattern: re.Pattern
+    edges: tuple[np.ndarray, ...]
+    in_turn: bool = False
     known: dict[tuple[str, str], bool] = field(default_factory=dict)
-    room: int = 2_000_000
+    lives: dict[str, tuple[list, list, bool]] = field(default_factory=dict)
+    room: int = 1_000_000
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": {}, "lives": {}}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of characters: always the pair of the best score, the first of equals."""
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], list, list, bool]:
+        """``merged``, the symbols that stood at the first and at the last place with their times (of birth and end), and whether times only rose.
+
+        A merge's time is its score's rank: the lower the score, the later.
+        """
         parts, get = list(text), self.weights.get
+        born = [NEVER] * len(parts)
+        first, last, now, rising = [], [], NEVER, True
         while True:
             best = at = None
             for k in range(len(parts) - 1):
@@ -85,21 +97,58 @@ class Vocabulary:
                 if w is not None and (best is None or w > best):
                     best, at = w, k
             if at is None:
-                return parts
+                first.append((parts[0], born[0], -NEVER))
+                last.append((parts[-1], born[-1], -NEVER))
+                return parts, first, last, rising
+            rising, now = rising and -best >= now, -best
+            if at == 0:
+                first.append((parts[0], born[0], now))
+            if at == len(parts) - 2:
+                last.append((parts[-1], born[-1], now))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            born[at : at + 2] = [now]
+
+    def life(self, piece: str) -> tuple[list, list, bool]:
+        """Symbols at a piece's first and last place with their times, and whether merging its characters gives the piece, in rising times."""
+        found = self.lives.get(piece)
+        if found is None:
+            parts, first, last, rising = self._merge(piece)
+            found = self.lives[piece] = first, last, rising and len(parts) == 1
+        return found
 
     def follows(self, before: str, piece: str) -> bool:
         """Whether a path may go from a piece (nothing: from a segment's start) to another."""
         if not self.merging:
             return True
+        if not before and self.in_turn:
+            return True
         key = before, piece
         found = self.known.get(key)
         if found is None:
             if len(self.known) >= self.room:
                 self.known.clear()
-            found = self.known[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            if self.in_turn:
+                found = self._apart(before, piece)
+            else:
+                found = self.merged(before + piece) == ([before, piece] if before else [piece])
+            self.known[key] = found
         return found
 
+    def _apart(self, before: str, piece: str) -> bool:
+        """Whether no merge crosses the border of two pieces, for models whose pieces all come about in rising times.
+
+        Two symbols at the border merge as soon as both stand there and their
+        time has come, if neither has been merged with its other neighbour by
+        then; of equal times the one to the left goes first.
+        """
+        get = self.weights.get
+        for x, x_born, x_ends in self.life(before)[1]:
+            for y, y_born, y_ends in self.life(piece)[0]:
+                w = get(x + y)
+                if w is not None and (when := max(-w, x_born, y_born)) < x_ends and when <= y_ends:
+                    return False
+        return True
+
     def segments(self, marked: str) -> list[str]:
         """The parts of a marked text that no piece joins: runs of letters, and of other characters, with the space marks before them."""
         return self.pattern.findall(marked)
@@ -140,8 +189,11 @@ class Vocabulary:
             merging = all(w % SCALE == 0 for w in weights.values())
         if merging and any(c not in ids for c in set().union(*ids)):
             raise ValueError("a letter of a piece is no piece")
+        edges = _edges_of(tree, ids)
         pattern = f"{SPACE}*[{LATIN}]+|{SPACE}*[^{SPACE}{LATIN}]+|{SPACE}+" if apart else f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        return cls(ids, weights, merging, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)), re.compile(pattern))
+        own = cls(ids, weights, merging, tree, out, first, min(weights.values()) - 10 * SCALE, max(map(len, ids)), re.compile(pattern), edges)
+        own.in_turn = merging and all(own.life(p)[2] for p in ids)
+        return own
 
     def of(self, piece: str) -> list[int]:
         """A piece's id, or the ids of its bytes."""
@@ -155,6 +207,23 @@ class Vocabulary:
         return b"".join([self.texts[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
+def _edges_of(tree: dict, ids: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """The letter tree as arrays: (node and letter, node below) of each edge; (id or -1, weight) of each node."""
+    piece, keys, child, nodes, score = [-1], [], [], [("", tree)], [0]
+    number = 0
+    while number < len(nodes):
+        prefix, node = nodes[number]
+        for c, below in node.items():
+            if c:
+                keys.append(number << 21 | ord(c))
+                child.append(len(nodes))
+                nodes.append((prefix + c, below))
+                piece.append(ids.get(prefix + c, -1))
+                score.append(below.get(0, 0))
+        number += 1
+    return np.array(keys, np.uint64), np.array(child, np.int32), np.array(piece, np.int32), np.array(score, np.int64)
+
+
 def solve(v: Vocabulary, word: str, start: int = 0, before: str = "", stop: int | None = None) -> tuple[list[int], list[int]]:
     """Best weight from ``start`` to each position of a word, and the start of the last piece of that way.
 
@@ -255,21 +324,9 @@ class Lookup:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        piece, keys, child, nodes = [-1], [], [], [("", v.tree)]
-        score = [0]
-        number = 0
-        while number < len(nodes):
-            prefix, node = nodes[number]
-            for c, below in node.items():
-                if c:
-                    keys.append(number << 21 | ord(c))
-                    child.append(len(nodes))
-                    nodes.append((prefix + c, below))
-                    piece.append(v.ids.get(prefix + c, -1))
-                    score.append(below.get(0, 0))
-            number += 1
-        self.piece, self.score = np.array(piece), np.array(score, np.int64)
-        keys, child = np.array(keys, np.uint64) + np.uint64(1), np.array(child)
+        keys, child, piece, self.score = v.edges
+        self.piece = piece.astype(np.int64)
+        keys, child = keys + np.uint64(1), child.astype(np.int64)
         self.tables = []
         while len(keys):  # an edge whose slot is taken goes to the next table
             multiplier = np.uint64(self.MULTIPLIER * (2 * len(self.tables) + 1) & 0xFFFFFFFFFFFFFFFF)

@@ -422,6 +422,17 @@ def test_chunks_give_what_whole_texts_give():
                 assert got == whole if merging else v.decode(got) == text and score(got) == score(whole)
 
 
+@tokens
+def test_steps_are_those_of_merging_the_two_pieces():
+    v, rng = codec.Vocabulary.load(), random.Random(12)
+    pieces = sorted(v.ids)
+    assert v.in_turn
+    ends = [p for p in pieces if len(p) < 4]
+    for _ in range(20_000):
+        a, b = (rng.choice(pieces if rng.random() < 0.5 else ends) for _ in range(2))
+        assert v.follows(a, b) == (v.merged(a + b) == [a, b])
+
+
 @tokens
 def test_products_in_groups_give_the_same_states():
     v, rng = codec.Vocabulary.load(), random.Random(11)
