@@ -271,10 +271,9 @@ def marked_text(text: str) -> str:
 class Encoder:
     """Encodes whole texts word by word, remembering at most ``room`` words; new words are solved many at a time."""
 
-    def __init__(self, v: Vocabulary, room: int = 500_000, totals: bool = True):
-        self.v, self.room, self.totals = v, room, totals
+    def __init__(self, v: Vocabulary, room: int = 500_000):
+        self.v, self.room = v, room
         self.known: dict[str, bytes] = {}
-        self.total: dict[str, int] = {}
         self.lookup = Lookup(v)
 
     def learn(self, words: set[str]) -> None:
@@ -282,7 +281,6 @@ class Encoder:
         new = words.difference(self.known)
         if len(self.known) + len(new) > self.room:
             self.known.clear()
-            self.total.clear()
             new = words
         by_length: dict[int, list[str]] = {}
         for w in new:
@@ -291,11 +289,8 @@ class Encoder:
             done = self.lookup.solve(group, n) if n <= Lookup.LONGEST else [None] * len(group)
             for w, found in zip(group, done, strict=True):
                 if found is None:
-                    best, back = solve(self.v, w)
-                    found = np.array(walk(self.v, w, back, 0, n), "<i4").tobytes(), best[n]
-                self.known[w] = found[0]
-                if self.totals:
-                    self.total[w] = found[1]
+                    found = np.array(walk(self.v, w, solve(self.v, w)[1], 0, n), "<i4").tobytes()
+                self.known[w] = found
 
     def packed(self, bodies: list[str]) -> list[bytes]:
         """The ids of each text as 32-bit numbers."""
@@ -377,8 +372,8 @@ class Lookup:
             keys = keys[go]
         return out
 
-    def solve(self, words: list[str], n: int) -> list[tuple[bytes, int] | None]:
-        """(ids, weight) of each word; None where a character needs several bytes."""
+    def solve(self, words: list[str], n: int) -> list[bytes | None]:
+        """The ids of each word; None where a character needs several bytes."""
         m = len(words)
         codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T).astype(np.uint64)
         best = np.full((n + 1, m), NEVER, np.int64)
@@ -422,8 +417,8 @@ class Lookup:
             open_ = open_[at[open_] > 0]
         packed = pieces.astype("<i4")
         good = ((pieces >= 0) | (np.arange(n)[None, :] < (n - count)[:, None])).all(axis=1).tolist()
-        score, count = best[n].tolist(), count.tolist()
-        return [(packed[k, n - count[k] :].tobytes(), score[k]) if good[k] else None for k in range(m)]
+        count = count.tolist()
+        return [packed[k, n - count[k] :].tobytes() if good[k] else None for k in range(m)]
 
 
 def _cuts(v: Vocabulary, own: str, halo: str, place: int) -> list[int]:
@@ -449,13 +444,14 @@ def _entering(v: Vocabulary, chunk: Chunk, limit: int) -> dict[State, str]:
     return {state: piece for state, piece in out.items() if v.follows("", piece)}
 
 
-def transfer(e: Encoder, chunk: Chunk) -> Matrix:
+def transfer(v: Vocabulary, chunk: Chunk) -> Matrix:
     """A chunk's matrix: the best weight from each state before to each state after it; a piece counts where it starts.
 
-    From the first segment's start on all ways are one, so only what stands
-    before it is solved once for each state.
+    All ways go through the start of the chunk's first segment and through that
+    of its last, so what stands between adds the same to every entry and is left
+    out; what stands before the first is solved once for each state.
     """
-    v, (_, own, halo, place) = e.v, chunk
+    _, own, halo, place = chunk
     n = len(own)
     cuts = _cuts(v, own, halo, place)
     inside = [k for k in cuts if k < n]
@@ -478,12 +474,9 @@ def transfer(e: Encoder, chunk: Chunk) -> Matrix:
         best, _ = solve(v, own[:first], state[1], piece)
         if best[first] != NEVER:
             heads[state] = best[first]
-    words = [own[a:b] for a, b in itertools.pairwise(inside)]
-    e.learn(set(words))
-    middle = sum(map(e.total.__getitem__, words))
     best, back = solve(v, (own + halo)[last:until], 0, "", n - last)
     tails = {leaves(last + back[c], last + c): best[c] for c in range(n - last, until - last + 1) if best[c] != NEVER}
-    return {(r, c): a + middle + b for r, a in heads.items() for c, b in tails.items()}
+    return {(r, c): a + b for r, a in heads.items() for c, b in tails.items()}
 
 
 def inner_words(v: Vocabulary, chunks: list[Chunk]) -> set[str]:
@@ -583,7 +576,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
 
 def _encoder(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v, totals=False)
+        encoder = Encoder(v)
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 small = batch.slice(at, 1024)
@@ -617,13 +610,10 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
                     yield _rows([(uid, i, n, _pack(chunk))], [pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["uid", "doc_id", "no", "chunk"])
 
     def measure(batches):
-        encoder = Encoder(v)
         for batch in batches:
             for at in range(0, len(batch), 128):
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]
-                loaded = [_unpack(c) for c in columns[2]]
-                encoder.learn(inner_words(v, loaded))
-                yield _rows([(u, n, pickle.dumps(transfer(encoder, c))) for u, n, c in zip(*columns[:2], loaded, strict=True)], [pa.int64(), pa.int32(), pa.binary()], ["uid", "no", "matrix"])
+                yield _rows([(u, n, pickle.dumps(transfer(v, _unpack(c)))) for u, n, c in zip(*columns, strict=True)], [pa.int64(), pa.int32(), pa.binary()], ["uid", "no", "matrix"])
 
     def ordered(group: pa.Table, number: str) -> tuple[list[int], list[Matrix]]:
         order = np.argsort(group.column(number).to_numpy())
@@ -647,7 +637,7 @@ def _giants(rows: DataFrame, v: Vocabulary, size: int) -> DataFrame:
         return pa.Table.from_batches([_rows([(uid, n, *x, *y) for n, (x, y) in zip(numbers, states, strict=True)], [pa.int64(), pa.int32(), *state_types], ["its", "at", *state_names])])
 
     def trace(batches):
-        encoder = Encoder(v, totals=False)
+        encoder = Encoder(v)
         for batch in batches:
             for at in range(0, len(batch), 128):
                 columns = [c.to_pylist() for c in batch.slice(at, 128).columns]

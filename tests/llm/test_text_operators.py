@@ -417,7 +417,7 @@ def test_chunks_give_what_whole_texts_give():
             assert v.decode(whole) == text
             for size in (1, 3, 7, 20):
                 chunks = codec.split(v, codec.marked_text(text), size)
-                states = codec.boundaries([codec.transfer(e, c) for c in chunks])
+                states = codec.boundaries([codec.transfer(v, c) for c in chunks])
                 got = [i for c, a, b in zip(chunks, states, states[1:]) for i in codec.chunk_ids(e, c, a, b)]
                 assert got == whole if merging else v.decode(got) == text and score(got) == score(whole)
 
@@ -436,9 +436,8 @@ def test_steps_are_those_of_merging_the_two_pieces():
 @tokens
 def test_products_in_groups_give_the_same_states():
     v, rng = codec.Vocabulary.load(), random.Random(11)
-    e = codec.Encoder(v)
     for _ in range(40):
-        matrices = [codec.transfer(e, c) for c in codec.split(v, codec.marked_text("".join(rng.choice(BITS) for _ in range(60))), 5)]
+        matrices = [codec.transfer(v, c) for c in codec.split(v, codec.marked_text("".join(rng.choice(BITS) for _ in range(60))), 5)]
         parts = [matrices[k : k + 4] for k in range(0, len(matrices), 4)]
         outer = codec.boundaries([codec.reduce(codec.product, p) for p in parts])
         inner = [codec.boundaries(p, a, b) for p, a, b in zip(parts, outer, outer[1:])]
