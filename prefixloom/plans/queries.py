@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prefixloom.functions import words as W
 from prefixloom.functions.ranks import by_word
-from prefixloom.operators import growth, levels, models, patterns, rules, sampling, trie
+from prefixloom.operators import growth, learned, levels, models, patterns, rules, sampling, trie
 from prefixloom.plans import experiments
 from prefixloom.sources import lexicons, sinks
 
@@ -636,6 +636,36 @@ def rule_files(spark, sf_dir):
     return rules.read_rules(spark, path)
 
 
+@query(_rule_values() + " SELECT model, key, out FROM rules")
+def learned_rules(spark, sf_dir):
+    """Every rule as the decision tree of its table predicts it; the trees are deep enough to say what the tables say."""
+    tables = rules.builtin_rules(spark)
+    return learned.learned_rules(tables, learned.fit_rule_models(tables))
+
+
+@query(" SELECT word, found, height FROM found")
+def search_learned_rules(spark, sf_dir):
+    """The search program run by rule tables that models predict."""
+    tables = rules.builtin_rules(spark)
+    search = tables.where(F.col("model").startswith("Search"))
+    return rules.search(all_words(spark, sf_dir), nodes(spark, sf_dir), rules=learned.learned_rules(search, learned.fit_rule_models(search)))
+
+
+@query()
+def shard_end_confusion(spark, sf_dir):
+    """End flags by the models of the shards, each with its threshold; no SQL, as the models are fitted here."""
+    own = trie.build_with_ids(dictionary(spark, sf_dir))
+    said = learned.shard_ends(own, learned.fit_shard_end_models(own))
+    return own.select("prefix", "is_end").join(said, "prefix").groupBy("name", "is_end", "end").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query()
+def search_predicted(spark, sf_dir):
+    """Child, check and end of every step are predicted; no SQL, as the models are fitted here."""
+    own = nodes(spark, sf_dir)
+    return learned.search(all_words(spark, sf_dir), own, learned.fit_child_model(own), models.fit_end_model(own), learned.fit_boosted_letter_model(own))
+
+
 def _whole(name: str) -> None:
     """Registers a query over all words, whatever their length, as ``name_all``; its SQL has no length limit either."""
     QUERIES[f"{name}_all"] = partial(QUERIES[name], longest=None)
