@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefixloom.functions.ranks import by_word, numbered
@@ -32,8 +32,7 @@ def in_word_order(words: DataFrame, by: list[str]) -> DataFrame:
 
 def in_level_order(words: DataFrame, by: list[str]) -> DataFrame:
     """Facts in the order of levels: by length, then word; one-letter words are complete before the first level."""
-    bucket: Column = F.concat(F.lpad(F.length("word").cast("string"), 4, "0"), F.substring("word", 1, 2))
-    return facts(numbered(words.where(F.length("word") >= 2), bucket, [F.length("word"), F.col("word")], "num_words", by), by)
+    return facts(numbered(words.where(F.length("word") >= 2), [F.length("word"), "word"], "num_words", by), by)
 
 
 def of_list(words: DataFrame, by: list[str], order: str = "num_words") -> DataFrame:

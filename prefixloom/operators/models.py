@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefixloom.functions.ranks import numbered
+
 # The id ranges of the three shards, and the thresholds that the learned switch uses instead.
 SHARD_ENDS = (994, 1994)
 SWITCH_THRESHOLDS = (996.5, 1995.5)
@@ -22,6 +24,33 @@ def switch_shard(node_id: Column, thresholds: tuple[float, float] = SWITCH_THRES
     return F.when(node_id.isNull() | (node_id < thresholds[0]), 0).when(node_id < thresholds[1], 1).otherwise(2)
 
 
+def shard_ranges(nodes: DataFrame, most: int) -> DataFrame:
+    """(shard, low, high): ranges of node ids so that no shard has more than ``most`` nodes, from the ids' own quantiles; high is the next shard's low, null for the last."""
+    placed = numbered(nodes.select("node_id"), ["node_id"], "place").withColumn("shard", F.floor(F.col("place") / most))
+    lows = placed.groupBy("shard").agg(F.min("node_id").alias("low"))
+    after = lows.select((F.col("shard") - 1).alias("its"), F.col("low").alias("high"))
+    return lows.join(after, F.col("shard") == F.col("its"), "left").select("shard", "low", "high")
+
+
+def routed(rows: DataFrame, ranges: DataFrame, node_id: str) -> DataFrame:
+    """The rows with the shard of their id; ids below all ranges and missing ones go to the first shard, those above to the last.
+
+    A range join by buckets: ids are cut in buckets of the ranges' mean width,
+    a range is listed in each bucket that it touches, and an id meets the few
+    ranges of its own bucket, for any number of shards.
+    """
+    ends = ranges.agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return rows.withColumn("shard", F.lit(None).cast("long"))
+    width = max(1, (ends["most"] - ends["least"]) // ends["n"])
+    bucket = lambda c: F.floor((c - ends["least"]) / width)
+    last = F.coalesce(F.col("high") - 1, F.col("low"))
+    listed = ranges.select("shard", "low", "high", F.explode(F.sequence(bucket(F.col("low")), bucket(last))).alias("bucket"))
+    own = F.least(F.greatest(F.coalesce(F.col(node_id), F.lit(ends["least"])), F.lit(ends["least"])), F.lit(ends["most"]))
+    met = rows.withColumn("__id", own).join(listed, bucket(F.col("__id")) == F.col("bucket"))
+    return met.where((F.col("__id") >= F.col("low")) & (F.col("high").isNull() | (F.col("__id") < F.col("high")))).select(*rows.columns, "shard")
+
+
 def priors(rows: DataFrame, label: str) -> DataFrame:
     """Each label's count and share."""
     counts = rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))

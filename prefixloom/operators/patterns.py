@@ -42,7 +42,7 @@ def search(queries: DataFrame, pairs: DataFrame) -> DataFrame:
 def dense_ids(words: DataFrame, vector: str = "vector") -> DataFrame:
     """(vector, pattern_id): ids from 0 in the order in which vectors are first seen; ``words`` has ``ord``."""
     first = words.groupBy(vector).agg(F.min("ord").alias("first_ord"))
-    return numbered(first, F.floor(F.col("first_ord") / 4096), [F.col("first_ord")], "pattern_id").select(vector, "pattern_id")
+    return numbered(first, ["first_ord"], "pattern_id").select(vector, "pattern_id")
 
 
 def with_ids(words: DataFrame, vector: str = "vector") -> DataFrame:

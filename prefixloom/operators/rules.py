@@ -138,19 +138,20 @@ MOST_RULES = 10_000
 
 @dataclass(frozen=True)
 class Program:
-    """The rows of one program's tables that a run without errors goes through, in order: (method, operands, destination)."""
+    """The rows of one program's tables that a run without errors goes through, in order: (method, operands, destination); and whether it then starts over."""
 
     steps: list[tuple[str, list[int], str]] = field(default_factory=list)
+    again: bool = False
 
 
 def program(tables: dict[tuple[str, str], str], name: str) -> Program:
-    """Follows the sequence table from state 0 to the end; a state that comes again ends the list, as the loop around it goes on."""
+    """Follows the sequence table from state 0 to the end; a state that comes again ends the list."""
     steps, seen, state = [], set(), 0
     while True:
         try:
             state = int(tables[f"{name}Sequence", f"{state},FALSE"])
             if state == -1 or state in seen:
-                return Program(steps)
+                return Program(steps, state != -1)
             method = tables[f"{name}Method", str(state)]
         except KeyError as e:
             raise ValueError(f"no rule {e} of program {name}") from None
@@ -230,11 +231,26 @@ def _run(state: Column, steps: Program, m: Machine) -> Column:
 
 
 def _outer(tables: dict[tuple[str, str], str], name: str, m: Machine) -> Column:
-    """A whole program: the loop opcode repeats its body until that reports an error, which ends only the loop."""
+    """A whole program: the loop opcode runs the program Loop, whose callback is the body, until an error ends it, which ends only the loop.
+
+    A Loop program that comes to its end instead of starting over runs its body once; one without a callback never does.
+    Tables without that program loop as the built-in one says.
+    """
     zero = F.lit(0)
     start = F.struct(zero.alias("place"), F.lit(None).alias("letter"), zero.alias("node"), F.lit(False).alias("going"), F.lit(False).alias("result"), F.lit(False).alias("error"), zero.alias("height")).cast(_STATE)
     body = program(tables, f"{name}Loop")
-    looped = F.aggregate(F.sequence(zero, F.size(m.letters)), start, lambda s, _: F.when(s["error"], s).otherwise(_run(s, body, m)))
+    loop = program(tables if ("LoopSequence", "0,FALSE") in tables else tables_of(None), "Loop")
+    called = [k for k, (method, _, _) in enumerate(loop.steps) if method == "getCallbackResult"]
+
+    def once(s: Column) -> Column:
+        done = 0
+        for k in called:
+            s = _run(_run(s, Program(loop.steps[done:k]), m), body, m) if k > done else _run(s, body, m)
+            done = k + 1
+        return _run(s, Program(loop.steps[done:]), m) if done < len(loop.steps) else s
+
+    times = F.sequence(zero, F.size(m.letters)) if loop.again and called else F.array(zero)  # each round takes a letter, or finds that there is none
+    looped = F.aggregate(times, start, lambda s, _: F.when(s["error"], s).otherwise(once(s)))
     outer = program(tables, name)
     fresh = lambda s: F.struct(*[(F.lit(False) if k == "error" else s[k]).alias(k) for k in _FIELDS]).cast(_STATE)
     ended = F.transform(F.array(looped), lambda s: _run(fresh(s), outer, m))

@@ -25,10 +25,10 @@ def build_with_ids(words: DataFrame) -> DataFrame:
     """Nodes with ``first_ord`` and both id schemes, in the order of first creation; the root (id 0) is left out.
 
     ``words`` has ``ord``.  Creation order is (least ordinal of a word with the
-    prefix, depth); ordinals are bucketed by quotient, so no task ranks all.
+    no task ranks all.
     """
     nodes = spread(words, "ord").groupBy("prefix").agg(F.max("whole").alias("is_end"), F.min("ord").alias("first_ord"))
-    ranked = numbered(nodes, F.floor(F.col("first_ord") / 4096), [F.col("first_ord"), F.length("prefix")], "rank")
+    ranked = numbered(nodes, ["first_ord", F.length("prefix")], "rank")
     ids = ranked.select("prefix", parent(F.col("prefix")).alias("parent"), letter_index(last_letter(F.col("prefix"))).alias("letter_index"), F.length("prefix").alias("depth"), "is_end", "first_ord", (F.col("rank") + 1).alias("data_id"))
     return ids.withColumn("node_id", F.col("data_id") * 2)
 
@@ -91,7 +91,7 @@ def get_or_create(nodes: DataFrame, words: DataFrame) -> DataFrame:
     fresh = spread(words, "ord").groupBy("prefix").agg(F.max("whole").alias("is_end"), F.min("ord").alias("first_ord"))
     fresh = fresh.join(nodes.select("prefix"), "prefix", "left_anti")
     top = nodes.agg(F.coalesce(F.max("data_id"), F.lit(0)).alias("top"))
-    ranked = numbered(fresh, F.floor(F.col("first_ord") / 4096), [F.col("first_ord"), F.length("prefix")], "rank").join(F.broadcast(top))
+    ranked = numbered(fresh, ["first_ord", F.length("prefix")], "rank").join(F.broadcast(top))
     return ranked.select("prefix", F.length("prefix").alias("depth"), "is_end", (F.col("top") + F.col("rank") + 1).alias("data_id"))
 
 

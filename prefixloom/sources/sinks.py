@@ -17,6 +17,11 @@ def overwrite_csv(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     df.write.mode("overwrite").partitionBy(*partition_by).csv(path, header=True)
 
 
+def overwrite_batches(df: DataFrame, path: str, by: tuple[str, ...] = ("letters", "batch")) -> None:
+    """Writes rows so that each combination of ``by`` in them replaces what was there of it, and others stay: a batch that is run again counts once."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def truncate(df: DataFrame, path: str) -> None:
     """Leaves only the header of the frame's columns."""
     overwrite_csv(df.limit(0), path)

@@ -17,8 +17,9 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", [
-    "trie_node_ids", "search_symbolic", "growth_bfs", "pattern_nodes", "shard_routing", "search_rules", "search_rules_checked", "search_rules_altered", "search_trace", "rule_operands", "rule_lookup_missing",
-    "previous_letter_altered", "model_switch", "zipped_words", "text_forms", "csv_round_trip", "syllable_scan", "rule_files",
+    "trie_node_ids", "search_symbolic", "growth_bfs", "pattern_nodes", "shard_routing", "search_rules", "search_rules_checked", "search_rules_altered", "search_rules_once", "search_relations",
+    "search_relations_edited", "search_neighbours", "search_stored", "search_function", "words_of_edges", "shard_sizes", "shard_of_parents", "json_operands", "rule_lookup", "previous_letter_check", "model_switch",
+    "zipped_words", "text_forms", "csv_round_trip", "csv_truncate", "batches_once", "quarantine", "dictionary_lines", "stream_node_ids", "syllable_scan", "rule_files",
 ])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
@@ -36,5 +37,5 @@ def test_query_equals_sql(spark, name):
 def test_plans_push_columns_down(spark):
     if not os.path.isdir(FOLDER):
         pytest.skip("no test tables")
-    plan = queries.lexicon_words(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = queries.trie_nodes(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in plan
