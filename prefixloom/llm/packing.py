@@ -21,11 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefixloom.llm.common import table, texts
+from prefixloom.llm.common import cut, table, texts
 
 WIDTH = 2048
 #: Characters that one shard should hold; the number of shards grows with the input, a shard does not.
 SHARD_CHARS = 4_000_000
+#: Copies of one row that are dealt out together.
+COPIES = 256
+#: Repeated rows up to which their keys are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+#: Bytes of ids in one batch that leaves a task.
+BATCH_BYTES = 8_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's tokenizer cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -133,31 +139,63 @@ def best_fit_decreasing(lengths: np.ndarray, width: int) -> list[list[int]]:
     return rows
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, text, first, until): the documents, a repeated row standing for its copies number ``first`` to below ``until``.
+
+    Rows of an id and a text that occur once pass as they are.  Of the others
+    only counts and one text meet, combined before the shuffle; their copies
+    are dealt out again COPIES at a time, so that no task has all copies of a
+    row.
+    """
+    rows = texts(docs).withColumn("hash", F.xxhash64("text"))
+    many = cut(rows.groupBy(F.col("doc_id").alias("its"), F.col("hash").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    digest = F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest")
+    once = [F.lit(0).cast("long").alias("first"), F.lit(1).cast("long").alias("until")]
+    count = many.count()
+    if not count:
+        return rows.select("doc_id", digest, "text", *once)
+    keys = F.broadcast(many) if count <= BROADCAST_ROWS else many
+    same = F.col("doc_id").eqNullSafe(F.col("its")) & (F.col("hash") == F.col("key"))
+    single = rows.join(keys, same, "left_anti").select("doc_id", digest, "text", *once)
+    repeated = rows.join(keys, same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    parts = repeated.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("doc_id", "text", "first")
+    return single.unionByName(parts.select("doc_id", digest, "text", "first", F.least(F.col("first") + COPIES, "n").alias("until")))
+
+
 def pieces(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, digest, piece, ids): the ids of every document and an end mark, cut in pieces of at most ``width``.
+    """(doc_id, digest, piece, copy, ids): the ids of every document and an end mark, cut in pieces of at most ``width``.
 
-    A null or empty text is the end mark alone, so no document is lost.
+    A null or empty text is the end mark alone, so no document is lost; copies
+    of a row are told apart by their number.
     """
-    rows = texts(docs).select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), "text")
     ranks = load(vocabulary)
+    names = ["doc_id", "digest", "piece", "copy", "ids"]
+    types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks)
         mark = np.array([END], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                small = batch.slice(at, 256)
-                ids, keys, numbers, data = [], [], [], []
-                for i, k, x in zip(*[c.to_pylist() for c in small.columns], strict=True):
-                    whole = encoder.ids(x) + mark
-                    for n, start in enumerate(range(0, len(whole), 2 * width)):
-                        ids.append(i)
-                        keys.append(k)
-                        numbers.append(n)
-                        data.append(whole[start : start + 2 * width])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "digest", "piece", "ids"])
+            out, size = [], 0
+            for i, k, x, first, until in zip(*batch.columns, strict=True):
+                i, k, first, until = i.as_py(), k.as_py(), first.as_py(), until.as_py()
+                whole = encoder.ids(x.as_py()) + mark
+                for n, start in enumerate(range(0, len(whole), 2 * width)):
+                    part = whole[start : start + 2 * width]
+                    for copy in range(first, until):
+                        out.append((i, k, n, copy, part))
+                        size += len(part)
+                        if size >= BATCH_BYTES:
+                            yield _rows(out, types, names)
+                            out, size = [], 0
+            if out:
+                yield _rows(out, types, names)
+
+    return counted(docs).mapInArrow(encoded, "doc_id long, digest binary, piece int, copy long, ids binary")
+
 
-    return rows.mapInArrow(cut, "doc_id long, digest binary, piece int, ids binary")
+def _rows(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
 
 def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -172,7 +210,7 @@ def pack(docs: DataFrame, width: int = WIDTH, vocabulary: str = VOCABULARY, shar
     """
     total = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     shards = max(1, -(-total // shard_chars))
-    dealt = pieces(docs, width, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "piece"), F.lit(shards)).cast("long"))
+    dealt = pieces(docs, width, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "digest", "piece", "copy"), F.lit(shards)).cast("long"))
     return _packed(dealt, width)
 
 
