@@ -5,12 +5,13 @@ removed.  Python cannot sort all the text's bytes, so the text is made short
 without loss first: each window owns the least hash among its k-grams (its
 anchor), equal windows own equal anchors at equal places, and runs of windows
 that own one anchor form a segment.  An anchor that occurs once cannot lie in a
-repeat.  The other segments become strings of symbols, cut where any two
-segments of an anchor part, and a suffix array over these strings
-(``suffix_array``) with the prefixes that neighbours share tells which windows
-repeat; no byte goes without it.  Equal segments are one kind, sent to the
-suffix array once, or twice if it has several occurrences; an anchor of one kind
-needs no bytes, as its segments are one symbol.
+repeat.  An anchor that occurs several times with one kind of segment only (equal
+bytes by its hash) repeats as a whole, and there is nothing to sort: this exit
+decides two fifths of what goes on the given tables (README).  The segments of
+all other anchors become strings of symbols, cut where any two segments of an
+anchor part, and a suffix array over these strings (``suffix_array``) with the
+prefixes that neighbours share tells which windows repeat.  Equal segments are
+one kind, sent to the suffix array once, or twice if it has several occurrences.
 
 An anchor of more kinds than one task should sort is split by longer anchors:
 its segments' windows are dealt by their least hash among longer grams, up to
@@ -45,6 +46,8 @@ SLAB = 1 << 20
 PART = 512
 #: Segments that one suffix array takes, if no anchor has more.
 SORTED = 4096
+#: Hot anchors, or repeated rows, up to which their keys are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.uint64(1)
@@ -215,21 +218,6 @@ def _segments_of(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "body_key", F.encode("text", "UTF-8").alias("data")).mapInArrow(run, _PACKED)
 
 
-def _one_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of segments whose anchors have one kind to ranges; a row whose like is not in the batch stands twice, as its anchor has several occurrences."""
-    for batch in batches:
-        kinds, sizes = np.unique(batch.column(2).to_numpy(), return_counts=True)
-        kind = np.searchsorted(kinds, batch.column(2).to_numpy())
-        text, first, stops = [], [], 0
-        for k in kind.tolist():
-            first.append(len(text))
-            for _ in range(1 if sizes[k] > 1 else 2):
-                stops += 1
-                text += [k, -stops]
-        shared = _shared(text, stops)
-        yield batch.filter(pa.array([shared[f] > 0 for f in first], pa.bool_())).select([0, 1, 3, 4])
-
-
 def _decide(gram: int):
     """Groups of an anchor's kinds to (anchor, seg, a, b): the kinds' window starts that occur again."""
 
@@ -281,8 +269,10 @@ def decisions(kinds: DataFrame, level: int = 0) -> DataFrame:
     if level + 1 == len(GRAMS):  # the anchor is the whole window, so it has one kind
         return groups(kinds)
     hot = cut(kinds.groupBy(F.col("anchor").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART).select("hot"))
-    if hot.isEmpty():
+    count = hot.count()
+    if not count:
         return groups(kinds)
+    hot = F.broadcast(hot) if count <= BROADCAST_ROWS else hot  # then a hot anchor's rows need not meet to be picked out
     few = groups(kinds.join(hot, F.col("anchor") == F.col("hot"), "left_anti"))
     split = kinds.join(hot, F.col("anchor") == F.col("hot")).select("anchor", "seg", "several", "body").dropDuplicates(["anchor", "seg"])
     split = cut(split.mapInArrow(_longer(GRAMS[level + 1]), "its_anchor long, its_seg long, offset int, anchor long, seg long, several boolean, windows int, place int, body binary"))
@@ -292,6 +282,18 @@ def decisions(kinds: DataFrame, level: int = 0) -> DataFrame:
     return few.unionByName(back.select(F.col("its_anchor").alias("anchor"), F.col("its_seg").alias("seg"), (F.col("offset") + F.col("a")).alias("a"), (F.col("offset") + F.col("b")).alias("b")))
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """Documents of an id and a text that occur several times, once; the texts of others do not move."""
+    many = cut(rows.groupBy(F.col("doc_id").alias("many_id"), F.col("body_key").alias("many_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("many_id", "many_key"))
+    count = many.count()
+    if not count:
+        return rows
+    many = F.broadcast(many) if count <= BROADCAST_ROWS else many
+    same = F.col("doc_id").eqNullSafe(F.col("many_id")) & (F.col("body_key") == F.col("many_key"))
+    once = rows.join(many, same, "left_semi").groupBy("doc_id", "body_key").agg(F.max("text").alias("text"))
+    return rows.join(many, same, "left_anti").unionByName(once.select(rows.columns))
+
+
 def covered(rows: DataFrame) -> DataFrame:
     """(doc_id, body_key, a, b): byte ranges that repeat, of documents with ``doc_id``, ``text`` and its hash ``body_key``."""
     segs = _segments_of(rows)
@@ -301,12 +303,12 @@ def covered(rows: DataFrame) -> DataFrame:
     found = segs.join(anchors, F.col("anchor") == F.col("key")).drop("key")
     found = cut(found.withColumns({"first": F.shiftright("at", 16).cast("int"), "windows": F.shiftright("at", 8).bitwiseAND(255).cast("int"), "place": F.col("at").bitwiseAND(255).cast("int")}).drop("at"))
     end = lambda last: (last + WINDOW - 1).cast("int").alias("b")
-    alike = found.where("not differ").select("doc_id", "body_key", "seg", F.col("first").alias("a"), end(F.col("first") + F.col("windows"))).mapInArrow(_one_kind, "doc_id long, body_key long, a int, b int")
+    alike = found.where("not differ").select("doc_id", "body_key", F.col("first").alias("a"), end(F.col("first") + F.col("windows")))
     apart = found.where("differ")
     kinds = apart.groupBy("anchor", "seg").agg((F.count(F.lit(1)) > 1).alias("several"), F.min(F.struct("doc_id", "body_key", "first", "windows", "place")).alias("one"))
     asked = kinds.select("anchor", "seg", "several", "one.*").groupBy(F.col("doc_id").alias("its_id"), F.col("body_key").alias("its_key")).agg(F.collect_list(F.struct("anchor", "seg", "several", "first", "windows", "place")).alias("asked"))
     same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("body_key") == F.col("its_key"))
-    fetched = rows.join(asked, same).select(F.encode("text", "UTF-8").alias("data"), F.explode("asked").alias("q"))
+    fetched = _one_of_each(rows).join(asked, same).select(F.encode("text", "UTF-8").alias("data"), F.explode("asked").alias("q"))
     fetched = fetched.select("q.*", F.expr(f"substring(data, q.first + 1, q.windows + {WINDOW - 1})").alias("body")).drop("first")
     found_again = decisions(cut(fetched)).select(F.col("anchor").alias("ka"), F.col("seg").alias("ks"), "a", "b")
     sorted_out = apart.join(found_again, (F.col("anchor") == F.col("ka")) & (F.col("seg") == F.col("ks"))).select("doc_id", "body_key", (F.col("first") + F.col("a")).alias("a"), end(F.col("first") + F.col("b")))

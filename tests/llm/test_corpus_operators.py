@@ -84,12 +84,25 @@ def test_repeats_against_brute_force(spark, monkeypatch):
         assert sorted((str(r[0]), *r[1:5]) for r in repeats.remove_repeats(docs).collect()) == want
 
 
-def test_no_byte_goes_without_the_suffix_array(spark, monkeypatch):
+def test_sorted_content_decides_all_but_anchors_of_one_kind(spark, monkeypatch):
+    """Without the suffix array's answers only segments go whose anchor has no other kind; the rest, more than half here, is decided by sorting."""
     docs = spark.createDataFrame(repeat_rows(), "doc_id long, text string")
+    removed = lambda: repeats.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0]
+    every = removed()
     monkeypatch.setattr(repeats, "neighbours", lambda text, order: [0] * len(text))
-    for part in (repeats.PART, 3):
-        monkeypatch.setattr(repeats, "PART", part)
-        assert repeats.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+    exits = [removed()]
+    monkeypatch.setattr(repeats, "PART", 3)
+    exits.append(removed())
+    assert exits[0] == exits[1] < every / 2
+
+
+def test_bodies_of_repeated_rows_are_fetched_once(spark):
+    rows = [(7, "x" * 150 + "a long text that many rows share " * 12)] * 400 + [(8, "a long text that many rows share " * 12 + "y" * 300)] + [(None, "a long text that many rows share " * 9)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) body_key")
+    assert repeats._one_of_each(keyed).count() == 3
+    want = sorted((str(i), *r) for (i, _), r in zip(rows, brute_repeats([t.encode() for _, t in rows])))
+    assert sorted((str(r[0]), *r[1:5]) for r in repeats.remove_repeats(docs).collect()) == want
 
 
 def test_slabs_give_what_whole_texts_give(monkeypatch):
