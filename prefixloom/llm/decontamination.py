@@ -9,10 +9,6 @@ Each passage runs a block-max WAND over the postings with their stored maxima
 and retrieves all items above the limit.  Then shingles are verified: an item is
 found where a passage has OVERLAP of its shingles, or OVERLAP of its question's
 and OVERLAP of its answer's, which may stand apart.
-
-A document's words as a whole bound the scores of all its passages; a document
-that no item can reach in this way is not cut into passages at all, and a
-passage that none can reach does not run WAND.
 """
 
 from __future__ import annotations
@@ -128,24 +124,19 @@ class Index:
         self.ends, self.block_ends = array("q", self.at.tolist()), array("q", self.block_at.tolist())
         self.item_list, self.share_list, self.blocks, self.maxima = array("q", self.of.tolist()), array("d", self.share.tolist()), array("q", self.block_of.tolist()), array("d", self.block_most.tolist())
 
-    def whole(self, terms: np.ndarray) -> np.ndarray:
-        """Items that a document with these terms may reach: blocks by their maxima, then the items of blocks that are left."""
-        if not len(terms):
-            return terms
-        pick = _ranges(self.block_at, terms)
-        bound = np.bincount(self.block_of[pick], self.block_most[pick], len(self.items) // BLOCK + 1)
-        alive = bound >= 1
-        if not alive.any():
-            return terms[:0]
-        pick = _ranges(self.at, terms)
-        pick = pick[alive[self.of[pick] // BLOCK]]
-        return np.flatnonzero(np.bincount(self.of[pick], self.share[pick], len(self.items)) >= 1)
-
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Block-max WAND: every item whose score for these terms is at least 1, with its BM25 score."""
+        """Block-max WAND: every item whose score for these terms is at least 1, with its BM25 score.
+
+        Lists stand in the order of their next item; the pivot is the first item
+        that the lists up to it could lift to 1 by their maxima.  If their maxima
+        in the pivot's block cannot, all move beyond what the block, or the next
+        list, rules out.  The first bound is that of all lists.
+        """
         items, ends, most = self.item_list, self.ends, self.most
-        heads = {t: ends[t] for t in terms}
         out = []
+        if sum([most[t] for t in terms]) < 1:
+            return out
+        heads = {t: ends[t] for t in terms}
         while True:
             live = sorted((items[h], t) for t, h in heads.items() if h < ends[t + 1])
             bound, pivot = 0.0, None
@@ -182,30 +173,21 @@ class Index:
         """Word ranges; each stretch of twice the longest item lies in one of them."""
         return [(a, a + 3 * self.longest) for a in range(0, max(1, count - 2 * self.longest), self.longest)]
 
-    def reached(self, terms: list[int]) -> bool:
-        return bool(len(self.whole(np.array(terms, np.int64))))
-
     def terms_of(self, words: list[str]) -> list[int]:
         return sorted({k for w in set(words) if (k := self.term.get(w)) is not None})
 
-    def hits(self, text: str | None, skip: bool = True) -> list[tuple[int, float, float, float, float, int]]:
-        """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals.
-
-        With ``skip``, a text whose words reach no item as a whole ends early,
-        and so does a passage.
-        """
+    def hits(self, text: str | None) -> list[tuple[int, float, float, float, float, int]]:
+        """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals; every passage runs WAND."""
         words = words_of(text)
-        if skip and not self.reached(self.terms_of(words)):
-            return []
+        known = [self.term.get(w) for w in words]
         best: dict[int, tuple] = {}
         for a, b in self.passages(len(words)):
-            own = words[a:b]
-            terms = self.terms_of(own)
-            if skip and not self.reached(terms):
-                continue
-            got = self.wand(terms)
+            terms = set(known[a:b])
+            terms.discard(None)
+            got = self.wand(sorted(terms))
             if not got:
                 continue
+            own = words[a:b]
             sizes = {len(part[0]) for n, _ in got for part in self.items[n].parts if part}
             have = {tuple(own[k : k + n]) for n in sizes for k in range(len(own) - n + 1)}
             for n, score in got:
@@ -216,13 +198,6 @@ class Index:
         return [best[n] for n in sorted(best)]
 
 
-def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """The positions of all entries of the terms' lists."""
-    starts, sizes = at[terms], at[terms + 1] - at[terms]
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
-
-
 def indexes(benchmark: DataFrame, most: int | None = None) -> Iterator[Index]:
     """Indexes of at most about ``most`` text bytes each, one after another, all with the statistics of all items; items of a null id or without words are left out.
 

@@ -309,24 +309,37 @@ def test_decontamination_against_brute_force(spark):
                 if whole >= 0.8 or (question >= 0.8 and answer >= 0.8):
                     want[item.item_id] = max(want.get(item.item_id, 0), whole)
                     apart += whole < 0.8
-        assert {h[0]: h[1] for h in index.hits(text)} == {h[0]: h[1] for h in index.hits(text, skip=False)} == want
+        assert {h[0]: h[1] for h in index.hits(text)} == want
     assert apart > 5
 
 
-def test_whole_texts_skip_most_passages(spark):
-    """What the bound of whole documents skips on the given tables, and that it loses nothing."""
+def test_every_passage_runs_wand_which_retrieves_all_above_the_threshold(spark, monkeypatch):
+    """On the given tables: one call for each passage, and for each what scoring every item gives."""
     docs, _ = tables(spark, "sf0.001")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     (index,) = decontamination.indexes(bench)
-    asked = skipped = 0
+    calls, wand = [], index.wand
+
+    def watched(terms):
+        got = wand(terms)
+        calls.append((terms, got))
+        return got
+
+    index.wand = watched
+    passages = 0
     for r in docs.collect():
-        words = decontamination.words_of(r.text)
-        n = len(index.passages(len(words)))
-        over = not index.reached(index.terms_of(words))
-        asked, skipped = asked + n, skipped + n * over
-        if over:
-            assert index.hits(r.text, skip=False) == []
-    assert 0 < skipped < asked
+        passages += len(index.passages(len(decontamination.words_of(r.text))))
+        index.hits(r.text)
+    assert len(calls) == passages > 1000
+    found = 0
+    for terms, got in calls:
+        scores = np.zeros(len(index.items))
+        for t in terms:
+            at = slice(index.at[t], index.at[t + 1])
+            np.add.at(scores, index.of[at], index.share[at])
+        assert {n for n, _ in got} == set(np.flatnonzero(scores >= 1).tolist())
+        found += len(got)
+    assert found > 10
 
 
 def test_several_indexes_give_what_one_gives(spark, monkeypatch):
@@ -383,6 +396,18 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+@tokens
+def test_copies_of_one_row_do_not_fill_one_shard(spark, monkeypatch):
+    text = "the same row again and again " * 4
+    docs = spark.range(20_000).selectExpr("1L doc_id", f"'{text}' text").union(spark.range(300).selectExpr("cast(null as long)", f"'{text}'")).union(spark.range(50).selectExpr("id", "concat('row ', id)"))
+    rows = packing.pack(docs, width=64, shard_chars=50_000).collect()
+    assert sum(packing.unpack(rows).values()) == 20_350 and packing.unpack(rows)[1, text] == 20_000
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += len(r.doc_ids)
+    assert max(sizes.values()) < 2.5 * sum(sizes.values()) / len(sizes)
+
+
 def test_best_fit_decreasing():
     rng = random.Random(8)
     for _ in range(200):
