@@ -48,18 +48,23 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn; what a stage returns is written to the shared folder and read again, and deleted once the next has been written.
 
-    The folder of the last but one stage stays, as the result is read from it.
+    The folder of the last but one stage stays, as the result is read from it;
+    after a failure none does.
     """
     docs = table(spark, sf_dir, "documents")
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{where}/{k}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            if before:
-                drop_dir(spark, before)
-            before = path
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                path = f"{where}/{k}-{name}"
+                docs.write.parquet(path)
+                docs = spark.read.parquet(path)
+                if before:
+                    drop_dir(spark, before)
+                before = path
+    except BaseException:
+        drop_dir(spark, where)
+        raise
     return docs
