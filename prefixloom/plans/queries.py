@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from prefixloom.functions import catalog
 from prefixloom.functions import words as W
 from prefixloom.functions.ranks import by_word
-from prefixloom.operators import growth, learned, levels, models, neighbours, patterns, quality, relations, rules, sampling, stored, trie
+from prefixloom.operators import boosting, compiled, growth, learned, levels, models, neighbours, patterns, quality, relations, rules, sampling, stored, trie
 from prefixloom.plans import experiments
 from prefixloom.shared import cut, drop_dir, scratch
 from prefixloom.sources import lexicons, sinks
@@ -750,3 +750,64 @@ def batches_once(spark, sf_dir):
         sinks.overwrite_batches(facts, path)
         sinks.overwrite_batches(facts.where("letters = 4 and batch = 1").withColumn("word", F.upper("word")), path)
         return cut(spark.read.parquet(path).select("letters", "word", "word_length", "batch"))
+
+
+#: Letters of the longest word of the trie whose tables are learned by id.
+LEARNED = 4
+
+
+def _short_relations(spark, sf_dir):
+    words = lexicons.words_of_texts(documents(spark, sf_dir), longest=LEARNED)
+    return cut(trie.relations(trie.build_with_ids(by_word(words))))
+
+
+_SHORT = f"""
+, sdict AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS ord FROM lex WHERE length(word) <= {LEARNED}),
+snodes AS (SELECT substr(word, 1, k) AS prefix, bool_or(k = length(word)) AS is_end FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM sdict) GROUP BY 1)"""
+
+
+@query(f"""{_SHORT}, sh AS (SELECT q.word, max(q.depth) AS h, bool_or(n.is_end AND q.depth = length(q.word)) AS f FROM qpre q JOIN snodes n ON n.prefix = substr(q.word, 1, q.depth) GROUP BY q.word)
+SELECT lex.word, coalesce(f, false) AS found, coalesce(h, 0) AS height FROM lex LEFT JOIN sh USING (word)""")
+def search_boosted(spark, sf_dir):
+    """Walks over tables that boosted trees predict from node ids, of a trie of words of up to four letters; they say what the exact tables say."""
+    rows = _short_relations(spark, sf_dir)
+    return relations.search(all_words(spark, sf_dir), boosting.predicted(rows, boosting.fit_relations(rows)))
+
+
+@query(f"""{_SHORT}
+SELECT 'TrieModel' AS model, 'true' AS actual, 'true' AS predicted, count(*) AS n FROM snodes
+UNION ALL SELECT 'TrieModel', 'false', 'false', 26 * (count(*) + 1) - count(*) FROM snodes
+UNION ALL SELECT 'TrieCheck', CAST(ascii(right(prefix, 1)) - 97 AS VARCHAR), CAST(ascii(right(prefix, 1)) - 97 AS VARCHAR), count(*) FROM snodes GROUP BY ascii(right(prefix, 1))
+UNION ALL SELECT 'TrieEnd', upper(CAST(e AS VARCHAR)), upper(CAST(e AS VARCHAR)), count(*) FROM (SELECT is_end AS e FROM snodes UNION ALL SELECT false) GROUP BY e""")
+def boosted_confusion(spark, sf_dir):
+    """What the boosted trees say of every child slot, letter and end against what is there; every row is right."""
+    rows = _short_relations(spark, sf_dir)
+    return boosting.confusion(rows, boosting.fit_relations(rows))
+
+
+def _seen(k: int) -> str:
+    return f"CASE WHEN length(prefix) >= {k} THEN ascii(substr(prefix, length(prefix) - {k - 1}, 1)) - 97 ELSE -1 END AS l{k}"
+
+
+_SEEN = f", ch AS (SELECT parent AS its, count(*) AS children FROM nodes GROUP BY parent), seen AS (SELECT n.prefix, n.is_end, n.letter_index, n.depth, {_seen(1)}, {_seen(2)}, {_seen(3)}, coalesce(ch.children, 0) AS children FROM nodes n LEFT JOIN ch ON ch.its = n.prefix)"
+
+
+@query(f"{_SEEN} SELECT is_end, {compiled.sql(compiled.load('end'))} AS said, count(*) AS nodes FROM seen GROUP BY ALL")
+def end_confusion(spark, sf_dir):
+    """End flags by the saved boosted model, as CASE columns."""
+    own = models.features(nodes(spark, sf_dir))
+    return own.select((F.col("label") == 1).alias("is_end"), compiled.column(compiled.load("end")).alias("said")).groupBy("is_end", "said").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"{_SEEN} SELECT letter_index, CAST({compiled.sql(compiled.load('letter'))} AS INTEGER) AS said, count(*) AS nodes FROM seen GROUP BY ALL")
+def letter_confusion(spark, sf_dir):
+    """Letters by the saved tree, as CASE columns."""
+    own = models.features(nodes(spark, sf_dir))
+    return own.select("letter_index", compiled.column(compiled.load("letter")).cast("int").alias("said")).groupBy("letter_index", "said").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"{_SEEN} SELECT prefix, {compiled.sql(compiled.load('end'))} = 1 AS said FROM seen WHERE {compiled.sql(compiled.load('end'))} = 1 AND NOT is_end")
+def false_ends(spark, sf_dir):
+    """Nodes that the saved model takes for ends and are none."""
+    own = models.features(nodes(spark, sf_dir)).withColumn("said", compiled.column(compiled.load("end")) == 1)
+    return own.where("said and label = 0").select("prefix", "said")
