@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -119,55 +118,59 @@ class Index:
         self.block_of = self.of[first] // BLOCK
         self.block_most = np.maximum.reduceat(self.share, first) if len(first) else np.zeros(0)
         self.block_at = np.searchsorted(terms[first], np.arange(len(self.term) + 1))
-        self.most = [float(self.block_most[a:b].max()) for a, b in zip(self.block_at, self.block_at[1:])]
-        # the same as arrays that are quick to look into one by one
-        self.ends, self.block_ends = array("q", self.at.tolist()), array("q", self.block_at.tolist())
-        self.item_list, self.share_list, self.blocks, self.maxima = array("q", self.of.tolist()), array("d", self.share.tolist()), array("q", self.block_of.tolist()), array("d", self.block_most.tolist())
+        # the same as arrays that are quick to look into one by one; the parts of lists by block follow one another
+        self.first, self.maxima = array("q", [*first.tolist(), len(terms)]), array("d", self.block_most.tolist())
+        self.item_list, self.share_list = array("q", self.of.tolist()), array("d", self.share.tolist())
 
-    def wand(self, terms: list[int]) -> list[tuple[int, float]]:
+    def wand(self, terms: np.ndarray | list[int]) -> list[tuple[int, float]]:
         """Block-max WAND: every item whose score for these terms is at least 1, with its BM25 score.
 
-        Lists stand in the order of their next item; the pivot is the first item
-        that the lists up to it could lift to 1 by their maxima.  If their maxima
-        in the pivot's block cannot, all move beyond what the block, or the next
-        list, rules out.  The first bound is that of all lists.
+        The stored maxima of all blocks are added up at once, and blocks that
+        cannot reach 1 are passed over.  In each of the others lists stand in
+        the order of their next item, and the pivot is the first item that the
+        lists up to it could lift to 1 by their maxima in the block; only pivots
+        that these lists have reached are scored.
         """
-        items, ends, most = self.item_list, self.ends, self.most
+        pick = _ranges(self.block_at, np.asarray(terms, np.int64))
+        bound = np.bincount(self.block_of[pick], self.block_most[pick], len(self.items) // BLOCK + 1)
+        out: list[tuple[int, float]] = []
+        for block in np.flatnonzero(bound >= 1).tolist():
+            out += self._pivots(pick[self.block_of[pick] == block].tolist(), (block + 1) * BLOCK)
+        return out
+
+    def _pivots(self, parts: list[int], end: int) -> list[tuple[int, float]]:
+        """WAND inside one block, over the parts of lists that lie in it; ``end`` is the first item beyond."""
+        items, shares, starts, maxima = self.item_list, self.share_list, self.first, self.maxima
+        live = sorted((items[starts[p]], starts[p], p) for p in parts)
         out = []
-        if sum([most[t] for t in terms]) < 1:
-            return out
-        heads = {t: ends[t] for t in terms}
-        while True:
-            live = sorted((items[h], t) for t, h in heads.items() if h < ends[t + 1])
+        while live:
             bound, pivot = 0.0, None
-            for n, t in live:
-                bound += most[t]
+            for n, _, p in live:
+                bound += maxima[p]
                 if bound >= 1:
                     pivot = n
                     break
             if pivot is None:
                 return out
-            front = [t for n, t in live if n <= pivot]
-            block = pivot // BLOCK
-            if sum(self._block_most(t, block) for t in front) < 1:  # no item of this block can do it
-                to = (block + 1) * BLOCK
-                if len(front) < len(live):
-                    to = min(to, live[len(front)][0])
-            elif live[0][0] == pivot:
-                score = sum(self.share_list[heads[t]] for t in front)
+            if live[0][0] == pivot:
+                score = sum(shares[h] for n, h, _ in live if n == pivot)
                 if score >= 1:
                     out.append((pivot, score * self.scale[pivot]))
                 to = pivot + 1
             else:
                 to = pivot
-            for t in front:
-                heads[t] = bisect_left(items, to, heads[t], ends[t + 1])
-
-    def _block_most(self, term: int, block: int) -> float:
-        """The stored maximum of a term's list in a block of items."""
-        end = self.block_ends[term + 1]
-        k = bisect_left(self.blocks, block, self.block_ends[term], end)
-        return self.maxima[k] if k < end and self.blocks[k] == block else 0.0
+            moved = []
+            for n, h, p in live:
+                if n < to:
+                    stop = starts[p + 1]
+                    while h < stop and items[h] < to:
+                        h += 1
+                    if h == stop:
+                        continue
+                    n = items[h]
+                moved.append((n, h, p))
+            live = sorted(moved)
+        return out
 
     def passages(self, count: int) -> list[tuple[int, int]]:
         """Word ranges; each stretch of twice the longest item lies in one of them."""
@@ -179,12 +182,11 @@ class Index:
     def hits(self, text: str | None) -> list[tuple[int, float, float, float, float, int]]:
         """(item, overlap, question's, answer's, BM25, first word of the passage): an item's best passage, the first of equals; every passage runs WAND."""
         words = words_of(text)
-        known = [self.term.get(w) for w in words]
+        known = np.array([self.term.get(w, -1) for w in words], np.int64)
         best: dict[int, tuple] = {}
         for a, b in self.passages(len(words)):
-            terms = set(known[a:b])
-            terms.discard(None)
-            got = self.wand(sorted(terms))
+            terms = np.unique(known[a:b])
+            got = self.wand(terms[terms >= 0])
             if not got:
                 continue
             own = words[a:b]
@@ -198,6 +200,15 @@ class Index:
         return [best[n] for n in sorted(best)]
 
 
+def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The positions of all entries of the terms' lists."""
+    if not len(terms):
+        return terms
+    starts, sizes = at[terms], at[terms + 1] - at[terms]
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+
+
 def indexes(benchmark: DataFrame, most: int | None = None) -> Iterator[Index]:
     """Indexes of at most about ``most`` text bytes each, one after another, all with the statistics of all items; items of a null id or without words are left out.
 
