@@ -1,4 +1,4 @@
-"""Licence scans: runs of lines compared with licence templates by the Dice coefficient of their word bigrams.
+"""Licence scans: runs of lines, and runs of words in long lines, compared with licence templates by the Dice coefficient of their word bigrams.
 
 Two sizes bound the coefficient before any comparison: with ``n`` and ``m``
 distinct bigrams it is at most 2 min(n, m) / (n + m), so a template is a
@@ -8,9 +8,10 @@ texts that hold m t / (2 - t) of the template's own bigrams at all.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from heapq import heappop, heappush
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from prefixloom.llm.common import map_arrow, table, texts
@@ -64,8 +65,54 @@ def bigrams(words: list[bytes]) -> frozenset[tuple[bytes, bytes]]:
     return frozenset(zip(words, words[1:]))
 
 
+class _Text:
+    """A text's words and bigrams as arrays; bigram k is of words k and k + 1.
+
+    ``before[k]`` is the place of the same bigram before k (-1 for none), so a
+    window of words that starts at ``a`` meets k as new just if before[k] < a.
+    ``floor`` has the least ``before`` of each block of places: blocks that
+    repeat what a window has seen already are passed over whole.
+    """
+
+    BLOCK = 256
+
+    def __init__(self, text: str):
+        rows = [(k, w) for k, w in enumerate(map(normalised, text.split("\n"))) if w]
+        self.line = np.repeat([k for k, _ in rows], [len(w) for _, w in rows])
+        words = [x for _, w in rows for x in w]
+        known: dict[tuple[bytes, bytes], int] = {}
+        self.ids = np.array([known.setdefault(x, len(known)) for x in zip(words, words[1:])], dtype=np.int64)
+        self.bigrams = list(known)
+        self.n = len(self.ids)
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        self.before = np.full(-(-self.n // self.BLOCK) * self.BLOCK, self.n, dtype=np.int64)
+        self.before[order] = np.concatenate([[-1], np.where(same, order[:-1], -1)])
+        self.floor = self.before.reshape(-1, self.BLOCK).min(axis=1)
+        first = np.flatnonzero(np.diff(self.line, prepend=-1))
+        self.starts_line, self.ends_line = np.zeros(self.n + 1, bool), np.zeros(self.n + 1, bool)
+        self.starts_line[first], self.ends_line[np.append(first[1:] - 1, self.n)] = True, True
+        row = np.cumsum(self.starts_line) - 1
+        inside = (row[:-1] == row[1:]) & (self.before[: self.n] < first[row[:-1]])
+        self.sizes = np.bincount(row[:-1][inside], minlength=len(first))[row]  # distinct bigrams inside the line of each word
+
+    def meets(self, low: int, high: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places from ``low`` on that a window from ``low`` or ``high`` may meet as new, up to the first at which one from ``high`` has over ``most``; and how many that one has."""
+        blocks = np.flatnonzero(self.floor[low // self.BLOCK :] < high) if low < high else np.flatnonzero(self.floor[low // self.BLOCK :] < low)
+        blocks += low // self.BLOCK
+        take = int(most + high - low) // self.BLOCK + 2
+        while True:
+            at = (blocks[:take, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
+            at = at[(at >= low) & (at < self.n)]
+            at = at[self.before[at] < high] if low < high else at[self.before[at] < low]
+            have = np.cumsum(at >= high)
+            if take >= len(blocks) or (len(have) and have[-1] > most):
+                return at, have
+            take *= 4
+
+
 class Scanner:
-    """Finds, for each template, a text's best run of lines."""
+    """Finds, for each template, a text's best run of words."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -84,10 +131,13 @@ class Scanner:
         return len(self.sets[name]) * (2 - self.threshold) / self.threshold + 1e-9
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, coefficient, first line, last line) for each template that some run of lines reaches.
+        """(template, coefficient, first line, last line) for each template that some run of words reaches.
 
-        A run starts and ends at a line with words; of equal coefficients the
-        earliest and then shortest run counts.
+        A run starts at the first word of a line and ends at the last of one.
+        In a line of more distinct bigrams than the template's upper bound,
+        which no run could hold whole, it may also start at a bigram that the
+        template has and end at one.  Of equal coefficients the earliest and
+        then shortest run counts.
         """
         words = normalised(text or "")
         shared = self.known.intersection(zip(words, words[1:]))
@@ -100,85 +150,55 @@ class Scanner:
         names = [n for n, c in sorted(counts.items()) if c >= self.least(n)]
         if not names:
             return []
-        lines = [(k, w) for k, w in enumerate(map(normalised, text.split("\n"))) if w]
-        return [best for n in names if (best := self._best(n, lines))]
-
-    def _best(self, name: str, lines: list[tuple[int, list[bytes]]]) -> tuple[str, float, int, int] | None:
-        """The best run for one template, by starts from the last line to the first.
-
-        Of a start, only those ends count whose line adds a bigram to the run.
-        A line does so for all starts after the last place that has its bigram
-        before (``_news``), so lines drop out for good as starts move up, and
-        the next line left is found by pointers: lines that repeat are skipped
-        in one step however many they are.
+        body = _Text(text)
+        return [best for n in names if (best := self._best(n, body))]
+
+    def _best(self, name: str, body: _Text) -> tuple[str, float, int, int] | None:
+        """The best run for one template, by ranges of starts, best bound first.
+
+        A run from any start of a range has no more shared bigrams than the
+        one from its first start to the same end, and no fewer bigrams than
+        the one from its last, nor fewer than it shares; this bounds the
+        range's coefficients.  Ranges that reach the threshold are halved until
+        one start is left, whose bound is its best coefficient itself, so the
+        first one met is the best.
         """
         wanted, most = self.sets[name], self.most(name)
-        news, mine, crossing = self._news(wanted, lines)
-        touched = [bool(m) for m in mine]
-        touched = [t or (k + 1 < len(lines) and crossing[k + 1][1]) for k, t in enumerate(touched)]
-        after = list(range(len(lines) + 1))  # the next line left, by path halving
-
-        def left(k: int) -> int:
-            while after[k] != k:
-                after[k] = after[after[k]]
-                k = after[k]
-            return k
-
-        dead: dict[int, list[int]] = {}
-        for b, n in enumerate(news):
-            dead.setdefault(n[0] if n else len(lines) - 1, []).append(b)
-        best = None
-        for a in range(len(lines) - 1, -1, -1):
-            for b in dead.get(a, ()):  # for starts up to here, the line adds nothing
-                if b > a:
-                    after[b] = b + 1
-            if not touched[a]:  # a run that starts at a line without shared bigrams is no better than the shorter one
-                continue
-            have, same = len(news[a]) - crossing[a][0], len(mine[a]) - crossing[a][1]
-            b = a
-            while have <= most:
-                if same:
-                    dice = 2 * same / (have + len(wanted))
-                    if dice >= self.threshold and (best is None or (dice, -a) > (best[0], -best[1])):
-                        best = (dice, a, b)
-                b = left(b + 1)
-                if b >= len(lines):
-                    break
-                have += bisect_left(news[b], a)
-                same += bisect_left(mine[b], a)
-        if best is None:
-            return None
-        dice, a, b = best
-        run = {x for k in range(a, b + 1) for x in self._bigrams(lines, k, k > a)}
-        while a and run.issuperset(self._bigrams(lines, a - 1, False)) and (lines[a - 1][1][-1], lines[a][1][0]) in run:
-            a -= 1  # earlier lines that add nothing
-        return name, dice, lines[a][0], lines[b][0]
-
-    @staticmethod
-    def _bigrams(lines: list[tuple[int, list[bytes]]], k: int, joined: bool) -> set[tuple[bytes, bytes]]:
-        """Bigrams of a line, with the one that joins it to the line before if ``joined``."""
-        words = lines[k][1]
-        out = set(zip(words, words[1:]))
-        if joined:
-            out.add((lines[k - 1][1][-1], words[0]))
-        return out
-
-    def _news(self, wanted: frozenset, lines: list[tuple[int, list[bytes]]]):
-        """For each line the sorted last starts whose runs have its bigrams already, of all and of wanted ones; and how many of each only its join to the line before adds."""
-        last: dict[tuple[bytes, bytes], int] = {}
-        news, mine, crossing = [], [], []
-        for k in range(len(lines)):
-            inside, every = self._bigrams(lines, k, False), self._bigrams(lines, k, k > 0)
-            before = {x: last.get(x, -1) for x in every}
-            news.append(sorted(before.values()))
-            mine.append(sorted(v for x, v in before.items() if x in wanted))
-            join = every - inside
-            crossing.append((len(join), sum(x in wanted for x in join)))
-            for x in join:
-                last[x] = max(last.get(x, -1), k - 1)
-            for x in inside:
-                last[x] = k
-        return news, mine, crossing
+        mine = np.fromiter((b in wanted for b in body.bigrams), bool, len(body.bigrams))[body.ids]
+        lengthy = body.sizes > most
+        starts = np.flatnonzero(body.starts_line[:-1] | (lengthy[:-1] & mine))
+        ends = np.flatnonzero(body.ends_line[1:] | (lengthy[1:] & mine))
+        size = len(wanted)
+        edges = np.flatnonzero(np.diff(starts // max(64, size // 8), prepend=-1, append=body.n))
+        heap = []
+
+        def push(a: int, b: int) -> None:
+            """Bounds the starts a to b - 1."""
+            low, high = int(starts[a]), int(starts[b - 1])
+            at, have = body.meets(low, high, most)
+            if low < high:
+                same = np.cumsum(mine[at] & (body.before[at] < low))
+                dice = np.where(have <= most, 2.0 * same / (np.maximum(have, same) + size), 0.0)
+                bound, end = dice.max(initial=0.0), 0
+            else:
+                same = np.cumsum(mine[at])
+                stop = ends[np.searchsorted(ends, at)]  # the run may go on to here, unless it meets something new before
+                fits = (have <= most) & (stop < np.append(at[1:], body.n))
+                dice = np.where(fits, 2.0 * same / (have + size), 0.0)
+                k = int(dice.argmax())
+                bound, end = dice[k], int(stop[k])
+            if bound >= self.threshold:
+                heappush(heap, (-float(bound), low, a, b, end))
+
+        for a, b in zip(edges[:-1], edges[1:]):
+            push(int(a), int(b))
+        while heap:
+            bound, low, a, b, end = heappop(heap)
+            if b - a == 1:
+                return name, -bound, int(body.line[low]), int(body.line[end + 1])
+            push(a, (a + b) // 2)
+            push((a + b) // 2, b)
+        return None
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,7 +206,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
 
     Null, empty and one-word texts have no bigrams and no row; repeated rows
     and null ids each give their own rows.  Time is in proportion to a text's
-    lines, however often they repeat.
+    words where nothing comes near a template, however often they repeat.
     """
 
     def run(columns):
@@ -202,24 +222,32 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same rows in DuckDB SQL over every run of lines of the texts that hold enough shared bigrams."""
+    """The same rows in DuckDB SQL over every run of the texts that hold enough shared bigrams."""
     scanner = Scanner()
     values = ", ".join(f"('{n}', {len(s)}, '{a.decode()} {b.decode()}')" for n, s in scanner.sets.items() for a, b in sorted(s))
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     t = THRESHOLD
+    most = f"size * (2 - {t}) / {t} + 1e-9"
     return f"""
 WITH tpl(license, size, big) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rid, unnest(range(len(lines))) AS line, unnest(lines) AS body FROM d),
 w AS (SELECT rid, line, unnest(regexp_extract_all(translate(body, '{up}', '{low}'), '[a-z0-9]+')) AS word,
              generate_subscripts(regexp_extract_all(translate(body, '{up}', '{low}'), '[a-z0-9]+'), 1) AS k FROM l),
-b AS (SELECT * FROM (SELECT rid, line AS one, lead(line) OVER p AS two, word || ' ' || lead(word) OVER p AS big FROM w WINDOW p AS (PARTITION BY rid ORDER BY line, k)) WHERE big IS NOT NULL),
-c AS (SELECT rid, license, size FROM b JOIN tpl USING (big) GROUP BY ALL HAVING count(DISTINCT big) >= size * {t} / (2 - {t}) - 1e-9),
-n AS (SELECT DISTINCT rid, line FROM w WHERE rid IN (SELECT rid FROM c)),
-r AS (SELECT x.rid, x.line AS first_line, y.line AS last_line FROM n x JOIN n y ON x.rid = y.rid AND x.line <= y.line),
-s AS (SELECT c.rid, c.license, c.size, first_line, last_line, count(DISTINCT b.big) AS have, count(DISTINCT CASE WHEN tpl.big IS NOT NULL THEN b.big END) AS same
-      FROM c JOIN r USING (rid) JOIN b ON b.rid = c.rid AND b.one >= first_line AND b.two <= last_line LEFT JOIN tpl ON tpl.license = c.license AND tpl.big = b.big
-      GROUP BY ALL),
-q AS (SELECT *, 2.0::DOUBLE * same / (have + size) AS dice FROM s),
-z AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY dice DESC, first_line, last_line) AS best FROM q WHERE dice >= {t})
+p AS (SELECT * FROM (SELECT rid, line AS one, lead(line) OVER o AS two, row_number() OVER o AS k, lag(line) OVER o IS DISTINCT FROM line AS opens, lead(line, 2) OVER o IS DISTINCT FROM lead(line) OVER o AS closes,
+                            word || ' ' || lead(word) OVER o AS big FROM w WINDOW o AS (PARTITION BY rid ORDER BY line, k)) WHERE big IS NOT NULL),
+c AS (SELECT rid, license, size FROM p JOIN tpl USING (big) GROUP BY ALL HAVING count(DISTINCT big) >= size * {t} / (2 - {t}) - 1e-9),
+b AS MATERIALIZED (SELECT *, coalesce(lag(k) OVER (PARTITION BY rid, big ORDER BY k), -1) AS before FROM p WHERE rid IN (SELECT rid FROM c)),
+lengthy AS (SELECT rid, license, line FROM (SELECT rid, one AS line, count(DISTINCT big) AS own FROM b WHERE one = two GROUP BY ALL) JOIN c USING (rid) WHERE own > {most}),
+m AS (SELECT c.rid, c.license, b.k, b.one, b.two FROM c JOIN b USING (rid) JOIN tpl ON tpl.license = c.license AND tpl.big = b.big),
+a AS (SELECT c.rid, c.license, b.k AS a, b.one AS first_line FROM c JOIN b USING (rid) WHERE opens
+      UNION SELECT m.rid, m.license, m.k, m.one FROM m JOIN lengthy g ON g.rid = m.rid AND g.license = m.license AND g.line = m.one),
+e AS (SELECT c.rid, c.license, b.k AS stop, b.two AS last_line FROM c JOIN b USING (rid) WHERE closes
+      UNION SELECT m.rid, m.license, m.k, m.two FROM m JOIN lengthy g ON g.rid = m.rid AND g.license = m.license AND g.line = m.two),
+r AS (SELECT a.*, b.k, row_number() OVER s AS have, count(m.k) OVER s AS same, lead(b.k) OVER s AS next
+      FROM a JOIN b ON b.rid = a.rid AND b.k >= a.a AND b.before < a.a LEFT JOIN m ON m.rid = a.rid AND m.license = a.license AND m.k = b.k
+      WINDOW s AS (PARTITION BY a.rid, a.license, a.a ORDER BY b.k)),
+s AS (SELECT r.*, 2.0::DOUBLE * same / (have + size) AS dice FROM r JOIN c USING (rid, license) WHERE have <= {most}),
+q AS (SELECT s.*, e.stop, e.last_line FROM (SELECT * FROM s WHERE dice >= {t}) s ASOF JOIN e ON s.rid = e.rid AND s.license = e.license AND s.k <= e.stop),
+z AS (SELECT *, row_number() OVER (PARTITION BY rid, license ORDER BY dice DESC, a, stop) AS best FROM q WHERE next IS NULL OR stop < next)
 SELECT d.doc_id, license, dice, first_line, last_line FROM z JOIN d USING (rid) WHERE best = 1"""
