@@ -25,7 +25,7 @@ def build_with_ids(words: DataFrame) -> DataFrame:
     """Nodes with ``first_ord`` and both id schemes, in the order of first creation; the root (id 0) is left out.
 
     ``words`` has ``ord``.  Creation order is (least ordinal of a word with the
-    no task ranks all.
+    prefix, depth); the ordinals come from a range sort, so no task ranks all.
     """
     nodes = spread(words, "ord").groupBy("prefix").agg(F.max("whole").alias("is_end"), F.min("ord").alias("first_ord"))
     ranked = numbered(nodes, ["first_ord", F.length("prefix")], "rank")

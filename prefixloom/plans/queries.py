@@ -232,9 +232,11 @@ def insert_rules(spark, sf_dir):
 
 @query(" SELECT word, found AS found_trie, found AS found_list, height AS height_trie, height AS height_rules FROM found")
 def backend_compare(spark, sf_dir):
-    asked, own = all_words(spark, sf_dir), known_nodes(spark, sf_dir)
+    asked = cut(all_words(spark, sf_dir))  # three searches read them; the texts are read once
+    known_ones = asked.where(F.length("word") <= KNOWN).select("word")
+    own = cut(trie.build(known_ones))
     a = trie.search(asked, own).select("word", F.col("found").alias("found_trie"), F.col("height").alias("height_trie"))
-    b = trie.search_list(asked, known(spark, sf_dir)).select("word", F.col("found").alias("found_list"))
+    b = trie.search_list(asked, by_word(known_ones)).select("word", F.col("found").alias("found_list"))
     c = rules.search(asked, own).select("word", F.col("height").alias("height_rules"))
     return a.join(b, "word").join(c, "word")
 
@@ -381,8 +383,8 @@ fa AS (SELECT letters, batch, word, word_known, length(word) AS word_length, num
 
 
 def _access(spark, sf_dir):
-    own = known_words(spark, sf_dir)
-    reversed_words = sampling.difference(own.select(F.reverse("word").alias("word")).distinct(), own)
+    own = cut(known_words(spark, sf_dir))  # read several times; the texts are read once
+    reversed_words = cut(sampling.difference(own.select(F.reverse("word").alias("word")).distinct(), own))
     return experiments.access(own, reversed_words, 3, KNOWN, TRIALS)
 
 

@@ -1,5 +1,6 @@
 """Goldens, cross-backend equivalence and invariants of the lexicon operators."""
 
+import hashlib
 import os
 import random
 
@@ -198,3 +199,31 @@ def test_stream_equals_batch(spark, tmp_path):
         incremental.insert_stream(stream, path, str(tmp_path / "ck")).awaitTermination()
     key = lambda df: sorted((r.prefix, r.is_end) for r in df.collect())
     assert key(incremental.stored(spark, path)) == key(trie.build(lexicon(spark)))
+
+
+def test_heights_of_all_limits_from_one_trie(spark):
+    words = ["a", "ab", "abc", "abcde", "abcdef", "b", "bcd", "zzzz", "zz", "zz", ""]
+    asked = ["abcdeg", "abcd", "a", "zzz", "q", "bcd", "abcdef", ""]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    got = {r.word: (r.found, r.heights) for r in experiments.heights(frame(asked), frame(words), 1, 5).collect()}
+    for q in asked:
+        want = [max([k for k in range(1, len(q) + 1) if any(w[:k] == q[:k] and len(w) >= k and len(w) <= x for w in words)], default=0) for x in range(1, 6)]
+        assert got.get(q, (False, [0] * 5)) == (bool(q) and q in words and len(q) <= 5, want)
+    rows = {r.letters: (r["rows"], r.num_words) for r in experiments.limits(frame(words), 1, 4).collect()}
+    assert rows == {1: (3, 3), 2: (6, 5), 3: (8, 7), 4: (9, 8)}
+    assert experiments.limits(frame(["abc"]), 1, 2).count() == 0 and experiments.heights(frame([]), frame(words), 1, 5).count() == 0
+
+
+def test_stimuli_against_brute_force(spark):
+    own, other = ["a", "b", "ab", "abc", "cab", "dab"], ["ba", "cba", "bac", "bad", "x"]
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    got = sorted((r.letters, r.batch, r.is_known, r.word) for r in experiments.stimuli(frame(own), frame(other), 1, 3, 3).collect())
+    want = []
+    for letters in range(1, 4):
+        for batch in range(3):
+            order = lambda x: sorted((w for w in x if len(w) <= letters), key=lambda w: (hashlib.md5(f"{w}{batch}".encode()).hexdigest(), w))  # noqa: E731, B023
+            known = order(own)
+            known = known[: len(known) // 2 or len(known)]
+            want += [(letters, batch, True, w) for w in known] + [(letters, batch, False, w) for w in order(other)[: len(known)]]
+    assert got == sorted(want)
+    assert experiments.access(frame([]), frame(other), 1, 3, 2).count() == 0
