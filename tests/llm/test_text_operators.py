@@ -522,6 +522,49 @@ def test_copies_of_one_row_do_not_fill_one_shard(spark, monkeypatch):
     assert max(sizes.values()) < 2.5 * sum(sizes.values()) / len(sizes)
 
 
+@tokens
+def test_packing_cuts_change_no_ids(monkeypatch):
+    import tiktoken
+
+    whole = tiktoken.Encoding("whole", pat_str=packing.PATTERN, mergeable_ranks=packing.load(), special_tokens={})
+    encoder, rng = packing.Encoder(packing.load()), random.Random(10)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "a", "word", "'s", "'", "1", "é", "漢", "😀", ".", "\x00"]
+    for long in (packing.LONG, 5):
+        monkeypatch.setattr(packing, "LONG", long)
+        for _ in range(3000):
+            text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+            assert encoder.ids(text) == np.array(whole.encode_ordinary(text), "<u2").tobytes(), repr(text)
+        for c in (*range(0xD800), *range(0xE000, 0x11000)):
+            text = f"a {chr(c)} {chr(c)}{chr(c)}b{chr(c)}"
+            assert encoder.ids(text) == np.array(whole.encode_ordinary(text), "<u2").tobytes(), hex(c)
+
+
+@tokens
+def test_packing_of_a_million_blanks():
+    encoder = packing.Encoder(packing.load())
+    for text in (" " * 1_500_000, "\n" * 1_500_000 + "x", "x" + " \n" * 1_000_000 + " y  "):
+        assert encoder.text(packing.decode_line(encoder.ids(text)).tolist()) == text
+
+
+@tokens
+def test_packing_of_rare_words_takes_no_longer_than_whole_texts():
+    import time
+
+    import tiktoken
+
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choices("etaoinshr", k=9)) for _ in range(100_000))
+    whole = tiktoken.Encoding("whole", pat_str=packing.PATTERN, mergeable_ranks=packing.load(), special_tokens={})
+
+    def seconds(run):
+        began = time.process_time()
+        run(text)
+        return time.process_time() - began
+
+    fresh = [packing.Encoder(packing.load()) for _ in range(3)]
+    assert min(seconds(e.ids) for e in fresh) < 2 * min(seconds(whole.encode_ordinary) for _ in fresh)
+
+
 def test_best_fit_decreasing():
     rng = random.Random(8)
     for _ in range(200):
